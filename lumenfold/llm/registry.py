@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import quality
+from lumenfold.llm import licenses, mixing, packing, passages, pii, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.query,
+        "op2_pii": pii.query,
+        "op3_simhash": simhash.query,
         "op4_quality_rules": quality.query,
+        "op5_packing": packing.query,
+        "op7_secrets": secrets.query,
+        "op9_licenses": licenses.query,
+        "op10_passages": passages.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.oracle_sql()}
