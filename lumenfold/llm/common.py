@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`, as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
-#: Java patterns whose matches end where the class ends may start only at a run's first character.
 SPAN_TYPE = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
 
@@ -36,6 +35,14 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filtered_in_place(df: DataFrame, flag: str) -> DataFrame:
+    """The rows with a true `flag`, and without that column. The filter reads a generator's output, which the optimizer
+    leaves where it is; it would move a plain one below the columns that the flag is made of and put in all their
+    definitions for their names, again for each mention."""
+    rest = [df[c] for c in df.columns if c != flag]
+    return df.select(*rest, F.explode(F.array(flag)).alias(flag)).filter(flag).drop(flag)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

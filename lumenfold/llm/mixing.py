@@ -142,7 +142,7 @@ def mix_documents(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     df = df.join(end, [F.col(c) == F.col(f"_{c}") for c in LEAF]).select("_row", "doc_id", F.col("_epochs").alias("epochs"), F.col("_end_key").alias("end_key"), F.col("_end_take").alias("end_take"))
     df = _epochs(df, plan).select("_row.*", F.col("_taken.cut").alias("_cut")) if "_cut" not in docs.columns else _epochs(df, plan).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "_cut"], F.col("_taken.cut").alias("_cut"))
     pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,"), F.col("_cut").cast("string"), F.lit("}+"))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.regexp_extract("text", pattern, F.lit(0)))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0)))
     df = df.filter("_cut is null or _cut > 0").withColumn("text", text)
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

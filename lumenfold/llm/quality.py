@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import words
+from lumenfold.llm.common import filtered_in_place, words
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -97,7 +97,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the failing lines taken out of `text` and `n_chars` counted anew where present.
     Blank lines go with the failing ones; a text that loses no line stays as it is."""
-    df = measured(docs).filter("kept")
+    df = filtered_in_place(measured(docs), "kept")
     text = F.when((F.col("lost_chars") == 0), F.col("text")).otherwise(F.col("clean_text")).alias("text")
     out = [text if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c in df.columns]
     return df.select(*out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import licenses, mixing, packing, passages, pii, quality, secrets, simhash
+from lumenfold.llm import licenses, mixing, packing, passages, pii, quality, secrets, simhash, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,11 +16,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.query,
         "op4_quality_rules": quality.query,
         "op5_packing": packing.query,
+        "op6_toxicity": toxicity.query,
         "op7_secrets": secrets.query,
+        "op8_topk": topk.query,
         "op9_licenses": licenses.query,
         "op10_passages": passages.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle_sql()}
+    return {"op1_mixing": mixing.oracle_sql(), "op8_topk": topk.ORACLE_SQL}
