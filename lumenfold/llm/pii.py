@@ -58,7 +58,7 @@ def _digits(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All base matches that pass their tests."""
-    octet = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+    octet = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
     n = lambda s: F.length(_digits(s["value"]))
     tests = {
         "email": None,
