@@ -415,3 +415,53 @@ def q_sessions(spark, d):
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def q_cube(spark, d):
     return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT x.s_suppkey AS a, y.s_suppkey AS b, CASE WHEN s >= 0.8 THEN 'critical' WHEN s >= 0.6 THEN 'high' WHEN s >= 0.4 THEN 'medium' WHEN s >= 0.2 THEN 'low' ELSE 'info' END AS severity FROM (
+  SELECT x.*, y.*, greatest(x.f, y.f) * 0.5::DOUBLE + (1 - least(x.r, y.r)) * 0.5::DOUBLE AS s FROM (SELECT s_suppkey, s_nationkey, (s_suppkey % 7) / 7::DOUBLE AS f, (s_suppkey % 5) / 5::DOUBLE AS r FROM supplier) x
+  JOIN (SELECT s_suppkey, s_nationkey, (s_suppkey % 7) / 7::DOUBLE AS f, (s_suppkey % 5) / 5::DOUBLE AS r FROM supplier) y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey) t""".replace("SELECT x.s_suppkey AS a, y.s_suppkey AS b, CASE", "SELECT a, b, CASE").replace("SELECT x.*, y.*, greatest", "SELECT x.s_suppkey AS a, y.s_suppkey AS b, greatest"))
+def q_conflict_severity(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 7 / 7.0).alias("f"), (F.col("s_suppkey") % 5 / 5.0).alias("r"))
+    x, y = s.toDF("a", "g", "fa", "ra"), s.toDF("b", "g", "fb", "rb")
+    return x.join(y, "g").filter("a < b").select("a", "b", S.conflict_severity(F.col("fa"), F.col("fb"), F.col("ra"), F.col("rb")).alias("severity"))
+
+
+@query("""WITH d AS (SELECT s_nationkey, count(*) AS dependents FROM supplier GROUP BY 1) SELECT n_nationkey, least(coalesce(dependents, 0) / 10, 1.0::DOUBLE) * 0.5::DOUBLE + (1 - 0.4::DOUBLE) * 0.5::DOUBLE AS risk FROM nation LEFT JOIN d ON s_nationkey = n_nationkey ORDER BY risk DESC, n_nationkey LIMIT 10""")
+def q_fragile_roots(spark, d):
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("dependents"))
+    risk = S.structural_risk(F.coalesce("dependents", F.lit(0)), F.lit(0.4)).alias("risk")
+    return n.join(s, n["n_nationkey"] == s["s_nationkey"], "left").select("n_nationkey", risk).orderBy(F.desc("risk"), "n_nationkey").limit(10)
+
+
+@query("""SELECT event_type, avg(CASE WHEN value <= 40 THEN 1.0::DOUBLE ELSE 0.0 END) AS debt FROM events GROUP BY 1""")
+def q_debt(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.avg(F.when(F.col("value") <= 40, 1.0).otherwise(0.0)).alias("debt"))
+
+
+@query("""SELECT event_type AS metric, avg_value, bound, avg_value >= bound AS passed FROM (SELECT event_type, avg(value) AS avg_value FROM events GROUP BY 1) JOIN (VALUES ('click', 50.0::DOUBLE), ('purchase', 49.0)) b(k, bound) ON k = event_type""")
+def q_gates(spark, d):
+    m = table(spark, d, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("avg_value"))
+    return M.gates(m, "metric", "avg_value", {"click": 50.0, "purchase": 49.0}, {})
+
+
+@query("""SELECT total, min(s) AS needed FROM (SELECT total, s, (s / total::DOUBLE + z * z / (2 * total) - z * sqrt(s / total::DOUBLE * (1 - s / total::DOUBLE) / total + z * z / (4 * total * total))) / (1 + z * z / total) AS low
+  FROM (SELECT DISTINCT p_size::BIGINT AS total, 1.959963984540054::DOUBLE AS z FROM part), LATERAL (SELECT unnest(range(0, total + 1)) AS s)) WHERE low > 0.5 GROUP BY total UNION ALL
+  SELECT total, NULL FROM (SELECT DISTINCT p_size::BIGINT AS total FROM part) WHERE total < 4""")
+def q_least_successes(spark, d):
+    return M.least_successes(table(spark, d, "part").select(F.col("p_size").cast("long").alias("total")), "total", 0.5)
+
+
+@query("""SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type)::INTEGER AS place, n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) QUALIFY place <= 2""")
+def q_topk_per_group(spark, d):
+    from pyspark.sql import Window
+
+    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).filter("place <= 2")
+
+
+@query("""SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) <= 100 AS within FROM lineitem""")
+def q_running_budget(spark, d):
+    from pyspark.sql import Window
+
+    run = F.sum("l_quantity").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (run <= 100).alias("within"))
