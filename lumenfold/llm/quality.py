@@ -108,3 +108,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(docs).select("doc_id", *MEASURES, "base_failed", "kept", "lost_chars")
 
 
+
+
+#: The same rows in DuckDB's SQL: windows are compared as strings, words at a line's end by their last characters.
+ORACLE_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs),
+places AS (SELECT row_id, w, unnest(range(1, len(w) - 3)) AS p FROM parts WHERE len(w) >= 5),
+again AS (SELECT row_id, p FROM (SELECT row_id, p, array_to_string(w[p:p + 4], ' ') AS x FROM places) QUALIFY count(*) OVER (PARTITION BY row_id, x) > 1),
+under AS (SELECT row_id, count(DISTINCT q) AS n FROM (SELECT row_id, unnest(range(p, p + 5)) AS q FROM again) GROUP BY row_id),
+lines AS (SELECT row_id, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT row_id, unnest(l) AS line FROM parts)),
+judged AS (SELECT row_id, w, len(w) AS n, length(regexp_replace(line, '[^|»›•]', '', 'g')) AS bars, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+    length(array_to_string(w, '')) AS chars, len(list_filter(w, lambda x: regexp_matches(x, '([!?]{{2,}}|\.{{4,}})$'))) AS marks, line FROM lines),
+stay AS (SELECT row_id, sum(chars) AS chars, sum(n) AS n FROM judged WHERE NOT (
+    (n >= 3 AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}')) OR (n >= 3 AND marks * 3 > n) OR (bars >= 2 AND bars * 3 >= n - bars)
+    OR symbols * 10 > chars OR (length(line) <= {BOILERPLATE_LENGTH} AND regexp_matches(line, '{BOILERPLATE}'))) GROUP BY row_id),
+measures AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(under.n, 0)::BIGINT AS n_repeat_words, coalesce(stay.chars, 0) AS left_chars, coalesce(stay.n, 0) AS left_words
+  FROM parts LEFT JOIN under USING (row_id) LEFT JOIN stay USING (row_id)),
+failed AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, (word_chars - left_chars)::BIGINT AS lost_chars FROM measures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
+  NOT base_failed AND 100 * lost_chars <= {MAX_LOST_PERCENT} * word_chars AND left_words >= {MIN_WORDS} AS kept FROM failed
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle_sql(), "op8_topk": topk.ORACLE_SQL}
+    return {"op1_mixing": mixing.oracle_sql(), "op4_quality_rules": quality.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL}
