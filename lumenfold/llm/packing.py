@@ -15,6 +15,8 @@ ordered by doc_id, so a large group of copies is spread over many stretches.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +35,16 @@ DIMENSIONS, BITS = 4, 10
 BUCKETS = 2048
 REACH = 4.0  # projections of unit vectors, in standard deviations, that the curve's cube covers
 SEED = 7
-CACHE = 400_000  # words that a worker's cache may hold
+CACHE = 1_000_000  # words that a worker's cache may hold
+#: Marks between an ASCII letter and white space; the tokenizer cuts there, too.
+MARKS = re.compile(rb"(?<=[a-z])[.,!?;:]+(?=[ \n]|\Z)")
 
 
 class Encoder:
     """Ids of whole texts, as little-endian two-byte numbers."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,15 +52,25 @@ class Encoder:
             raise ValueError("ids don't fit in two bytes")
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space only
-        if new := list(set(words) - self.known.keys()):
-            if len(self.known) > CACHE:
-                self.known.clear()
-                new = list(set(words))
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.words(t or "") for t in texts]
+        # One call for all new words of the chunk: a call has a high fixed price, a word hardly any.
+        new = list(set().union(*split) - self.known.keys())
+        known = self.known if len(self.known) + len(new) <= CACHE else dict(self.known)  # a full cache stays as it is
+        if new:
             for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, dtype="<u2").tobytes()
-        return b"".join(map(self.known.__getitem__, words)) + END_ID.to_bytes(2, "little")
+                known[w] = np.asarray(e.ids, dtype="<u2").tobytes()
+        end = END_ID.to_bytes(2, "little")
+        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        """Parts of a text that are encoded apart: words, in lower case and without the marks behind them, and the
+        marks. Texts that may hold the strings of special tokens keep their words as they are."""
+        data = text.encode("utf-8", "surrogatepass")
+        if b"<|" not in data:
+            data = MARKS.sub(rb" \g<0>", data.lower())
+        return data.split()  # bytes: ASCII white space only
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -106,7 +121,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for k in range(0, len(b), 1000):
                 part = b.iloc[k : k + 1000]
-                ids = [encode(t) for t in part["text"]]
+                ids = encode(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "key": curve_keys(ids), "ids": ids})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, key long, ids binary")
