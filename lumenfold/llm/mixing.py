@@ -74,12 +74,13 @@ def share_out(nodes: DataFrame, group: list[str], name: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """(domain, lang, source, tokens, given) from leaf sizes (domain, lang, source, tokens)."""
     leaves = leaves.filter("tokens > 0").withColumn("cap", F.col("tokens") * plan.max_epochs)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"))
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {plan.percent} div 100").alias("budget"))
-    # One row, joined to a handful: the budget reaches every domain by a constant key.
-    domains = domains.withColumn("root", F.lit(0)).join(F.broadcast(total.withColumn("root", F.lit(0))), "root")
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    # The root's children, one row a domain, are the only rows that meet in one task.
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    domains = domains.withColumns({"root": F.lit(0), "total": total}).withColumn("budget", F.expr(f"total * {plan.percent} div 100"))
     domains = share_out(domains.withColumn("weight", _weight(F.col("domain"), plan.domains, plan.other)), ["root"], "domain").select("domain", F.col("given").alias("budget"))
+    langs = langs.drop("tokens")
     langs = langs.join(domains, "domain").withColumn("weight", _weight(F.col("lang"), plan.languages, plan.other))
     langs = share_out(langs, ["domain"], "lang").select("domain", "lang", F.col("given").alias("budget"))
     leaves = leaves.join(langs, ["domain", "lang"]).withColumn("weight", _weight(F.col("source"), plan.sources, plan.other))
@@ -108,7 +109,7 @@ def ends(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     at = at.groupBy(*LEAF, "rest", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     run = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("key"))
     last = at.withColumn("run", run).filter("run >= rest and run - n < rest")
-    last = last.select(*LEAF, F.col("key").alias("end_key"), F.expr("(rest - run + n) div rows").alias("end_take"), (F.col("rest") == F.col("run") - 0).alias("_whole"))
+    last = last.select(*LEAF, F.col("key").alias("end_key"), F.expr("(rest - run + n) div rows").alias("end_take"))
     return leaves.join(last, list(LEAF), "left").select(*LEAF, "epochs", "end_key", "end_take"), thin
 
 
