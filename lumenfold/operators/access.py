@@ -51,10 +51,10 @@ def decided(evidence: DataFrame, subject: str) -> DataFrame:
     return a.select(subject, outcome.alias("outcome"))
 
 
-def learned(beliefs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+def learned(claims: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     """Confidences after verdicts: confirmed ones rise by 0.2 up to 0.99, refuted ones fall by 0.3 down to 0.01; with the
     reward each verdict gives its arm."""
-    j = beliefs.join(verdicts.select(key, "verdict"), key, "left")
+    j = claims.join(verdicts.select(key, "verdict"), key, "left")
     c = F.when(F.col("verdict") == "confirmed", F.least(F.lit(0.99), F.col("confidence") + 0.2)).when(F.col("verdict") == "refuted", F.greatest(F.lit(0.01), F.col("confidence") - 0.3)).otherwise(F.col("confidence"))
     reward = F.when(F.col("verdict") == "confirmed", 1.0).when(F.col("verdict") == "refuted", 0.0).when(F.col("verdict").isNotNull(), 0.3)
-    return j.select(*[c.alias(x) if x == "confidence" else F.col(x) for x in beliefs.columns], reward.alias("reward"))
+    return j.select(*[c.alias(x) if x == "confidence" else F.col(x) for x in claims.columns], reward.alias("reward"))

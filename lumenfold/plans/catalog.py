@@ -331,7 +331,7 @@ def q_severity_cut(spark, d):
 @query("""SELECT s_suppkey, (1 - r) * 0.4::DOUBLE + e * 0.3::DOUBLE + (1 - c) * 0.3::DOUBLE AS fragility FROM (SELECT s_suppkey, CASE s_nationkey % 6 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 WHEN 3 THEN 0.4 WHEN 4 THEN 0.2 ELSE 0.1 END AS r, CASE s_suppkey % 3 WHEN 0 THEN 0.3::DOUBLE WHEN 1 THEN 0.7 ELSE 0.9 END AS e, (s_suppkey % 10) / 10::DOUBLE AS c FROM supplier)""")
 def q_fragility(spark, d):
     r = S.lookup(F.concat(F.lit("C"), (F.col("s_nationkey") % 6 + 1).cast("string")), S.ROBUSTNESS, 0.1)
-    e = S.lookup(F.element_at(F.array(F.lit("belief"), F.lit("hope"), F.lit("unknown")), (F.col("s_suppkey") % 3 + 1).cast("int")), S.EPISTEMIC, 0.9)
+    e = S.lookup(F.col("s_suppkey") % 3, dict(enumerate(S.EPISTEMIC)), S.EPISTEMIC[-1])
     return table(spark, d, "supplier").select("s_suppkey", S.fragility(r, e, F.col("s_suppkey") % 10 / 10.0).alias("fragility"))
 
 
