@@ -110,7 +110,9 @@ def ends(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     run = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("key"))
     last = at.withColumn("run", run).filter("run >= rest and run - n < rest")
     last = last.select(*LEAF, F.col("key").alias("end_key"), F.expr("(rest - run + n) div rows").alias("end_take"))
-    return leaves.join(last, list(LEAF), "left").select(*LEAF, "epochs", "end_key", "end_take"), thin
+    # As a table its size is known: a row a leaf is small enough to be sent to the documents, and where it isn't, the
+    # planner sees that and joins by shuffles.
+    return written(leaves.join(last, list(LEAF), "left").select(*LEAF, "epochs", "end_key", "end_take"), spark), thin
 
 
 def _epochs(df: DataFrame, plan: Plan) -> DataFrame:
