@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -73,6 +74,15 @@ class Encoder:
         return data.split()  # bytes: ASCII white space only
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The Python worker's own encoder: Spark keeps workers from task to task, and so they keep the words they know.
+    Functions come to a worker anew with every task, so the interpreter itself holds it."""
+    held = sys.__dict__.setdefault("_lumenfold_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Positions on the Hilbert curve of rows of whole coordinates below 2**bits, by Skilling's transform."""
     x = cells.astype(np.int64).T.copy()
@@ -117,7 +127,7 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, key, ids) of all documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(path)
+        encode = worker_encoder(path)
         for b in batches:
             for k in range(0, len(b), 1000):
                 part = b.iloc[k : k + 1000]
