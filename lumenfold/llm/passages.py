@@ -21,8 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import written
+
 MIN_SENTENCES = 2
-MIN_WORDS = 20
+MIN_WORDS = 12
 LONG_WORDS = 40
 #: A sentence ends after .!? and what white space follows, or after a line break.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+")
@@ -80,6 +82,8 @@ def removals(docs: DataFrame) -> DataFrame:
     documents that lose something have a row."""
     spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_runs, "doc_id long, start int, end int, run binary")
     first = spans.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
+    # A table of its own, so that the join's two sides are plain shuffles and a common passage's rows can be split.
+    first = written(first, docs.sparkSession)
     late = spans.join(first, "run").filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.start") == F.col("start"))))
     return late.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("all")).select("doc_id", merged(F.col("all")).alias("removed"))
 
