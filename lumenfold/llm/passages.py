@@ -1,11 +1,17 @@
-"""Substring dedup by sliding sentence spans: runs of consecutive sentences are hashed and joined over the whole corpus,
-and the sentences under any repeated run but its first are removed.
+"""Substring dedup by sliding spans: runs of consecutive sentences and windows of WINDOW words are hashed and joined over
+the whole corpus, and what is under any repeated run or window but its first is removed.
 
 A run starts at each sentence and takes on consecutive sentences until it has at least two of them and MIN_WORDS words;
 a sentence of LONG_WORDS words or more is a run alone. Where a run ends depends on its own words only, so two texts that
 share a passage have the same runs inside it, wherever it stands. The first place of a run is the smallest (doc_id,
 start). Sentences are compared by their words in lower case; hashes have 128 bits.
 
+A shared passage that begins and ends inside sentences needn't hold such a run, so every window of WINDOW words counts,
+too. Most windows are unique and are never emitted: a window's anchor, the smallest hash of its GRAM-word grams, is the
+same wherever it stands, so only windows with a repeated anchor can repeat. Repeated anchors are looked up in a filter
+of at most FILTER_BITS bits; a false hit there costs a row and changes no result. Where a text repeats itself without a
+break, a window takes nothing from its own first place.
+
 Nulls: a null text is an empty text, without runs; a null doc_id is smaller than any other. Empty tables give empty
 results. Rows that repeat a doc_id with the same text are one place and lose nothing to each other; with another text
 they share what is removed by position. Extra columns are ignored by `removals` and kept by `dedup_documents`.
@@ -16,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +33,10 @@ from lumenfold.llm.common import written
 MIN_SENTENCES = 2
 MIN_WORDS = 12
 LONG_WORDS = 40
+WINDOW = 50
+GRAM = 25
+FILTER_BITS = 1 << 29
+BLOCK_BITS = 1 << 20  # the filter is built in blocks of so many bits at most
 #: A sentence ends after .!? and what white space follows, or after a line break.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+")
 
@@ -65,6 +76,86 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part.astype({"doc_id": "Int64", "start": "int32", "end": "int32"})
 
 
+def windows(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The text's words in lower case with blanks between, the words' starts and ends in it, the hashes of all grams,
+    and the anchor of the window at each word that has one; None for a text of fewer than WINDOW words."""
+    found = (text or "").lower().split()
+    if len(found) < WINDOW:
+        return None
+    joined = " ".join(found).encode("utf-8", "surrogatepass")
+    blanks = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+    starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(joined)]])
+    digest, n = xxhash.xxh3_64_intdigest, len(starts) - GRAM + 1
+    grams = np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[GRAM - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
+    low, held = grams, 1  # the smallest of each `held` grams
+    while held < WINDOW - GRAM + 1:
+        step = min(held, WINDOW - GRAM + 1 - held)
+        low, held = np.minimum(low[:-step], low[step:]), held + step
+    return joined, starts, ends, grams, low
+
+
+def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for t in b["text"]:
+            got = windows(t)
+            if got:
+                grams, own = np.sort(got[3]), np.unique(got[4])
+                found.append(own)
+                times.append(np.searchsorted(grams, own, "right") - np.searchsorted(grams, own, "left"))
+        yield pd.DataFrame({"anchor": np.concatenate(found).view(np.int64), "n": np.concatenate(times)})
+
+
+def _bits(block: pd.DataFrame) -> pd.DataFrame:
+    flags = np.zeros(BLOCK_BITS, dtype=np.uint8)
+    flags[block["at"].to_numpy()] = 1
+    return pd.DataFrame({"block": block["block"].iloc[:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+
+def repeated_anchors(texts: DataFrame) -> np.ndarray:
+    """A filter, as bytes, that holds two bits of each anchor that stands in more than one place."""
+    spark = texts.sparkSession
+    again = written(texts.mapInPandas(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), spark)
+    bits = min(max(1 << (16 * again.count()).bit_length(), BLOCK_BITS), FILTER_BITS)
+    probes = F.explode(F.array(F.col("anchor").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("anchor", 32).bitwiseAND(F.lit(bits - 1))))
+    at = again.select(probes.alias("at")).select((F.col("at") / BLOCK_BITS).cast("int").alias("block"), (F.col("at") % BLOCK_BITS).cast("int").alias("at"))
+    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
+    for r in at.groupBy("block").applyInPandas(_bits, "block int, bits binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def word_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, run) of the windows that may repeat; an end is where the next word starts."""
+    carried = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs.select("text")))
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = carried.value
+        mask = np.uint64(8 * len(bits) - 1)
+
+        def holds(at: np.ndarray) -> np.ndarray:
+            return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+        for b in batches:
+            ids = b["doc_id"].astype(object).where(b["doc_id"].notna(), None)
+            for d, t in zip(ids, b["text"], strict=True):
+                got = windows(t)
+                if not got:
+                    continue
+                joined, starts, ends, _, low = got
+                hits = np.flatnonzero(holds(low & mask) & holds(low >> np.uint64(32) & mask))
+                if not len(hits):
+                    continue
+                at = np.array([*(m.start() for m in re.finditer(r"\S+", t)), len(t)])
+                for k in range(0, len(hits), 50_000):
+                    h = hits[k : k + 50_000]
+                    run = [xxhash.xxh3_128_digest(joined[x:y]) for x, y in zip(starts[h].tolist(), ends[h + WINDOW - 1].tolist(), strict=True)]
+                    part = pd.DataFrame({"doc_id": [d] * len(h), "start": at[h], "end": at[h + WINDOW], "run": run})
+                    yield part.astype({"doc_id": "Int64", "start": "int32", "end": "int32"})
+
+    return docs.mapInPandas(emit, "doc_id long, start int, end int, run binary")
+
+
 def merged(ranges: Column) -> Column:
     """Sorted, disjoint ranges from a document's own ones."""
     start = F.array().cast("array<struct<start:int,end:int>>")
@@ -77,14 +168,23 @@ def merged(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), start, step)
 
 
+def later(spans: DataFrame, spark: SparkSession) -> DataFrame:
+    """The spans that repeat an earlier one, with that one's first place."""
+    first = spans.groupBy("run").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
+    # A table of its own, so that the join's two sides are plain shuffles and a common passage's rows can be split.
+    first = written(first, spark)
+    return spans.join(first, "run").filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.start") == F.col("start"))))
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): the text ranges, as code points with the end exclusive, that repeat an earlier passage; only
     documents that lose something have a row."""
-    spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_runs, "doc_id long, start int, end int, run binary")
-    first = spans.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
-    # A table of its own, so that the join's two sides are plain shuffles and a common passage's rows can be split.
-    first = written(first, docs.sparkSession)
-    late = spans.join(first, "run").filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.start") == F.col("start"))))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    late = later(thin.mapInPandas(_runs, "doc_id long, start int, end int, run binary"), docs.sparkSession).select("doc_id", "start", "end")
+    # Windows that overlap their first place give what is beyond it.
+    within = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("start") < F.col("first.end"))
+    moved = later(written(word_runs(thin), docs.sparkSession), docs.sparkSession)
+    late = late.union(moved.select("doc_id", F.when(within, F.col("first.end")).otherwise(F.col("start")).alias("start"), "end").filter("start < end"))
     return late.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("all")).select("doc_id", merged(F.col("all")).alias("removed"))
 
 

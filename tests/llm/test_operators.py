@@ -214,6 +214,34 @@ def test_passages(docs, nothing):
     assert text["text"] == "Another start of it. Finish now." and text["n_chars"] == len(text["text"])
 
 
+def test_passages_at_word_offsets(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) + rnd.choice(["", "", "", "", ",", ". "])
+    text = lambda n: [word() for _ in range(n)]
+    texts = [text(rnd.randint(60, 300)) for _ in range(40)]
+    for i in range(20, 40):
+        source, n = texts[i - 20], rnd.randint(50, 60)
+        a, b = rnd.randrange(len(source) - n + 1), rnd.randrange(len(texts[i]))
+        texts[i][b:b] = source[a : a + n]
+    texts += [["a", "B"] * 100, text(49) * 2, [w.strip(". ") for w in text(60)]]
+    texts.append(texts[-1][5:])  # a passage without the end of any sentence
+    texts = ["  ".join(t) for t in texts]
+    ids = [*range(len(texts) - 1), None]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["removed"]] for r in passages.removals(df).collect()}
+    seen = {}
+    for i in sorted(range(len(ids)), key=lambda i: -1 if ids[i] is None else ids[i]):
+        at = list(re.finditer(r"\S+", texts[i]))
+        for k in range(len(at) - 49):
+            key = tuple(m[0].lower() for m in at[k : k + 50])
+            j, f = seen.setdefault(key, (i, k))
+            for m in at[max(k, f + 50) if j == i else k : k + 50] if (j, f) != (i, k) else []:
+                assert any(a <= m.start() and m.end() <= b for a, b in got[ids[i]]), (i, k)
+    assert None not in got and got[40] == [(50 * 3, len(texts[40]))]
+    clean = dict(passages.dedup_documents(df).collect())
+    assert clean[40].split() == texts[40].split()[:50] and clean[None] == texts[-1]
+
+
 def test_licenses(docs, nothing):
     assert licenses.scanned(nothing).count() == 0
     got = {r["doc_id"]: r for r in licenses.scanned(docs).collect()}
