@@ -195,6 +195,12 @@ def edges(spark, d):
     return table(spark, d, "supplier").filter("s_nationkey % 2 = 0").selectExpr("s_suppkey AS src", "s_suppkey * 7 % 101 AS dst")
 
 
+def all_edges(spark, d):
+    """An edge of every supplier, to any of them."""
+    keys = table(spark, d, "supplier").select("s_suppkey")
+    return keys.crossJoin(keys.agg((F.max("s_suppkey") + 1).alias("n"))).selectExpr("s_suppkey AS src", "s_suppkey * 7 % n AS dst")
+
+
 @query(f"""WITH RECURSIVE e AS ({EDGES}), r AS (SELECT 1::BIGINT AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r WHERE node <> 1""")
 def q_reach(spark, d):
     return G.impact(edges(spark, d), spark.createDataFrame([(1,)], "node long"))
@@ -231,7 +237,7 @@ def q_cycles(spark, d):
 @query(None)
 def q_propagation(spark, d):
     nodes = table(spark, d, "supplier").selectExpr("s_suppkey AS node", "0.05 + 0.9 * (s_suppkey % 17) / 17 AS confidence")
-    e = edges(spark, d).selectExpr("src", "dst", "CASE src % 3 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'CONTRADICTS' ELSE 'OTHER' END AS relation", "CAST(src % 2 AS DOUBLE) AS weight")
+    e = all_edges(spark, d).selectExpr("src", "dst", "CASE src % 3 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'CONTRADICTS' ELSE 'OTHER' END AS relation", "CAST(src % 2 AS DOUBLE) AS weight")
     return G.propagate(nodes, e)
 
 

@@ -149,6 +149,13 @@ def test_propagation_against_a_loop(spark):
         assert abs(r["confidence"] - 1 / (1 + math.exp(-x[r["node"]]))) < 1e-9
 
 
+def test_propagation_query_takes_every_supplier(spark, tmp_path):
+    spark.createDataFrame([(i, 1) for i in range(1, 151)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(tuple(r) for r in catalog.all_edges(spark, str(tmp_path)).collect()) == [(i, i * 7 % 151) for i in range(1, 151)]
+    got = {r["node"]: r["confidence"] for r in catalog.q_propagation(spark, str(tmp_path)).collect()}
+    assert len(got) == 150 and any(abs(c - (0.05 + 0.9 * (i % 17) / 17)) > 0.01 for i, c in got.items())
+
+
 def raw(spark, payload):
     return spark.createDataFrame([("r.json", payload if isinstance(payload, str) else json.dumps(payload))], "path string, text string")
 
