@@ -81,7 +81,7 @@ def two_hops(edges: DataFrame) -> DataFrame:
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:
-    """Cycles of one to three edges, each once, from its smallest node; longer ones need paths without a bound."""
+    """Cycles of one to three edges, each once, from its smallest node; `simple_cycles` finds those of any length."""
     e = edges.select("src", "dst").distinct()
     one = e.filter("src = dst").select(F.array("src").alias("cycle"))
     x, y, z = e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("c", "d")
@@ -90,6 +90,45 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return one.union(two).union(three)
 
 
+def _lowest(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, low): the smallest node from which edges taken from `a` to `b` lead to the node, itself included."""
+    label = cut_lineage(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("low", F.col("node")))
+    while True:
+        ahead = edges.join(label, edges[a] == label["node"]).groupBy(F.col(b).alias("_to")).agg(F.min("low").alias("_low"))
+        new = cut_lineage(label.join(ahead, label["node"] == ahead["_to"], "left").select("node", F.least("low", "_low").alias("low"), F.col("low").alias("was")))
+        label = new.select("node", "low")
+        if new.filter("low < was").isEmpty():
+            return label
+
+
+def within_components(edges: DataFrame) -> DataFrame:
+    """The distinct edges (src, dst) inside strongly connected components, loops aside."""
+    live = cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct())
+    n = live.count()
+    while n:
+        for a, b in (("src", "dst"), ("dst", "src")):
+            low = _lowest(live, a, b)
+            live = cut_lineage(live.join(low.toDF("src", "_x"), "src").join(low.toDF("dst", "_y"), "dst").filter("_x = _y").select("src", "dst"))
+        was, n = n, live.count()
+        if n == was:
+            break
+    return live
+
+
+def simple_cycles(edges: DataFrame) -> DataFrame:
+    """Simple cycles of any length, each once, from its smallest node. Paths inside strongly connected components grow
+    from their smallest node by an edge a round; the rounds end with the longest path, as many as a graph's paths are."""
+    found = edges.select("src", "dst").distinct().filter("src = dst").select(F.array("src").alias("cycle"))
+    live = within_components(edges)
+    paths = cut_lineage(live.filter("src < dst").select(F.array("src", "dst").alias("path")))
+    while not paths.isEmpty():
+        ahead = paths.join(live, F.element_at("path", -1) == live["src"])
+        found = found.union(cut_lineage(ahead.filter(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle"))))
+        on = ahead.filter((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst")))
+        paths = cut_lineage(on.select(F.array_append("path", F.col("dst")).alias("path")))
+    return found
+
+
 def contradictions(atoms: DataFrame, group: str, atom: str, positive: str) -> DataFrame:
     """Groups that state an atom with both signs: they can't be satisfied."""
     return atoms.groupBy(group, atom).agg(F.min(positive).alias("_lo"), F.max(positive).alias("_hi")).filter("_lo <> _hi").select(group, atom)

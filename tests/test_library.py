@@ -129,6 +129,17 @@ def test_graphs(spark):
     assert {r["node"]: r["depth"] for r in G.depths(e, nodes.filter("node = 1")).collect()} == {1: 0, 2: 1, 3: 2}
 
 
+def test_simple_cycles_of_any_length(spark):
+    ring = [(i, i % 5 + 1) for i in range(1, 6)]
+    rows = [*ring, ring[0], (2, 1), (5, 2), (5, 6), (6, 7), (7, 8), (8, 6), (9, 9), (8, 10), (10, 11), (None, 1), (1, None)]
+    nexts = {a: sorted({y for x, y in rows if x == a and y}) for a in range(1, 12)}
+    walk = lambda p: [c for y in nexts[p[-1]] for c in ([p] if y == p[0] else walk([*p, y]) if y > p[0] and y not in p else [])]
+    want = sorted(c for a in nexts for c in walk([a]))
+    e = spark.createDataFrame(rows, "src long, dst long")
+    assert [1, 2, 3, 4, 5] in want and sorted(r["cycle"] for r in G.simple_cycles(e).collect()) == want
+    assert G.simple_cycles(e.filter("src < 0")).count() == 0
+
+
 def test_propagation_against_a_loop(spark):
     conf = {1: 0.9, 2: 0.5, 3: 0.2}
     rel = [(1, 2, "SUPPORTS", 1.0), (2, 3, "CONTRADICTS", 0.0), (3, 1, "OTHER", 0.5)]
