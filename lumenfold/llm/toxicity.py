@@ -5,6 +5,8 @@ Viterbi search over a character lattice under a character language model; the re
 2. Channel: a token that mixes letters with signs or digits, repeats a letter three times, or is spelled out with
    separators becomes a lattice: each sign stands for itself or a letter it imitates, runs of a letter for one or two of
    it, separators for nothing. Each departure from the plain reading costs something; Viterbi finds the likeliest word.
+   A spelled-out run is read as one word and, its gaps being word ends as well, as several; tokens and runs of any
+   length are read whole.
 3. Scorer: naive Bayes over the words that labels show to be signs of toxicity. Labels are learned from at most
    MAX_LABELLED rows (the smallest hashes of their doc_ids) whose crc32 of the doc_id leaves a remainder other than 1;
    a word counts from MIN_DOCS toxic documents on and when it is at least exp(MIN_EVIDENCE) times likelier in them.
@@ -33,7 +35,6 @@ MAX_LABELLED = 30_000
 MIN_DOCS = 4  # and MIN_SHARE of the toxic rows
 MIN_SHARE = 0.01
 STEMS = (4, 5, 6)
-LONGEST = 64  # characters of a token that is decoded
 MIN_EVIDENCE = 3.0
 MAX_EVIDENCE = 6.0
 THRESHOLD = 0.7
@@ -46,10 +47,11 @@ EDGES = ".,;:!?\"'()[]{}<>|*#%&$-_~…"
 LETTERS = re.compile(r"[^\W\d_]")
 REPEAT = re.compile(r"([^\W\d_])\1\1")
 SPELLED = re.compile(r"(?<!\S)(?:[^\W_][\x20.*_~-]{1,3}){2,}[^\W_](?![^\s.,;:!?])")
-MIXED = re.compile(r"[^\W\d_].*[\d@$!|+(€£*#.\-_~·]|[\d@$!|+(€£*#.\-_~·].*[^\W\d_]")
+SIGNS = re.compile(r"[\d@$!|+(€£*#.\-_~·]")
 MIXERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 NO_SIGN = -1.5  # log odds that a text without any sign loses against the share of toxic rows
 CHANNEL = -2.0  # log weight of reading a sign as a letter
+GAP = -1.0  # of reading a single separator as a word end, or a wider gap as none
 MERGE = -0.5  # of reading a run as fewer letters
 
 
@@ -69,15 +71,15 @@ class Model:
     def step(self, two: str, c: str) -> float:
         return log((self.three.get(two + c, 0) + 1) / (self.two.get(two, 0) + CHARS))
 
-    def decode(self, token: str) -> str:
-        """The likeliest word behind a token; its letters stand for themselves."""
+    def decode(self, token: str, breaks: bool = False) -> str:
+        """The likeliest word behind a token, or words with `breaks`; its letters stand for themselves."""
         runs: list[tuple[str, int]] = []
         for c in token:
             if runs and runs[-1][0] == c:
                 runs[-1] = (c, runs[-1][1] + 1)
             else:
                 runs.append((c, 1))
-        best: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+        best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}  # what was read is a chain from the end
         for c, n in runs:
             arcs: list[tuple[str, float]] = []
             if LETTERS.fullmatch(c):
@@ -87,24 +89,35 @@ class Model:
             else:
                 arcs += [(x * m, CHANNEL if m == min(n, 2) else CHANNEL + 4 * MERGE) for x in LOOKS.get(c, "") for m in ((1,) if n == 1 else (1, 2))]
                 if c in SEPARATORS or c == " ":
-                    arcs.append(("", 0.0))
+                    arcs.append(("", GAP if breaks and n > 1 else 0.0))
+                    if breaks:
+                        arcs.append((" ", 0.0 if n > 1 else GAP))
                 elif not arcs:
                     arcs.append(("", CHANNEL))
-            new: dict[str, tuple[float, str]] = {}
+            new: dict[str, tuple[float, tuple | None]] = {}
             for state, (score, out) in best.items():
                 for text, cost in arcs:
                     s, v = state, score + cost
-                    for x in text:
-                        v += self.step(s, x)
-                        s = s[1] + x
+                    if text == " ":
+                        v += self.step(s, " ") if s != "  " else 0.0
+                        s = "  "
+                    else:
+                        for x in text:
+                            v += self.step(s, x)
+                            s = s[1] + x
                     if s not in new or new[s][0] < v:
-                        new[s] = (v, out + text)
+                        new[s] = (v, (out, text) if text else out)
             best = new
-        return max((v + self.step(s, " "), out) for s, (v, out) in best.items())[1]
+        _, out = max(((v + self.step(s, " "), out) for s, (v, out) in best.items()), key=lambda x: x[0])
+        parts = []
+        while out is not None:
+            out, text = out
+            parts.append(text)
+        return "".join(reversed(parts))
 
 
 def suspicious(token: str) -> bool:
-    return bool(REPEAT.search(token) or MIXED.search(token)) and len(token) <= LONGEST
+    return bool(REPEAT.search(token) or (LETTERS.search(token) and SIGNS.search(token)))
 
 
 def features(word: str) -> list[str]:
@@ -114,10 +127,10 @@ def features(word: str) -> list[str]:
 
 class Restorer:
     """What `pick` makes of each word of a text and of the words behind its obfuscated tokens; results for tokens are
-    remembered, up to CACHE of them."""
+    remembered, up to CACHE of them. `inside` are words that are also sought anywhere in a spelled-out run."""
 
-    def __init__(self, model: Model, pick: Callable[[str], Iterable[str]] = features) -> None:
-        self.model, self.pick, self.known = model, pick, {}
+    def __init__(self, model: Model, pick: Callable[[str], Iterable[str]] = features, inside: Iterable[str] = ()) -> None:
+        self.model, self.pick, self.inside, self.known = model, pick, tuple(inside), {}
 
     def forms(self, token: str) -> set[str]:
         inner = token.strip(EDGES)
@@ -141,7 +154,10 @@ class Restorer:
             if got:
                 found.update(got)
         for m in SPELLED.finditer(low):
-            found.update(self.pick(self.model.decode(m[0][:LONGEST])))
+            whole = self.model.decode(m[0])
+            for w in {whole, *self.model.decode(m[0], breaks=True).split()}:
+                found.update(self.pick(w))
+            found.update(w for w in self.inside if w in whole)
         return found
 
 
@@ -233,7 +249,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             """The strongest sign that a word is, so that a word and its beginnings don't count twice."""
             return sorted((x for x in features(word) if x in signs), key=lambda x: (-signs[x], x))[:1]
 
-        restore = Restorer(Model(carried.value), best)
+        restore = Restorer(Model(carried.value), best, [w for w in signs if w[0] != "^" and len(w) >= STEMS[0]])
         for b in batches:
             odds = [prior + sum(sorted(signs[x] for x in restore(t))) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": [1 / (1 + exp(-max(min(o, 60.0), -700.0))) for o in odds]})

@@ -326,3 +326,13 @@ def test_toxicity(spark, docs):
     assert toxicity.scored(df.filter("doc_id < 0"), labels).count() == 0
 
 
+def test_toxicity_reads_whole_runs():
+    rnd = random.Random(8)
+    words = ["you", "are", "such", "person", "scoundrel", *("".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(2)) for _ in range(200))]
+    grams = Counter(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1) for _ in range(100))
+    restore = toxicity.Restorer(toxicity.Model(grams), lambda w: [w], ["scoundrel"])
+    spelled = lambda x: " ".join(x.replace(" ", ""))
+    for text in ("you are such scoundrel", "scoundrel a", "a scoundrel", "such person " * 6 + "scoundrel", "such person " * 2000 + "scoundrel"):
+        assert "scoundrel" in restore(spelled(text)), text
+    assert {"you", "are"} <= restore("y o u   a r e   s u c h") and "scoundrel" in restore("scoundr" + "e" * 90 + "l")
+    assert restore("q" * 50_000) >= {"q" * 50_000} and not restore(spelled("such person")) & {"scoundrel"}
