@@ -61,6 +61,10 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [fingerprint(t) for t in b["text"]]})
 
 
+def _prints(texts: pd.Series) -> pd.Series:
+    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp), a row per document."""
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -93,8 +97,8 @@ def far_links(prints: DataFrame) -> DataFrame:
     return x.join(y, (x["key"] == y["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every document: the smallest doc_id that links reach, itself included."""
+def rooted(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, whole) for every document; whole is a fingerprint that stands for the component."""
     spark = docs.sparkSession
     rows = written(fingerprints(docs), spark)
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), spark)
@@ -105,22 +109,35 @@ def grouped(docs: DataFrame) -> DataFrame:
     joined = comp.join(second, comp["comp"] == second["node"], "left").select("fp", "first_id", F.coalesce("root", "comp").alias("whole"))
     joined = written(joined, spark)
     names = joined.groupBy("whole").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(names, "whole").select(F.col("fp").alias("fp2"), "component_id")
-    return rows.join(named, rows["fp"] == named["fp2"]).select("doc_id", "fp", "component_id")
+    named = joined.join(names, "whole").select(F.col("fp").alias("fp2"), "component_id", "whole")
+    return rows.join(named, rows["fp"] == named["fp2"]).select("doc_id", "fp", "component_id", "whole")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every document: the smallest doc_id that links reach, itself included."""
+    return rooted(docs).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their component; columns as they come. Where rows repeat such a doc_id, one of them
-    stays: only those few doc_ids go through a grouping of texts."""
+    """One document of each component, the one with the smallest doc_id; columns as they come. A doc_id tells rows
+    apart only where it is neither null nor repeated; elsewhere the fingerprint is taken anew and met with it."""
     spark = docs.sparkSession
-    found = written(grouped(docs), spark)
-    named = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    named = named.withColumnRenamed("doc_id", "_named")
-    kept = docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named["_named"]))
+    found = written(rooted(docs), spark)
+    best = found.groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("best"))
+    best = written(best.select(F.col("best.doc_id").alias("_named"), F.col("best.fp").alias("_key")), spark)
+    ids = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(ids.filter("n > 1").select("_id"), spark)
     columns = [docs[c] for c in docs.columns]
-    # A repeated id is spread over a grouping by id; it holds copies of one row's id, not a group of near copies.
-    single, many = kept.filter("_rows = 1").select(*columns), kept.filter("_rows > 1").select(*columns)
-    return single.unionByName(many.dropDuplicates(["doc_id"]))
+    row_id = docs["doc_id"].cast("long")
+    once = best.filter("_named is not null").join(repeated, F.col("_named") == F.col("_id"), "left_anti")
+    single = docs.join(once, row_id == once["_named"]).select(*columns)
+    if repeated.isEmpty() and found.filter("doc_id is null").isEmpty():
+        return single
+    unclear = docs.filter(row_id.isNull()).unionByName(docs.join(repeated, row_id == repeated["_id"], "left_semi"))
+    unclear = unclear.withColumn("_print", F.pandas_udf(_prints, "long")("text"))
+    met = unclear.join(best, unclear["doc_id"].cast("long").eqNullSafe(best["_named"]) & (unclear["_print"] == best["_key"]))
+    # Rows with one doc_id and one fingerprint are of one component.
+    return single.unionByName(met.dropDuplicates(["_named", "_key"]).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

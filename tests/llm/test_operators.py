@@ -143,6 +143,15 @@ def test_fingerprints_and_groups(docs, nothing):
     assert sorted(ids) == sorted({v for v in by.values()})
 
 
+def test_one_document_of_each_group_without_good_ids(spark):
+    rnd = random.Random(7)
+    text = lambda: " ".join("".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (7, c), (7, d), (7, e), (7, e), (8, e), (9, f)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(None, a), (None, b), (7, c), (7, d), (7, e), (9, f)])
+
+
 def test_links_against_all_pairs(spark, monkeypatch):
     rnd = random.Random(5)
     prints = []
