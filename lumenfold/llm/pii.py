@@ -3,7 +3,8 @@
 Bootstrapping: base matches (seeds) and looser identifier shapes (candidates) are instances; the words beside an instance
 are its lexical patterns. On the graph of patterns and instances Spark scores in rounds: a pattern is as good for a kind
 as the share of its instances' scores among all instances that stand in it, an instance as good as a noisy-or of its
-patterns. Candidates in patterns of high confidence become spans. General contexts hold every kind of seed and stay weak.
+patterns. Candidates in patterns of high confidence become spans and count as seeds of further patterns, until nothing
+new is accepted. General contexts hold every kind of seed and stay weak.
 
 Nulls: a null text is an empty text; a null doc_id stays null. Empty tables give empty results; each repeated row gets
 its row. Extra columns are ignored. Spans are code points, end exclusive. JVM expressions only, and the text is never
@@ -28,12 +29,12 @@ BASE = {
 }
 #: Looser shapes of the same kinds: spelled-out or defanged addresses, numbers that fail the base tests.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[({]?(?:(?i)at|@)[\])}]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[({]?(?:\.|(?i)dot)[\])}]?\x20?[A-Za-z0-9-]{1,63}+){1,6}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20(?i:at)\x20[A-Za-z0-9-]{1,63}+(?:\x20(?i:dot)\x20[A-Za-z0-9-]{1,63}+){1,6}|\x20?[\[({]?(?:(?i)at|@)[\])}]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[({]?(?:\.|(?i)dot)[\])}]?\x20?[A-Za-z0-9-]{1,63}+){1,6})",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9.])",
     "card": r"(?<![0-9+])[0-9](?:[\x20./-]?[0-9]){11,19}(?![0-9])",
     "phone": r"(?<![0-9+.])\(?[0-9]{2,4}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){2,5}(?![0-9.])",
 }
-LOOSE_MARKS = {"email": r"(?i)[\[({](?:at|@)[\])}]", "ip": r"[0-9](?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]", "card": r"[0-9](?:[\x20./-]?[0-9]){11}", "phone": r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{2}"}
+LOOSE_MARKS = {"email": r"(?i)[\[({]?(?:at|@)[\])}]|\x20at\x20[a-z0-9-]{1,63}+\x20dot\x20", "ip": r"[0-9](?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]", "card": r"[0-9](?:[\x20./-]?[0-9]){11}", "phone": r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{2}"}
 ROUNDS = 3
 MIN_SEEDS = 5  # distinct seeds that a pattern needs
 MIN_SCORE = 0.8
@@ -92,19 +93,25 @@ def scored(edges: DataFrame) -> DataFrame:
     """(kind, value, score) of candidates, from edges (pattern, kind, value, seed)."""
     spark = edges.sparkSession
     edges = edges.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"))
-    # Only patterns that hold a candidate and enough seeds of one kind can say anything.
-    able = edges.groupBy("pattern", "kind").agg(F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS).select("pattern", "kind")
-    asked = edges.filter(~F.col("seed")).select("pattern", "kind").distinct().join(able, ["pattern", "kind"], "left_semi")
-    edges = written(edges.join(asked.select("pattern").distinct(), "pattern", "left_semi"), spark)
-    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("all_instances"))
+    # Only patterns that hold a candidate can say anything.
+    asked = edges.filter(~F.col("seed")).select("pattern").distinct()
+    edges = written(edges.join(asked, "pattern", "left_semi"), spark)
+    total = written(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("all_instances")), spark)
     scores = edges.filter(~F.col("seed")).select("kind", "value").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(ROUNDS):
-        known = edges.join(scores, ["kind", "value"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        good = known.groupBy("pattern", "kind").agg(F.sum("score").alias("got"), F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-        good = good.join(total, "pattern").select("pattern", "kind", (F.col("got") / F.col("all_instances")).alias("p"))
-        miss = F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))
-        scores = written(edges.filter(~F.col("seed")).join(good, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(miss))).alias("score")), spark)
-    return scores
+    accepted, n = scores.filter("false").select("kind", "value", F.lit(True).alias("taken")), 0
+    while True:
+        held = written(edges.join(accepted, ["kind", "value"], "left").withColumn("taken", F.col("seed") | F.coalesce("taken", F.lit(False))), spark)
+        for _ in range(ROUNDS):
+            known = held.join(scores, ["kind", "value"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+            good = known.groupBy("pattern", "kind").agg(F.sum("score").alias("got"), F.count_if("taken").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
+            good = good.join(total, "pattern").select("pattern", "kind", (F.col("got") / F.col("all_instances")).alias("p"))
+            miss = F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))
+            scores = written(held.filter(~F.col("seed")).join(good, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(miss))).alias("score")), spark)
+        # Seeds only become more, and with them the scores: what was accepted stays so.
+        accepted = scores.filter(F.col("score") >= MIN_SCORE).select("kind", "value", F.lit(True).alias("taken"))
+        was, n = n, accepted.count()
+        if n <= was:
+            return scores
 
 
 def extracted(docs: DataFrame) -> DataFrame:

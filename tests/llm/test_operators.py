@@ -101,6 +101,20 @@ def test_pii_learns_contexts(spark):
     assert [s["value"] for s in got[40]] == ["jane.roe[at]mail.example.com"] and not got[41]
 
 
+def test_pii_goes_on_from_what_it_found(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3))
+    name = lambda i: f"{word()}{i}[at]mail.example.com"
+    met = [name(i) for i in range(12)]
+    texts = [f"{word()} write to mailbox {word()}{i}@mail.example.com {word()}" for i in range(60)]
+    texts += [f"{word()} write to mailbox {x} {word()}" for x in met] + [f"{word()} reply via postbox {x} {word()}" for x in met]
+    texts += [f"{word()} reply via postbox {name(99)} {word()}", f"{word()} {word()} {name(98)} {word()}"]
+    texts.append("zz write to mailbox jane at example dot com zz")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in pii.extracted(df).collect()}
+    assert all(len(got[i]) == 1 for i in range(85)) and not got[85] and got[86] == ["jane at example dot com"]
+
+
 def test_secrets(docs, nothing, spark):
     kinds = {"assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
     fits = lambda k, m: len(m[2]) >= 8 if k == "assign" else len(m[0]) >= (16 if k == "access" else 32)
