@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,11 @@ SPAN_TYPE = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests, local mode)."""
+    """The folder that driver and executors share. Where none is set, a temporary one of this machine serves a local
+    master; on a cluster each executor would write to its own disk, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.sparkContext.setCheckpointDir(found)
@@ -78,3 +82,15 @@ def span_list(spans: Column) -> Column:
 
 def of_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def chunks(sizes: list[int], rows: int, total: int) -> Iterator[slice]:
+    """Slices of consecutive rows, at most `rows` of them and of `total` size together; a larger row comes alone."""
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and (k - first == rows or held + n > total):
+            yield slice(first, k)
+            first, held = k, 0
+        held += n
+    if first < len(sizes):
+        yield slice(first, len(sizes))

@@ -1,12 +1,13 @@
 """Packing along a space-filling curve: hashed document vectors are projected to a few dimensions, documents are
 range-sorted by the Hilbert key of the projection, and neighbours on the curve are packed one after the other.
 
-A partition of the range sort is one stretch of the curve. Its documents' ids are laid end to end and cut every
-SEQUENCE ids; the rest of a stretch is cut into lengths that are powers of two, which need no padding.
+A partition of the range sort is one stretch of the curve, of STRETCH ids or so at any corpus size. Its documents' ids
+are laid end to end and cut every SEQUENCE ids; the rest of a stretch is one sequence, the only one that is padded.
 
 Texts are encoded word by word through a cache: the vocabulary's tokenizer drops white space and never joins characters
 across it, so a text's ids are those of its words (tested against whole texts). Ids are kept as two bytes each between
 the two passes; they are written once to the shared folder, so that the range sort's sampling reads and doesn't encode.
+doc_ids cross Python as text, as a batch with a null would make doubles of them.
 
 Nulls: a null text is an empty text, which has the end id alone; a null doc_id stays null. Empty tables give empty
 results. Repeated rows are packed as often as they come. Extra columns are ignored. Documents with equal keys are
@@ -16,7 +17,6 @@ ordered by doc_id, so a large group of copies is spread over many stretches.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import written
+from lumenfold.llm.common import chunks, written
 
 SEQUENCE = 4096
 END_ID = 2
@@ -36,9 +36,13 @@ DIMENSIONS, BITS = 4, 10
 BUCKETS = 2048
 REACH = 4.0  # projections of unit vectors, in standard deviations, that the curve's cube covers
 SEED = 7
-CACHE = 1_000_000  # words that a worker's cache may hold
-#: Marks between an ASCII letter and white space; the tokenizer cuts there, too.
-MARKS = re.compile(rb"(?<=[a-z])[.,!?;:]+(?=[ \n]|\Z)")
+CACHE = 1_000_000  # words that a worker's cache may hold; it changes speed alone
+STRETCH, LEAST_STRETCH = 32_000_000, 1_000_000  # ids of a stretch of the curve; the least ones, where cores are idle
+#: Marks behind a word that ends in an ASCII letter are encoded apart; the tokenizer cuts there, too.
+MARKS = b".,!?;:"
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Stands between words that are encoded in one call. It is one id, and only words that hold it give that id, too.
+BETWEEN = "\x1f"
 
 
 class Encoder:
@@ -51,27 +55,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids don't fit in two bytes")
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids[0]
         self.known: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self.words(t or "") for t in texts]
-        # One call for all new words of the chunk: a call has a high fixed price, a word hardly any.
-        new = list(set().union(*split) - self.known.keys())
-        known = self.known if len(self.known) + len(new) <= CACHE else dict(self.known)  # a full cache stays as it is
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u2").tobytes()
+        known, more = self.known, {}
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) <= CACHE:
+            self.encode(new, known, known)
+            found = known.__getitem__
+        else:  # a full cache stays as it is; what is new is held for this chunk alone
+            self.encode(new, known, more)
+            found = lambda w: more[w] if w in more else known[w]
         end = END_ID.to_bytes(2, "little")
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        return [b"".join(map(found, words)) + end for words in split]
+
+    def encode(self, new: set[bytes], known: dict[bytes, bytes], into: dict[bytes, bytes]) -> None:
+        """Puts the ids of new words into `into`."""
+        ends, stems = {}, []
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem and stem[-1] in LETTERS and b"<|" not in w:
+                ends[w] = stem
+                stems += [x for x in (stem, w[len(stem) :]) if x not in known and x not in new]
+            else:
+                stems.append(w)
+        plain, held = [], BETWEEN.encode()
+        for w in dict.fromkeys(stems):
+            if held in w:
+                into[w] = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u2").tobytes()
+            else:
+                plain.append(w)
+        if plain:
+            # One call for all: a call and its answer have a high fixed price, a word hardly any.
+            line = f" {BETWEEN} ".encode().join(plain).decode()
+            ids = np.asarray(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u2")
+            cuts, data = np.flatnonzero(ids == self.between), ids.tobytes()
+            starts, stops = [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(data)]
+            for w, a, b in zip(plain, starts, stops, strict=True):
+                into[w] = data[a:b]
+        for w, stem in ends.items():
+            marks = w[len(stem) :]
+            into[w] = (into[stem] if stem in into else known[stem]) + (into[marks] if marks in into else known[marks])
 
     @staticmethod
     def words(text: str) -> list[bytes]:
-        """Parts of a text that are encoded apart: words, in lower case and without the marks behind them, and the
-        marks. Texts that may hold the strings of special tokens keep their words as they are."""
+        """Parts of a text that are encoded apart, in lower case. Texts that may hold the strings of special tokens
+        keep their words as they are."""
         data = text.encode("utf-8", "surrogatepass")
-        if b"<|" not in data:
-            data = MARKS.sub(rb" \g<0>", data.lower())
-        return data.split()  # bytes: ASCII white space only
+        return (data if b"<|" in data else data.lower()).split()  # bytes: ASCII white space only
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -115,26 +148,29 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
     """Hilbert keys of encoded texts: ids hashed to BUCKETS counts, square roots, unit length, a seeded projection."""
     plane = np.random.default_rng(SEED).standard_normal((BUCKETS, DIMENSIONS))
     spots = np.empty((len(texts), DIMENSIONS))
-    for k, t in enumerate(texts):
-        ids = np.frombuffer(t, dtype="<u2").astype(np.uint32)
-        at = (ids * np.uint32(2654435761)) >> np.uint32(21)  # multiplicative hash to 11 bits
-        v = np.sqrt(np.bincount(at, minlength=BUCKETS))
-        spots[k] = (v / np.linalg.norm(v)) @ plane
+    for one in chunks([len(t) for t in texts], 256, 1 << 22):
+        part = texts[one]
+        ids = np.frombuffer(b"".join(part), dtype="<u2").astype(np.uint32)
+        at = ((ids * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64)  # multiplicative hash to 11 bits
+        rows = np.repeat(np.arange(len(part)), [len(t) // 2 for t in part])
+        v = np.sqrt(np.bincount(rows * BUCKETS + at, minlength=len(part) * BUCKETS).reshape(len(part), BUCKETS))
+        spots[one] = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ plane
     cells = np.clip((spots + REACH) / (2 * REACH) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return hilbert(cells)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, key, ids) of all documents."""
+    """(doc_id, key, n, ids) of all documents; n is how many ids there are."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = worker_encoder(path)
         for b in batches:
-            for k in range(0, len(b), 1000):
-                part = b.iloc[k : k + 1000]
+            for one in chunks([len(t or "") for t in b["text"]], 1000, 1 << 23):
+                part = b.iloc[one]
                 ids = encode(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "key": curve_keys(ids), "ids": ids})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "key": curve_keys(ids), "n": [len(x) // 2 for x in ids], "ids": ids})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, key long, ids binary")
+    thin = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+    return thin.mapInPandas(run, "doc_id string, key long, n long, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,10 +188,10 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def frame() -> pd.DataFrame:
         rows = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         out.clear()
-        return rows.astype({"doc_id": "Int64"} | dict.fromkeys(rows.columns[1:], "int64"))
+        return rows.astype({"doc_id": "object"} | dict.fromkeys(rows.columns[1:], "int64"))
 
     for b in batches:
-        for doc, ids in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["ids"], strict=True):
+        for doc, ids in zip(b["doc_id"], b["ids"], strict=True):
             total, at = len(ids) // 2, 0
             while at < total:
                 stop = min(total, at + SEQUENCE - filled)
@@ -166,27 +202,21 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     made, held, filled = made + 1, [], 0
             if len(out) > 20_000:
                 yield frame()
-    while filled:  # the largest power of two that is left
-        room, taken = 1 << (filled.bit_length() - 1), []
-        filled -= room
-        while room:
-            doc, ids, start, stop, total = held.pop(0)
-            cut = min(stop, start + room)
-            taken.append((doc, ids, start, cut, total))
-            room -= cut - start
-            if cut < stop:
-                held.insert(0, (doc, ids, cut, stop, total))
-        emit(taken, made)
-        made += 1
+    if filled:
+        emit(held, made)
     if out:
         yield frame()
 
 
 def packed(docs: DataFrame, path: str) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = written(encoded(docs, path), docs.sparkSession)
-    sorted_rows = rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return sorted_rows.select("doc_id", "ids").mapInPandas(_pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    spark = docs.sparkSession
+    rows = written(encoded(docs, path), spark)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    stretches = max(-(-total // STRETCH), min(2 * spark.sparkContext.defaultParallelism, -(-total // LEAST_STRETCH)), 1)
+    sorted_rows = rows.repartitionByRange(stretches, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    pieces = sorted_rows.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(_pack, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def tokenizer_path() -> str:
