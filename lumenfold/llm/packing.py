@@ -17,7 +17,9 @@ ordered by doc_id, so a large group of copies is spread over many stretches.
 from __future__ import annotations
 
 import os
+import string
 import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -38,11 +40,19 @@ REACH = 4.0  # projections of unit vectors, in standard deviations, that the cur
 SEED = 7
 CACHE = 1_000_000  # words that a worker's cache may hold; it changes speed alone
 STRETCH, LEAST_STRETCH = 32_000_000, 1_000_000  # ids of a stretch of the curve; the least ones, where cores are idle
-#: Marks behind a word that ends in an ASCII letter are encoded apart; the tokenizer cuts there, too.
-MARKS = b".,!?;:"
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: ASCII marks behind a letter are encoded apart; the tokenizer cuts there, too.
+MARKS = string.punctuation.encode()
+LETTERS = frozenset(string.ascii_lowercase.encode())
 #: Stands between words that are encoded in one call. It is one id, and only words that hold it give that id, too.
 BETWEEN = "\x1f"
+#: The character by which byte-level vocabularies write each byte: visible Latin-1 ones themselves, the others from 256 on.
+VISIBLE = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+BYTE_CHARS = {b: chr(b) if b in VISIBLE else chr(256 + k - sum(v < b for v in VISIBLE)) for k, b in enumerate(range(256))}
+
+
+def ends_in_letter(word: str) -> bool:
+    """Whether a word does so as the tokenizer sees it, in normal form and lower case."""
+    return unicodedata.normalize("NFC", word).lower()[-1].isalpha()
 
 
 class Encoder:
@@ -51,8 +61,13 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words that are letters alone, in lower case and in normal form: nothing is left to do but
+        # to split at blanks.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids don't fit in two bytes")
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids[0]
@@ -76,25 +91,32 @@ class Encoder:
         ends, stems = {}, []
         for w in new:
             stem = w.rstrip(MARKS)
-            if len(stem) < len(w) and stem and stem[-1] in LETTERS and b"<|" not in w:
+            if len(stem) < len(w) and stem and (stem[-1] in LETTERS or ends_in_letter(stem.decode())) and b"<|" not in w:
                 ends[w] = stem
                 stems += [x for x in (stem, w[len(stem) :]) if x not in known and x not in new]
             else:
                 stems.append(w)
-        plain, held = [], BETWEEN.encode()
+        plain, rest = ([], []), ([], [])
         for w in dict.fromkeys(stems):
-            if held in w:
-                into[w] = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u2").tobytes()
+            if w.isalpha() and w.islower():
+                plain[0].append(w)
+                plain[1].append(w.decode())
+            elif (u := w.decode()).isalpha() and u == u.lower() and unicodedata.is_normalized("NFC", u):
+                plain[0].append(w)
+                plain[1].append(w.decode("latin-1").translate(BYTE_CHARS))
+            elif BETWEEN in u:
+                into[w] = np.asarray(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype="<u2").tobytes()
             else:
-                plain.append(w)
-        if plain:
-            # One call for all: a call and its answer have a high fixed price, a word hardly any.
-            line = f" {BETWEEN} ".encode().join(plain).decode()
-            ids = np.asarray(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u2")
-            cuts, data = np.flatnonzero(ids == self.between), ids.tobytes()
-            starts, stops = [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(data)]
-            for w, a, b in zip(plain, starts, stops, strict=True):
-                into[w] = data[a:b]
+                rest[0].append(w)
+                rest[1].append(u)
+        for tokenizer, between, (keys, texts) in ((self.plain, BYTE_CHARS[ord(BETWEEN)], plain), (self.tokenizer, BETWEEN, rest)):
+            if keys:
+                # One call for all: a call and its answer have a high fixed price, a word hardly any.
+                ids = np.asarray(tokenizer.encode_batch_fast([f" {between} ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u2")
+                cuts, data = np.flatnonzero(ids == self.between), ids.tobytes()
+                starts, stops = [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(data)]
+                for w, a, b in zip(keys, starts, stops, strict=True):
+                    into[w] = data[a:b]
         for w, stem in ends.items():
             marks = w[len(stem) :]
             into[w] = (into[stem] if stem in into else known[stem]) + (into[marks] if marks in into else known[marks])

@@ -213,7 +213,7 @@ def test_packing_round_trip(docs, nothing):
 
 def test_encoder_equals_whole_texts():
     rnd = random.Random(2)
-    parts = ["a", "B", "é", "é", "'s", "don't", "...", "x.", "X.", "ß", "İ", "Σ", "ΑΣ", "中", " ", "\x1c", "\x0b", "\x85", "1", "2.5", "<|endoftext|>", "<|", "<|ENDOFTEXT|>", "\n", " ", "🙂", "ﬁ", "?!", "'LL", "—"]
+    parts = ["a", "B", "é", "é", "'s", "don't", "...", "x.", "X.", "ß", "İ", "Σ", "ΑΣ", "中", " ", "\x1c", "\x0b", "\x85", "1", "2.5", "<|endoftext|>", "<|", "<|ENDOFTEXT|>", "\n", " ", "🙂", "ﬁ", "?!", "'LL", "—", "&&&", "é_", "—,", "straße", "e\u0301", "\u0301", "\x1f", "ñ", "Ñ.", "ʼn", "ǆ", "ª"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(2000)]
     encode = packing.Encoder(packing.tokenizer_path())
     whole = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
