@@ -1,7 +1,7 @@
 """Packing along a space-filling curve: hashed document vectors are projected to a few dimensions, documents are
 range-sorted by the Hilbert key of the projection, and neighbours on the curve are packed one after the other.
 
-A partition of the range sort is one stretch of the curve, of STRETCH ids or so at any corpus size. Its documents' ids
+A partition of the range sort is one stretch of the curve, of STRETCH ids or so (more only beyond MANY ids). Its documents' ids
 are laid end to end and cut every SEQUENCE ids; the rest of a stretch is one sequence, the only one that is padded.
 
 Texts are encoded word by word through a cache: the vocabulary's tokenizer drops white space and never joins characters
@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,8 @@ BUCKETS = 2048
 REACH = 4.0  # projections of unit vectors, in standard deviations, that the curve's cube covers
 SEED = 7
 CACHE = 1_000_000  # words that a worker's cache may hold; it changes speed alone
-STRETCH, LEAST_STRETCH = 32_000_000, 1_000_000  # ids of a stretch of the curve; the least ones, where cores are idle
+STRETCH, LEAST_STRETCH = 6_000_000, 1_000_000  # ids of a stretch of the curve; the least ones, where cores are idle
+MANY = 100_000_000_000  # ids beyond which stretches grow as the square root of the corpus, as the driver samples their bounds
 #: ASCII marks behind a letter are encoded apart; the tokenizer cuts there, too.
 MARKS = string.punctuation.encode()
 LETTERS = frozenset(string.ascii_lowercase.encode())
@@ -74,59 +77,76 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t or "") for t in texts]
-        known, more = self.known, {}
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) <= CACHE:
-            self.encode(new, known, known)
-            found = known.__getitem__
-        else:  # a full cache stays as it is; what is new is held for this chunk alone
-            self.encode(new, known, more)
-            found = lambda w: more[w] if w in more else known[w]
+        counts, places, words = self.words(texts)
+        known = self.known
+        parts = list(map(known.get, words))
+        holes = [i for i, x in enumerate(parts) if x is None]
+        # A full cache stays as it is; what is new is held for this chunk alone.
+        into = known if len(known) + len(holes) <= CACHE else {}
+        self.encode({words[i] for i in holes}, into)
+        for i in holes:
+            parts[i] = into[words[i]]
+        # Each place of a word takes the word's ids, all places at once.
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[places]
+        stops = np.cumsum(n)
+        ids = np.frombuffer(b"".join(parts), dtype="<u2")[np.repeat(starts[places] - stops + n, n) + np.arange(n.sum())]
+        cuts = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])].tolist()
         end = END_ID.to_bytes(2, "little")
-        return [b"".join(map(found, words)) + end for words in split]
+        return [ids[a:b].tobytes() + end for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def encode(self, new: set[bytes], known: dict[bytes, bytes], into: dict[bytes, bytes]) -> None:
+    @staticmethod
+    def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """How many parts each text has that are encoded apart, the parts by number, and the distinct parts: words in
+        lower case. Texts that may hold the strings of special tokens keep their words as they are."""
+        column = pa.array([t or "" for t in texts], pa.large_string())
+        column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        lists = pc.ascii_split_whitespace(column)  # blanks at an end leave an empty part, which has no ids
+        parts = lists.flatten().dictionary_encode()
+        return pc.list_value_length(lists).to_numpy(zero_copy_only=False), parts.indices.to_numpy(zero_copy_only=False), parts.dictionary.cast(pa.large_binary()).to_pylist()
+
+    def encode(self, new: set[bytes], into: dict[bytes, bytes]) -> None:
         """Puts the ids of new words into `into`."""
-        ends, stems = {}, []
-        for w in new:
-            stem = w.rstrip(MARKS)
-            if len(stem) < len(w) and stem and (stem[-1] in LETTERS or ends_in_letter(stem.decode())) and b"<|" not in w:
-                ends[w] = stem
-                stems += [x for x in (stem, w[len(stem) :]) if x not in known and x not in new]
-            else:
-                stems.append(w)
-        plain, rest = ([], []), ([], [])
-        for w in dict.fromkeys(stems):
+        plain, mapped, rest, ends = [], {}, [], {}
+
+        def sort(w: bytes) -> None:
             if w.isalpha() and w.islower():
-                plain[0].append(w)
-                plain[1].append(w.decode())
+                plain.append(w)
             elif (u := w.decode()).isalpha() and u == u.lower() and unicodedata.is_normalized("NFC", u):
-                plain[0].append(w)
-                plain[1].append(w.decode("latin-1").translate(BYTE_CHARS))
+                mapped[w] = w.decode("latin-1").translate(BYTE_CHARS).encode()
             elif BETWEEN in u:
                 into[w] = np.asarray(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype="<u2").tobytes()
             else:
-                rest[0].append(w)
-                rest[1].append(u)
-        for tokenizer, between, (keys, texts) in ((self.plain, BYTE_CHARS[ord(BETWEEN)], plain), (self.tokenizer, BETWEEN, rest)):
+                rest.append(w)
+
+        into[b""] = b""
+        for w in new:
+            if w.isalpha() and w.islower():
+                plain.append(w)
+                continue
+            stem = w.rstrip(MARKS)
+            if stem and len(stem) < len(w) and (stem[-1] in LETTERS or ends_in_letter(stem.decode())) and b"<|" not in w:
+                ends[w] = stem
+            elif w:
+                sort(w)
+        for w in {x for w, stem in ends.items() for x in (stem, w[len(stem) :])} - new:
+            if w not in into:
+                if w in self.known:
+                    into[w] = self.known[w]
+                else:
+                    sort(w)
+        for tokenizer, between, keys, texts in ((self.plain, BYTE_CHARS[ord(BETWEEN)], plain, plain), (self.plain, BYTE_CHARS[ord(BETWEEN)], list(mapped), mapped.values()), (self.tokenizer, BETWEEN, rest, rest)):
             if keys:
                 # One call for all: a call and its answer have a high fixed price, a word hardly any.
-                ids = np.asarray(tokenizer.encode_batch_fast([f" {between} ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u2")
+                line = f" {between} ".encode().join(texts).decode()
+                ids = np.asarray(tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u2")
                 cuts, data = np.flatnonzero(ids == self.between), ids.tobytes()
-                starts, stops = [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(data)]
-                for w, a, b in zip(keys, starts, stops, strict=True):
-                    into[w] = data[a:b]
+                if len(cuts) != len(keys) - 1:
+                    raise ValueError("words and their ids don't match")
+                into.update(zip(keys, map(data.__getitem__, map(slice, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(data)])), strict=True))
         for w, stem in ends.items():
-            marks = w[len(stem) :]
-            into[w] = (into[stem] if stem in into else known[stem]) + (into[marks] if marks in into else known[marks])
-
-    @staticmethod
-    def words(text: str) -> list[bytes]:
-        """Parts of a text that are encoded apart, in lower case. Texts that may hold the strings of special tokens
-        keep their words as they are."""
-        data = text.encode("utf-8", "surrogatepass")
-        return (data if b"<|" in data else data.lower()).split()  # bytes: ASCII white space only
+            into[w] = into[stem] + into[w[len(stem) :]]
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -188,7 +208,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for one in chunks([len(t or "") for t in b["text"]], 1000, 1 << 23):
                 part = b.iloc[one]
-                ids = encode(part["text"].tolist())
+                texts = part["text"].tolist()
+                ids = encode(texts)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "key": curve_keys(ids), "n": [len(x) // 2 for x in ids], "ids": ids})
 
     thin = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
@@ -235,7 +256,7 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     rows = written(encoded(docs, path), spark)
     total = rows.agg(F.sum("n")).first()[0] or 0
-    stretches = max(-(-total // STRETCH), min(2 * spark.sparkContext.defaultParallelism, -(-total // LEAST_STRETCH)), 1)
+    stretches = max(-(-total // max(STRETCH, int(STRETCH * (total / MANY) ** 0.5))), min(2 * spark.sparkContext.defaultParallelism, -(-total // LEAST_STRETCH)), 1)
     sorted_rows = rows.repartitionByRange(stretches, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     pieces = sorted_rows.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(_pack, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
