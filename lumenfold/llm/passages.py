@@ -1,25 +1,27 @@
-"""Substring dedup by sliding spans: runs of consecutive sentences and windows of WINDOW words are hashed and joined over
-the whole corpus, and what is under any repeated run or window but its first is removed.
-
-A run starts at each sentence and takes on consecutive sentences until it has at least two of them and MIN_WORDS words;
-a sentence of LONG_WORDS words or more is a run alone. Where a run ends depends on its own words only, so two texts that
-share a passage have the same runs inside it, wherever it stands. The first place of a run is the smallest (doc_id,
-start). Sentences are compared by their words in lower case; hashes have 128 bits.
-
-A shared passage that begins and ends inside sentences needn't hold such a run, so every window of WINDOW words counts,
-too. Most windows are unique and are never emitted: a window's anchor, the smallest hash of its GRAM-word grams, is the
-same wherever it stands, so only windows with a repeated anchor can repeat. Repeated anchors are looked up in a filter
-of at most FILTER_BITS bits; a false hit there costs a row and changes no result. Where a text repeats itself without a
-break, a window takes nothing from its own first place.
+"""Substring dedup by sliding spans: runs of several consecutive sentences are hashed and joined over the whole corpus, and
+what is under any repeated run but its first is removed.
+
+A passage may begin and end inside sentences, so sentences are cut into clauses where their words say so: of each REACH
+words in a row, the one with the smallest hash begins a clause, and so does a word after one of `.!?,;:`, which has the
+smallest hash of all. Where a clause begins depends on the words around it only, so texts that share a passage have the same clauses
+inside it, wherever it stands. A run starts at each clause and takes on consecutive clauses until it has MIN_WORDS words.
+Every shared stretch of MIN_WORDS + 4 * REACH - 3 words (50) holds a common run, by the count: the first common clause
+begins within 2 * REACH - 2 words, its run ends within MIN_WORDS + REACH - 1 more, and the last REACH words may differ.
+So whatever 50 consecutive words say twice is found, and loses what whole clauses of it hold, 33 words or more; stretches
+of fewer than 33 words never lose anything.
+
+Words are compared as they stand between ASCII white space, A-Z in lower case; hashes of runs have 128 bits. The first place
+of a run is the one with the smallest (doc_id, hash of the text, start). Most runs are unique; they are counted by 64-bit
+hashes first, and repeated ones are looked up in a filter of at most FILTER_BITS bits; a false hit there costs a row and
+changes no result. Where a text repeats itself without a break, a run takes nothing from its own first place.
 
 Nulls: a null text is an empty text, without runs; a null doc_id is smaller than any other. Empty tables give empty
 results. Rows that repeat a doc_id with the same text are one place and lose nothing to each other; with another text
-they share what is removed by position. Extra columns are ignored by `removals` and kept by `dedup_documents`.
+they are another place. Extra columns are ignored by `removals` and kept by `dedup_documents`. doc_ids cross Python as text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,80 +32,80 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import written
 
-MIN_SENTENCES = 2
-MIN_WORDS = 12
-LONG_WORDS = 40
-WINDOW = 50
-GRAM = 25
+REACH = 5
+MIN_WORDS = 33
 FILTER_BITS = 1 << 29
 BLOCK_BITS = 1 << 20  # the filter is built in blocks of so many bits at most
-#: A sentence ends after .!? and what white space follows, or after a line break.
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+")
-
-
-def sentences(text: str | None) -> list[tuple[int, int, str, int]]:
-    """(start, end, compared form, words) of all sentences with a word; the pieces cover the text, blanks aside."""
-    out = []
-    for m in SENTENCE.finditer(text or ""):
-        tokens = m[0].lower().split()
-        if tokens:
-            out.append((m.start(), m.end(), " ".join(tokens), len(tokens)))
-    return out
-
-
-def runs(text: str | None) -> list[tuple[int, int, bytes]]:
-    """(start, end, hash) of the run at each sentence that has one."""
-    found, out = sentences(text), []
-    last, held = 0, 0  # sentences [i, last) hold `held` words
-    for i, (start, _, _, n) in enumerate(found):
-        if n >= LONG_WORDS:
-            out.append((start, found[i][1], xxhash.xxh3_128_digest(found[i][2].encode("utf-8", "surrogatepass"))))
-        while last < len(found) and (last - i < MIN_SENTENCES or held < MIN_WORDS):
-            held += found[last][3]
-            last += 1
-        if last - i >= MIN_SENTENCES and held >= MIN_WORDS:
-            joined = "\n".join(x[2] for x in found[i:last])
-            out.append((start, found[last - 1][1], xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))))
-        held -= n
-    return out
-
-
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(d, *r) for d, t in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"], strict=True) for r in runs(t)]
-        for k in range(0, len(rows), 50_000):
-            part = pd.DataFrame(rows[k : k + 50_000], columns=["doc_id", "start", "end", "run"])
-            yield part.astype({"doc_id": "Int64", "start": "int32", "end": "int32"})
+MIX = np.uint64(0x9E3779B97F4A7C15)
+ENDS = np.frombuffer(b".!?,;:", dtype=np.uint8)
+SPANS = "doc_id string, body long, start int, end int, run binary"
 
 
-def windows(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """The text's words in lower case with blanks between, the words' starts and ends in it, the hashes of all grams,
-    and the anchor of the window at each word that has one; None for a text of fewer than WINDOW words."""
-    found = (text or "").lower().split()
-    if len(found) < WINDOW:
-        return None
-    joined = " ".join(found).encode("utf-8", "surrogatepass")
-    blanks = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-    starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(joined)]])
-    digest, n = xxhash.xxh3_64_intdigest, len(starts) - GRAM + 1
-    grams = np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[GRAM - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
-    low, held = grams, 1  # the smallest of each `held` grams
-    while held < WINDOW - GRAM + 1:
-        step = min(held, WINDOW - GRAM + 1 - held)
-        low, held = np.minimum(low[:-step], low[step:]), held + step
-    return joined, starts, ends, grams, low
+def _word_hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mixed hash of each word; the words lie in `letters` with one byte between them."""
+    with np.errstate(over="ignore"):
+        sums = np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * _powers(len(letters)))
+        before = np.concatenate([np.zeros(1, np.uint64), sums])[starts]
+        h = (sums[ends - 1] - before) * _inverses(len(letters))[starts]
+        h = (h ^ (h >> np.uint64(32))) * MIX
+        return (h ^ (h >> np.uint64(29))) * MIX >> np.uint64(1)
+
+
+_held: dict[str, np.ndarray] = {}
+
+
+def _series(name: str, factor: int, n: int) -> np.ndarray:
+    """Powers of an odd factor, modulo 2**64, at least n of them."""
+    found = _held.get(name)
+    if found is None or len(found) < n:
+        with np.errstate(over="ignore"):
+            found = _held[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 16) - 1, factor, np.uint64)]), dtype=np.uint64)
+    return found[:n]
 
 
-def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _powers(n: int) -> np.ndarray:
+    return _series("powers", 0x5851F42D4C957F2D, n)
+
+
+def _inverses(n: int) -> np.ndarray:
+    return _series("inverses", pow(0x5851F42D4C957F2D, -1, 1 << 64), n)
+
+
+def runs(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The text's words with blanks between, where each word starts and ends in it, and the first word of each run and
+    the one behind its last; None for a text of fewer than MIN_WORDS words."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII alone is lowered and split at
+    if len(found) < MIN_WORDS:
+        return None
+    joined = b" ".join(found)
+    letters = np.frombuffer(joined, dtype=np.uint8)
+    blanks = np.flatnonzero(letters == 32)
+    starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(joined)]])
+    order = _word_hashes(letters, starts, ends)
+    order[1:][np.isin(letters[ends[:-1] - 1], ENDS)] = 0
+    least = np.lib.stride_tricks.sliding_window_view(order, REACH).argmin(axis=1)
+    begins = np.zeros(len(order) + 1, dtype=bool)
+    begins[least + np.arange(len(least))] = True
+    begins[:-1][order == 0] = True
+    begins[[0, -1]] = True  # the last one is the end of the text
+    cuts = np.flatnonzero(begins)
+    to = np.searchsorted(cuts, cuts + MIN_WORDS)
+    whole = to < len(cuts)
+    return joined, starts, ends, cuts[whole], cuts[to[whole]]
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of runs and how often each stands in a batch."""
+    digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        found, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        found: list[int] = []
         for t in b["text"]:
-            got = windows(t)
+            got = runs(t)
             if got:
-                grams, own = np.sort(got[3]), np.unique(got[4])
-                found.append(own)
-                times.append(np.searchsorted(grams, own, "right") - np.searchsorted(grams, own, "left"))
-        yield pd.DataFrame({"anchor": np.concatenate(found).view(np.int64), "n": np.concatenate(times)})
+                joined, starts, ends, first, behind = got
+                found += [digest(joined[x:y]) for x, y in zip(starts[first].tolist(), ends[behind - 1].tolist(), strict=True)]
+        own, n = np.unique(np.array(found, dtype=np.uint64), return_counts=True)
+        yield pd.DataFrame({"run": own.view(np.int64), "n": n.astype(np.int64)})
 
 
 def _bits(block: pd.DataFrame) -> pd.DataFrame:
@@ -112,48 +114,62 @@ def _bits(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": block["block"].iloc[:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
 
-def repeated_anchors(texts: DataFrame) -> np.ndarray:
-    """A filter, as bytes, that holds two bits of each anchor that stands in more than one place."""
+def repeated_runs(texts: DataFrame) -> np.ndarray:
+    """A filter, as bytes, that holds two bits of each run that stands in more than one place."""
     spark = texts.sparkSession
-    again = written(texts.mapInPandas(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), spark)
+    again = written(texts.mapInPandas(_digests, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").select("run"), spark)
     bits = min(max(1 << (16 * again.count()).bit_length(), BLOCK_BITS), FILTER_BITS)
-    probes = F.explode(F.array(F.col("anchor").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("anchor", 32).bitwiseAND(F.lit(bits - 1))))
-    at = again.select(probes.alias("at")).select((F.col("at") / BLOCK_BITS).cast("int").alias("block"), (F.col("at") % BLOCK_BITS).cast("int").alias("at"))
+    probes = F.explode(F.array(F.col("run").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("run", 32).bitwiseAND(F.lit(bits - 1))))
+    at = again.select(probes.alias("at")).distinct().select((F.col("at") / BLOCK_BITS).cast("int").alias("block"), (F.col("at") % BLOCK_BITS).cast("int").alias("at"))
     out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
     for r in at.groupBy("block").applyInPandas(_bits, "block int, bits binary").toLocalIterator():
         out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out.reshape(-1)
 
 
-def word_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, run) of the windows that may repeat; an end is where the next word starts."""
-    carried = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs.select("text")))
+def _places(text: str, words: int) -> np.ndarray:
+    """Where each word starts in a text, in code points, and the text's length."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    first = ~blank & np.concatenate([[True], blank[:-1]])
+    points = np.cumsum((data & 0xC0) != 0x80) - 1
+    return np.concatenate([points[first], [len(text)]])
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, body, start, end, run) of the runs that may repeat; an end is where the next word starts, and body is a hash
+    of the text, which tells rows with one doc_id apart."""
+    carried = docs.sparkSession.sparkContext.broadcast(repeated_runs(docs.select("text")))  # at most FILTER_BITS bits
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = carried.value
         mask = np.uint64(8 * len(bits) - 1)
+        short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
 
         def holds(at: np.ndarray) -> np.ndarray:
             return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
         for b in batches:
-            ids = b["doc_id"].astype(object).where(b["doc_id"].notna(), None)
-            for d, t in zip(ids, b["text"], strict=True):
-                got = windows(t)
+            for d, body, t in zip(b["doc_id"], b["body"], b["text"], strict=True):
+                got = runs(t)
                 if not got:
                     continue
-                joined, starts, ends, _, low = got
-                hits = np.flatnonzero(holds(low & mask) & holds(low >> np.uint64(32) & mask))
+                joined, starts, ends, first, behind = got
+                edges = list(zip(starts[first].tolist(), ends[behind - 1].tolist(), strict=True))
+                small = np.fromiter((short(joined[x:y]) for x, y in edges), dtype=np.uint64, count=len(edges))
+                hits = np.flatnonzero(holds(small & mask) & holds(small >> np.uint64(32) & mask))
                 if not len(hits):
                     continue
-                at = np.array([*(m.start() for m in re.finditer(r"\S+", t)), len(t)])
+                at = _places(t, len(starts))
                 for k in range(0, len(hits), 50_000):
                     h = hits[k : k + 50_000]
-                    run = [xxhash.xxh3_128_digest(joined[x:y]) for x, y in zip(starts[h].tolist(), ends[h + WINDOW - 1].tolist(), strict=True)]
-                    part = pd.DataFrame({"doc_id": [d] * len(h), "start": at[h], "end": at[h + WINDOW], "run": run})
-                    yield part.astype({"doc_id": "Int64", "start": "int32", "end": "int32"})
+                    run = [long(joined[edges[i][0] : edges[i][1]]) for i in h.tolist()]
+                    part = pd.DataFrame({"doc_id": [d] * len(h), "body": body, "start": at[first[h]], "end": at[behind[h]], "run": run})
+                    yield part.astype({"doc_id": "object", "start": "int32", "end": "int32"})
 
-    return docs.mapInPandas(emit, "doc_id long, start int, end int, run binary")
+    thin = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    found = thin.mapInPandas(emit, SPANS)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def merged(ranges: Column) -> Column:
@@ -168,36 +184,39 @@ def merged(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), start, step)
 
 
-def later(spans: DataFrame, spark: SparkSession) -> DataFrame:
+def later(found: DataFrame, spark: SparkSession) -> DataFrame:
     """The spans that repeat an earlier one, with that one's first place."""
-    first = spans.groupBy("run").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
+    first = found.groupBy("run").agg(F.min(F.struct("doc_id", "body", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
     # A table of its own, so that the join's two sides are plain shuffles and a common passage's rows can be split.
     first = written(first, spark)
-    return spans.join(first, "run").filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.start") == F.col("start"))))
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.body") == F.col("body"))
+    return found.join(first, "run").withColumn("within", same).filter(~(same & (F.col("first.start") == F.col("start"))))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the text ranges, as code points with the end exclusive, that repeat an earlier passage; only
-    documents that lose something have a row."""
+    """(doc_id, body, removed): the text ranges, as code points with the end exclusive, that repeat an earlier passage, for
+    each distinct text (by its hash `body`) under a doc_id; only texts that lose something have a row."""
+    spark = docs.sparkSession
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    late = later(thin.mapInPandas(_runs, "doc_id long, start int, end int, run binary"), docs.sparkSession).select("doc_id", "start", "end")
-    # Windows that overlap their first place give what is beyond it.
-    within = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("start") < F.col("first.end"))
-    moved = later(written(word_runs(thin), docs.sparkSession), docs.sparkSession)
-    late = late.union(moved.select("doc_id", F.when(within, F.col("first.end")).otherwise(F.col("start")).alias("start"), "end").filter("start < end"))
-    return late.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("all")).select("doc_id", merged(F.col("all")).alias("removed"))
+    late = later(written(spans(thin), spark), spark)
+    # Runs that overlap their first place give what is beyond it.
+    start = F.when(F.col("within") & (F.col("start") < F.col("first.end")), F.col("first.end")).otherwise(F.col("start"))
+    late = late.select("doc_id", "body", start.alias("start"), "end").filter("start < end")
+    return late.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "end")).alias("all")).select("doc_id", "body", merged(F.col("all")).alias("removed"))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The documents without their repeated passages; columns as they come, `n_chars` counted anew where text goes."""
-    gone = removals(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("removed", "_removed")
-    df = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, r: F.struct(r["end"].alias("at"), F.concat(a["out"], F.substring(docs["text"], a["at"] + 1, r["start"] - a["at"])).alias("out"))
-    kept = F.aggregate(gone["_removed"], start, step, lambda a: F.concat(a["out"], F.substring(docs["text"], a["at"] + 1, F.length(docs["text"]))))
-    text = F.when(gone["_removed"].isNotNull(), kept).otherwise(docs["text"])
-    n = lambda c: F.when(gone["_removed"].isNotNull(), F.length(text).cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c)
-    return df.select(*[text.alias(c) if c == "text" else n(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    gone = removals(docs)
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("hash"))
+    df = row.join(gone, row["id"].eqNullSafe(gone["doc_id"]) & (row["hash"] == gone["body"]), "left")
+    text = F.col("row.text")
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, r: F.struct(r["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, r["start"] - a["at"])).alias("out"))
+    kept = F.aggregate("removed", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    df = df.select("row", F.col("removed").isNotNull().alias("cut"), F.when(F.col("removed").isNotNull(), kept).otherwise(text).alias("rest"))
+    n = lambda c: F.when(F.col("cut"), F.length("rest").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c])
+    return df.select(*[(F.col("rest") if c == "text" else n(c) if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
