@@ -7,7 +7,7 @@ among siblings before they move among ancestors. Each leaf then takes whole epoc
 order seeded by leaf epoch; the document at the end is cut.
 
 Every number is an integer, so results don't depend on how rows are dealt out. The prefix is found by descending a radix
-of the order key, 256 buckets at a time, so a leaf with a third of all rows is never sorted and never meets in a task.
+of the order key, 256 buckets at a time until BUCKET rows are left, so a leaf with a third of all rows is never sorted and never meets in a task.
 
 Nulls: a null text has no tokens, and documents without tokens are never taken; null languages and sources count as ''.
 A null doc_id is ordered as an empty one. Empty tables give empty results. Rows that repeat a doc_id in a leaf are taken
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import words, written
 
 LEAF = ("domain", "lang", "source")
+BUCKET = 10_000  # rows of a leaf's last bucket that may be sorted in one task; the descent goes on until there are no more
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Weights by name (whole numbers; `other` for names without one), the budget in percent of all tokens, and seeds."""
+    """Weights by name (whole numbers; `other` for names without one; 0 leaves a name out), the budget in percent of all
+    tokens, and seeds. `domain` names the column that holds the domain; without one, `domain_of` the source stands in."""
 
     domains: dict[str, int] = field(default_factory=lambda: {"domain0": 40, "domain1": 30, "domain2": 20, "domain3": 10})
     languages: dict[str, int] = field(default_factory=lambda: {"en": 50, "de": 20, "fr": 20, "es": 10})
@@ -38,6 +40,7 @@ class Plan:
     percent: int = 100
     max_epochs: int = 2
     seed: int = 42
+    domain: str | None = None
 
 
 def domain_of(source: Column) -> Column:
@@ -53,38 +56,42 @@ def _weight(name: Column, weights: dict[str, int], other: int) -> Column:
     return out.cast("long")
 
 
-def _leaf_columns() -> list[Column]:
+def _leaf_columns(plan: Plan) -> list[Column]:
     source = F.coalesce(F.col("source"), F.lit(""))
-    return [domain_of(source).alias("domain"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), source.alias("source")]
+    domain = domain_of(source) if plan.domain is None else F.coalesce(F.col(plan.domain).cast("string"), F.lit(""))
+    return [domain.alias("domain"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), source.alias("source")]
 
 
 def share_out(nodes: DataFrame, group: list[str], name: str) -> DataFrame:
     """`given` for each node of (group, name, weight, cap, budget): the budget of a group by weight, no node over its cap."""
     by = Window.partitionBy(*group)
-    up = by.orderBy(F.col("cap") / F.col("weight"), name).rowsBetween(Window.unboundedPreceding, -1)
+    # The order of cap / weight in whole numbers: the quotient, then the rest, whose share of the weight is below one. A
+    # weight of 0 has a cap of 0, so such nodes come first, are full and get nothing.
+    one = F.greatest("weight", F.lit(1))
+    up = by.orderBy(F.expr("cap div greatest(weight, 1)"), (F.col("cap") % one) / one, name).rowsBetween(Window.unboundedPreceding, -1)
     df = nodes.withColumns({"cap_before": F.coalesce(F.sum("cap").over(up), F.lit(0)), "weight_from": F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(up), F.lit(0))})
     df = df.withColumn("full", F.col("cap") * F.col("weight_from") <= (F.col("budget") - F.col("cap_before")) * F.col("weight"))
     open_weight = F.when(~F.col("full"), F.col("weight")).otherwise(0)
     df = df.withColumns({"left": F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(by), "open_weight": F.sum(open_weight).over(by)})
-    df = df.withColumn("base", F.when(F.col("full"), F.col("cap")).otherwise(F.expr("(left * weight) div open_weight")))
+    df = df.withColumn("base", F.when(F.col("full"), F.col("cap")).otherwise(F.expr("(left * weight) div nullif(open_weight, 0)")))
     df = df.withColumns({"odd": F.col("left") - F.sum(F.when(~F.col("full"), F.col("base")).otherwise(0)).over(by), "place": F.row_number().over(by.orderBy("full", name))})
     return df.withColumn("given", F.col("base") + F.when(~F.col("full") & (F.col("place") <= F.col("odd")), 1).otherwise(0)).drop("cap_before", "weight_from", "full", "left", "open_weight", "base", "odd", "place", "budget")
 
 
 def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """(domain, lang, source, tokens, given) from leaf sizes (domain, lang, source, tokens)."""
-    leaves = leaves.filter("tokens > 0").withColumn("cap", F.col("tokens") * plan.max_epochs)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
-    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    leaves = leaves.filter("tokens > 0").withColumn("weight", _weight(F.col("source"), plan.sources, plan.other))
+    leaves = leaves.withColumn("cap", F.when(F.col("weight") > 0, F.col("tokens") * plan.max_epochs).otherwise(0))
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("weight", _weight(F.col("lang"), plan.languages, plan.other))
+    langs = langs.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0))
+    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("weight", _weight(F.col("domain"), plan.domains, plan.other))
+    domains = domains.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0))
     # The root's children, one row a domain, are the only rows that meet in one task.
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     domains = domains.withColumns({"root": F.lit(0), "total": total}).withColumn("budget", F.expr(f"total * {plan.percent} div 100"))
-    domains = share_out(domains.withColumn("weight", _weight(F.col("domain"), plan.domains, plan.other)), ["root"], "domain").select("domain", F.col("given").alias("budget"))
-    langs = langs.drop("tokens")
-    langs = langs.join(domains, "domain").withColumn("weight", _weight(F.col("lang"), plan.languages, plan.other))
-    langs = share_out(langs, ["domain"], "lang").select("domain", "lang", F.col("given").alias("budget"))
-    leaves = leaves.join(langs, ["domain", "lang"]).withColumn("weight", _weight(F.col("source"), plan.sources, plan.other))
-    return share_out(leaves, ["domain", "lang"], "source").select(*LEAF, "tokens", "given")
+    domains = share_out(domains, ["root"], "domain").select("domain", F.col("given").alias("budget"))
+    langs = share_out(langs.drop("tokens").join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("given").alias("budget"))
+    return share_out(leaves.join(langs, ["domain", "lang"]), ["domain", "lang"], "source").select(*LEAF, "tokens", "given")
 
 
 def order_key(doc_id: Column, epoch: Column, plan: Plan) -> Column:
@@ -95,16 +102,17 @@ def ends(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """Per leaf (domain, lang, source, epochs, end_key, end_take): whole epochs, then the documents of one more with a
     smaller key and `end_take` tokens of the one at `end_key`; and the thin rows (doc_id, leaf, tokens)."""
     spark = docs.sparkSession
-    thin = written(docs.select("doc_id", *_leaf_columns(), F.size(words(F.col("text"))).cast("long").alias("n")), spark)
+    thin = written(docs.select("doc_id", *_leaf_columns(plan), F.size(words(F.col("text"))).cast("long").alias("n")), spark)
     leaves = leaf_budgets(thin.groupBy(*LEAF).agg(F.sum("n").alias("tokens")), plan)
     leaves = written(leaves.select(*LEAF, F.expr("given div tokens").alias("epochs"), F.expr("given % tokens").alias("rest")), spark)
-    keyed = thin.join(leaves, list(LEAF)).filter("rest > 0").select(*LEAF, order_key(F.col("doc_id"), F.col("epochs"), plan).alias("key"), "n")
-    before = leaves.filter("rest > 0").select(*LEAF, "rest", F.lit("").alias("prefix"))
-    for depth in (0, 2):
+    keyed = written(thin.join(leaves, list(LEAF)).filter("rest > 0").select(*LEAF, order_key(F.col("doc_id"), F.col("epochs"), plan).alias("key"), "n"), spark)
+    before, depth, most = leaves.filter("rest > 0").select(*LEAF, "rest", F.lit("").alias("prefix")), 0, None
+    while depth < 32 and (most is None or most > BUCKET):  # two more hexadecimal digits each time
         at = keyed.join(before, list(LEAF)).filter(F.col("key").startswith(F.col("prefix")))
-        sums = at.groupBy(*LEAF, "rest", F.substring("key", 1, depth + 2).alias("prefix")).agg(F.sum("n").alias("n"))
+        sums = at.groupBy(*LEAF, "rest", F.substring("key", 1, depth + 2).alias("prefix")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
         run = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("prefix"))
-        before = written(sums.withColumn("run", run).filter("run >= rest and run - n < rest").select(*LEAF, (F.col("rest") - F.col("run") + F.col("n")).alias("rest"), "prefix"), spark)
+        before = written(sums.withColumn("run", run).filter("run >= rest and run - n < rest").select(*LEAF, (F.col("rest") - F.col("run") + F.col("n")).alias("rest"), "prefix", "rows"), spark)
+        most, before, depth = before.agg(F.max("rows")).first()[0] or 0, before.drop("rows"), depth + 2
     at = keyed.join(before, list(LEAF)).filter(F.col("key").startswith(F.col("prefix")))
     at = at.groupBy(*LEAF, "rest", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     run = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("key"))
@@ -141,15 +149,14 @@ def mix_documents(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     end, _ = ends(docs, plan)
     end = end.select(*[F.col(c).alias(f"_{c}") for c in LEAF], F.col("epochs").alias("_epochs"), F.col("end_key").alias("_end_key"), F.col("end_take").alias("_end_take"))
     has_word = F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    df = docs.filter(has_word).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("doc_id"), *_leaf_columns())
+    df = docs.filter(has_word).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("doc_id"), *_leaf_columns(plan))
     df = df.join(end, [F.col(c) == F.col(f"_{c}") for c in LEAF]).select("_row", "doc_id", F.col("_epochs").alias("epochs"), F.col("_end_key").alias("end_key"), F.col("_end_take").alias("end_take"))
-    df = _epochs(df, plan).select("_row.*", F.col("_taken.cut").alias("_cut")) if "_cut" not in docs.columns else _epochs(df, plan).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "_cut"], F.col("_taken.cut").alias("_cut"))
+    df = _epochs(df, plan).select("_row", F.col("_taken.cut").alias("_cut")).filter("_cut is null or _cut > 0")
     pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,"), F.col("_cut").cast("string"), F.lit("}+"))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0)))
-    df = df.filter("_cut is null or _cut > 0").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return df.select(*[c for c in docs.columns if c in df.columns and c != "_cut"])
+    text = F.when(F.col("_cut").isNull(), F.col("_row.text")).otherwise(F.call_function("regexp_extract", F.col("_row.text"), pattern, F.lit(0)))
+    df = df.select("_row", "_cut", text.alias("_text"))
+    n = lambda c: F.when(F.col("_cut").isNull(), F.col("_row")[c]).otherwise(F.length("_text").cast(docs.schema[c].dataType))
+    return df.select(*[(F.col("_text") if c == "text" else n(c) if c == "n_chars" else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +172,11 @@ def _levels() -> str:
 
     def level(table: str, nodes: str, group: str, name: str) -> str:
         return f"""
-{table}_a AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY {group} ORDER BY cap / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
-    sum(weight) OVER (PARTITION BY {group}) - coalesce(sum(weight) OVER (PARTITION BY {group} ORDER BY cap / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_from FROM ({nodes})),
+{table}_a AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY {group} ORDER BY cap // greatest(weight, 1), (cap % greatest(weight, 1)) / greatest(weight, 1), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+    sum(weight) OVER (PARTITION BY {group}) - coalesce(sum(weight) OVER (PARTITION BY {group} ORDER BY cap // greatest(weight, 1), (cap % greatest(weight, 1)) / greatest(weight, 1), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_from FROM ({nodes})),
 {table}_b AS (SELECT *, cap * weight_from <= (budget - cap_before) * weight AS full_ FROM {table}_a),
 {table}_c AS (SELECT *, budget - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER (PARTITION BY {group}) AS left_, sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER (PARTITION BY {group}) AS open_ FROM {table}_b),
-{table}_d AS (SELECT *, CASE WHEN full_ THEN cap ELSE (left_ * weight) // open_ END AS base FROM {table}_c),
+{table}_d AS (SELECT *, CASE WHEN full_ THEN cap ELSE (left_ * weight) // nullif(open_, 0) END AS base FROM {table}_c),
 {table}_e AS (SELECT *, left_ - sum(CASE WHEN full_ THEN 0 ELSE base END) OVER (PARTITION BY {group}) AS odd, row_number() OVER (PARTITION BY {group} ORDER BY full_, {name}) AS place FROM {table}_d),
 {table} AS (SELECT *, base + CASE WHEN NOT full_ AND place <= odd THEN 1 ELSE 0 END AS given FROM {table}_e)"""
 
