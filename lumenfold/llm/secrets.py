@@ -11,16 +11,20 @@ kept by `redact_documents`. The text crosses one shuffle, to meet the blobs that
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import SPAN_TYPE, of_kind, regex_spans, span_list, written
 
-RULES_VERSION = "1"
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 #: The last value of an assignment: what follows the first `:` or `=`, blanks and a quote.
 ASSIGN_VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
+# Runs are taken whole and too short ones have no long enough rest, so a least length says the same as a filter.
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
 #: Formats of well-known credentials, after the base rules (fixed values).
 MORE_RULES = (
     ("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
@@ -29,19 +33,20 @@ MORE_RULES = (
     ("google", r"\bAIza[A-Za-z0-9_-]{35}"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    ("url", r"\b[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~-]{1,64}:[^\x20\x09-\x0D/@]{4,128}@"),
+    ("url", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]++://[A-Za-z0-9._~-]++:[^\x20\x09-\x0D/@]{4,}+@"),
 )
 #: One scan for all of MORE_RULES' literal parts; texts without any of them skip those rules.
 MORE_MARKS = r"gh[pousr]_|xox[abposr]-|[rs]k_(?:live|test)_|AIza|eyJ|PRIVATE KEY|://"
+#: Findings hold for the rules that made them: the version is a digest of all patterns.
+RULES_VERSION = hashlib.sha256(repr((ASSIGN, ASSIGN_VALUE, ACCESS, HEX, MORE_RULES, MORE_MARKS)).encode()).hexdigest()[:16]
 FINDINGS = "blob string, rules string, spans " + SPAN_TYPE
 
 
 def find(text: Column) -> Column:
     """All spans of one text, base rules first. Matches that fail a length are dropped, without a second try."""
     assign = F.filter(regex_spans(text, ASSIGN, "assign", 0), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN_VALUE, 1)) >= 8)
-    # Runs are taken whole and too short ones have no long enough rest, so a least length says the same as a filter.
-    access = regex_spans(text, r"AKIA[A-Z0-9]{12,}", "access", 1)
-    hexes = regex_spans(text, r"[0-9a-f]{32,}", "hex", 2)
+    access = regex_spans(text, ACCESS, "access", 1)
+    hexes = regex_spans(text, HEX, "hex", 2)
     more = F.concat(*[regex_spans(text, p, k, i + 3) for i, (k, p) in enumerate(MORE_RULES)])
     return F.concat(assign, access, hexes, F.when(text.rlike(MORE_MARKS), more).otherwise(F.array().cast(SPAN_TYPE)))
 
@@ -60,8 +65,9 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RU
         unseen = unseen.join(ledger.filter(F.col("rules") == rules).select("blob").distinct(), "blob", "left_anti")
     unseen = unseen.withColumnRenamed("doc_id", "first_id").withColumnRenamed("blob", "first_blob")
     texts = at.join(unseen, at["doc_id"].eqNullSafe(unseen["first_id"]) & (at["blob"] == unseen["first_blob"]), "left_semi")
-    # Rows that repeat a doc_id and its text are still two rows here; the grouping leaves one finding.
-    return texts.select("blob", F.lit(rules).alias("rules"), find(F.col("text")).alias("spans")).dropDuplicates(["blob"])
+    # Rows that repeat a doc_id and its text lie in one partition of that join already; one of them is scanned.
+    one = texts.groupBy("doc_id", "blob").agg(F.first("text").alias("text"))
+    return one.select("blob", F.lit(rules).alias("rules"), find(F.col("text")).alias("spans"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -77,20 +83,21 @@ def redact_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFr
     where a text changes. Findings come from the blob ledger, by content."""
     new = written(scan_blobs(docs, ledger), docs.sparkSession)
     known = new if ledger is None else new.unionByName(ledger.filter(F.col("rules") == RULES_VERSION).select("blob", "rules", "spans").dropDuplicates(["blob"]))
-    hits = known.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.array_sort("spans").alias("_found"))
-    df = docs.join(hits, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == hits["_blob"], "left")
+    hits = known.filter(F.size("spans") > 0).select("blob", F.array_sort("spans").alias("found"))
+    # A row's own columns lie in a struct, so that they never meet the names used here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row.text")
+    df = rows.join(hits, F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("blob"), "left")
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(docs["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
+        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).cast("int").alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(hits["_found"], start, step, lambda a: F.concat(a["out"], F.substring(docs["text"], a["at"] + 1, F.length(docs["text"]))))
-    columns = [docs[c] for c in docs.columns if c not in ("text", "n_chars")]
-    df = df.select(*columns, *[docs[c].alias("_n") for c in docs.columns if c == "n_chars"], hits["_found"].alias("_found"), F.when(hits["_found"].isNotNull(), cut).otherwise(docs["text"]).alias("text"))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_n")))
-    return df.select(*docs.columns)
+    cut = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    df = df.select("row", F.col("found").isNotNull().alias("hit"), F.when(F.col("found").isNotNull(), cut).otherwise(text).alias("clean"))
+    n = lambda c: F.when(F.col("hit"), F.length("clean").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c])
+    return df.select(*[(F.col("clean") if c == "text" else n(c) if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
