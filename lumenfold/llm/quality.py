@@ -4,8 +4,8 @@ A line fails when it is shouted, a navigation strip, boilerplate, over-punctuate
 earlier line. Plain prose lines pass whether or not they end in punctuation, so clean documents lose nothing.
 
 Nulls: a null text is an empty text (no words, rejected); other null columns pass through. Empty tables give empty
-results. Repeated rows are judged one by one. Extra columns are kept by `clean_documents` (but for its own result
-columns, which replace columns of the same names) and ignored by `query`. JVM expressions only; no shuffle.
+results. Repeated rows are judged one by one. Extra columns are kept by `clean_documents`, whatever they are called, and
+ignored by `query`. JVM expressions only; no shuffle.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ MAX_REPEAT_PERCENT = 20
 #: A document goes when the lines taken out hold more than this share of its word characters.
 MAX_LOST_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: A line of at most so many characters that holds one of these is boilerplate (fixed values).
-BOILERPLATE_LENGTH = 200
+#: A line is boilerplate when such phrases (fixed values) make up a twelfth of its characters or more.
+BOILERPLATE_PART = 12
 BOILERPLATE = r"(?i)\b(?:javascript is (?:disabled|required)|enable javascript|cookie policy|accept (?:all )?cookies|lorem ipsum|click here to|sign up for our newsletter|back to top|skip to content)\b"
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -32,7 +32,7 @@ def without(text: Column, chars: str) -> Column:
 
 
 def boilerplate(line: Column) -> Column:
-    return (F.length(line) <= BOILERPLATE_LENGTH) & line.rlike(BOILERPLATE)
+    return line.rlike(BOILERPLATE) & ((F.length(line) - F.length(F.regexp_replace(line, BOILERPLATE, ""))) * BOILERPLATE_PART >= F.length(line))
 
 
 def may_fail(text: Column) -> Column:
@@ -97,10 +97,13 @@ def measured(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the failing lines taken out of `text` and `n_chars` counted anew where present.
     Blank lines go with the failing ones; a text that loses no line stays as it is."""
-    df = filtered_in_place(measured(docs), "kept")
-    text = F.when((F.col("lost_chars") == 0), F.col("text")).otherwise(F.col("clean_text")).alias("text")
-    out = [text if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c in df.columns]
-    return df.select(*out)
+    # The other columns lie in a struct, so that they never meet the names used here.
+    rest = [c for c in docs.columns if c != "text"]
+    df = docs.select(F.struct(*[docs[c] for c in rest], F.lit(0).alias("_")).alias("row"), docs["text"].alias("text"))
+    df = filtered_in_place(measured(df), "kept")
+    text = F.when((F.col("lost_chars") == 0), F.col("text")).otherwise(F.col("clean_text"))
+    n = lambda c: F.length(text).cast(docs.schema[c].dataType)
+    return df.select(*[(text if c == "text" else n(c) if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +125,7 @@ judged AS (SELECT row_id, w, len(w) AS n, length(regexp_replace(line, '[^|»›
     length(array_to_string(w, '')) AS chars, len(list_filter(w, lambda x: regexp_matches(x, '([!?]{{2,}}|\.{{4,}})$'))) AS marks, line FROM lines),
 stay AS (SELECT row_id, sum(chars) AS chars, sum(n) AS n FROM judged WHERE NOT (
     (n >= 3 AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}')) OR (n >= 3 AND marks * 3 > n) OR (bars >= 2 AND bars * 3 >= n - bars)
-    OR symbols * 10 > chars OR (length(line) <= {BOILERPLATE_LENGTH} AND regexp_matches(line, '{BOILERPLATE}'))) GROUP BY row_id),
+    OR symbols * 10 > chars OR (regexp_matches(line, '{BOILERPLATE}') AND (length(line) - length(regexp_replace(line, '{BOILERPLATE}', '', 'g'))) * {BOILERPLATE_PART} >= length(line))) GROUP BY row_id),
 measures AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(under.n, 0)::BIGINT AS n_repeat_words, coalesce(stay.chars, 0) AS left_chars, coalesce(stay.n, 0) AS left_words
   FROM parts LEFT JOIN under USING (row_id) LEFT JOIN stay USING (row_id)),
