@@ -29,16 +29,16 @@ BASE = {
 }
 #: Looser shapes of the same kinds: spelled-out or defanged addresses, numbers that fail the base tests.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20(?i:at)\x20[A-Za-z0-9-]{1,63}+(?:\x20(?i:dot)\x20[A-Za-z0-9-]{1,63}+){1,6}|\x20?[\[({]?(?:(?i)at|@)[\])}]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[({]?(?:\.|(?i)dot)[\])}]?\x20?[A-Za-z0-9-]{1,63}+){1,6})",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20(?i:at)\x20[A-Za-z0-9-]++(?:\x20(?i:dot)\x20[A-Za-z0-9-]++)+|\x20?[\[({]?(?:(?i)at|@)[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({]?(?:\.|(?i)dot)[\])}]?\x20?[A-Za-z0-9-]++)+)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9.])",
     "card": r"(?<![0-9+])[0-9](?:[\x20./-]?[0-9]){11,19}(?![0-9])",
     "phone": r"(?<![0-9+.])\(?[0-9]{2,4}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){2,5}(?![0-9.])",
 }
-LOOSE_MARKS = {"email": r"(?i)[\[({]?(?:at|@)[\])}]|\x20at\x20[a-z0-9-]{1,63}+\x20dot\x20", "ip": r"[0-9](?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]", "card": r"[0-9](?:[\x20./-]?[0-9]){11}", "phone": r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{2}"}
+LOOSE_MARKS = {"email": r"(?i)[\[({]?(?:at|@)[\])}]|\x20at\x20[a-z0-9-]++\x20dot\x20", "ip": r"[0-9](?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]", "card": r"[0-9](?:[\x20./-]?[0-9]){11}", "phone": r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{2}"}
 ROUNDS = 3
 MIN_SEEDS = 5  # distinct seeds that a pattern needs
 MIN_SCORE = 0.8
-CONTEXT = 48  # characters beside an instance in which its words are sought
+CONTEXT = 48  # characters beside an instance that its patterns are made of; equal neighbours give equal patterns
 
 
 def luhn(digits: Column) -> Column:

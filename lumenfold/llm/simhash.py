@@ -66,9 +66,9 @@ def _prints(texts: pd.Series) -> pd.Series:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), a row per document."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return thin.mapInPandas(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp), a row per document. Ids cross Python as text: a null among longs would make doubles of them."""
+    thin = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+    return thin.mapInPandas(_fingerprints, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _flips(value, bits: int):
@@ -124,20 +124,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     found = written(rooted(docs), spark)
     best = found.groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("best"))
-    best = written(best.select(F.col("best.doc_id").alias("_named"), F.col("best.fp").alias("_key")), spark)
-    ids = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
-    repeated = written(ids.filter("n > 1").select("_id"), spark)
-    columns = [docs[c] for c in docs.columns]
-    row_id = docs["doc_id"].cast("long")
-    once = best.filter("_named is not null").join(repeated, F.col("_named") == F.col("_id"), "left_anti")
-    single = docs.join(once, row_id == once["_named"]).select(*columns)
+    best = written(best.select(F.col("best.doc_id").alias("named"), F.col("best.fp").alias("print")), spark)
+    ids = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(ids.filter("n > 1").select("id"), spark)
+    once = best.filter("named is not null").join(repeated, F.col("named") == F.col("id"), "left_anti")
+    # A row's own columns lie in a struct, so that they never meet the names used here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("row_id"))
+    unpacked = lambda df: df.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    single = unpacked(rows.join(once, F.col("row_id") == F.col("named")))
     if repeated.isEmpty() and found.filter("doc_id is null").isEmpty():
         return single
-    unclear = docs.filter(row_id.isNull()).unionByName(docs.join(repeated, row_id == repeated["_id"], "left_semi"))
-    unclear = unclear.withColumn("_print", F.pandas_udf(_prints, "long")("text"))
-    met = unclear.join(best, unclear["doc_id"].cast("long").eqNullSafe(best["_named"]) & (unclear["_print"] == best["_key"]))
+    unclear = rows.filter("row_id is null").unionByName(rows.join(repeated, F.col("row_id") == F.col("id"), "left_semi"))
+    unclear = unclear.withColumn("own", F.pandas_udf(_prints, "long")(F.col("row.text")))
+    met = unclear.join(best, F.col("row_id").eqNullSafe(F.col("named")) & (F.col("own") == F.col("print")))
     # Rows with one doc_id and one fingerprint are of one component.
-    return single.unionByName(met.dropDuplicates(["_named", "_key"]).select(*docs.columns))
+    return single.unionByName(unpacked(met.dropDuplicates(["named", "print"])))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
