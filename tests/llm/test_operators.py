@@ -68,7 +68,7 @@ def test_quality_measures(docs, nothing):
 
 def test_quality_lines(docs):
     kept = quality.clean_documents(docs)
-    assert set(kept.columns) == set(docs.columns) - {"_text", "kept"}
+    assert kept.columns == docs.columns
     by = {r["doc_id"]: r for r in kept.collect()}
     text = by[12]["text"]
     assert "SHOUT" not in text and "about" not in text and "seven" in text and text.count("Short") == 1 and by[12]["n_chars"] == len(text)
@@ -297,39 +297,82 @@ def test_licenses(docs, nothing):
     assert got[0]["n_words"] == 0 and got[0]["first_word"] is None and got[4]["labels"] == ""
 
 
+def test_license_names():
+    index = licenses.Index({})
+    labels = lambda t: set(index.matches(licenses.tokens(t)))
+    assert labels("Licensed under CC BY 4.0") == set() and labels("Released under the Apache License") == set()
+    assert labels("released under the license of its owner") == set() and labels("licensed under the terms of the GNU license") == set()
+    assert labels("Released under the MIT License.") == {"mit"} and labels("Licensed under CC BY-NC 4.0") == {"cc-by-nc"}
+    assert labels("a b c Licensed under the Apache License, Version 2.0 d e") == {"apache-2.0"}
+    for label, _, text in licenses.TEMPLATES:
+        got = index.matches(licenses.tokens("word " * 30 + text + " other" * 30))
+        assert got[label][0] == 1.0 and got[label][1] >= 30 and got[label][2] <= 29 + len(licenses.tokens(text)), label
+
+
 def test_license_join_is_exact():
     rnd, words = random.Random(3), sorted(licenses.vocabulary())
     index = licenses.Index({w: rnd.randint(1, 9) for w in words})
     for _ in range(300):
-        label, text = rnd.choice(licenses.TEMPLATES)
-        block = [w for w in licenses.tokens(text) if rnd.random() < 0.85]
+        label, names, text = rnd.choice(licenses.TEMPLATES)
+        block = [w for w in licenses.tokens(text) if rnd.random() < 0.85 or w in licenses.tokens(names)]
         doc = [rnd.choice(words) for _ in range(20)] + block + [rnd.choice(words) for _ in range(20)]
         want = {}
-        for name, order, whole, least, length in index.sets:
-            best = max(len(whole.intersection(doc[i : i + length])) for i in range(max(1, len(doc) - length + 1)))
+        for name, order, whole, called, least, length in index.sets:
+            blocks = [whole.intersection(doc[i : i + length]) for i in range(max(1, len(doc) - length + 1))]
+            best = max((len(x) for x in blocks if called <= x), default=0)
             if best >= least:
                 want[name] = max(want.get(name, 0), best / len(order))
-        assert index.matches(doc) == want
+        assert {k: x[0] for k, x in index.matches(doc).items()} == want
+
+
+def test_licenses_of_whole_texts(spark):
+    """The base columns against a plain count, long texts with many places included."""
+    texts = ["CC BY cc-by CC  BY", "gpl General public\nLicense, all rights reserved " * 20_000, "all rights, reserved? ALL rights_reserved", "xall rights reserved", None]
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big + i if t else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scanned(df).collect()}
+    phrases = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places = [(k, x) for x, p in phrases.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        r = got[big + i if t else None]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
+        assert (r["first_word"], r["last_word"]) == (min(places)[0], max(places)[0]) if places else r["first_word"] is None
+
+
+def test_long_ids_beside_a_null(spark):
+    """Ids beyond 2**53 stay what they are where a batch holds a null one, too."""
+    big = (1 << 60) + 1
+    rnd = random.Random(4)
+    text = lambda: " ".join("".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(60))
+    df = spark.createDataFrame([(None, text()), (big, text()), (big + 2, text())], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(big, 1)], "doc_id long, toxic int")
+    want = {None, big, big + 2}
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want and {r["doc_id"] for r in simhash.grouped(df).collect()} == want
+    assert {r["doc_id"] for r in packing.packed(df, packing.tokenizer_path()).collect()} == want
+    assert {r["doc_id"] for r in toxicity.scored(df, labels).collect()} == want and {r["doc_id"] for r in licenses.scanned(df).collect()} == want
 
 
-def test_topk_against_brute_force(spark):
+@pytest.mark.parametrize("shard", [4096, 7])
+def test_topk_against_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(topk, "SHARD", shard)
     rnd = np.random.default_rng(4)
     vectors = [v.tolist() for v in np.round(rnd.normal(size=(400, 8)), 2)]
     rows = [(i, v, "x") for i, v in enumerate(vectors)] + [(400 + i, vectors[7], "x") for i in range(150)]
-    rows += [(900, None, "x"), (950, [1.0] * 7 + [None], "x"), (1000, [float("nan")] * 8, "x"), (1050, [float("inf")] * 8, "x"), (1100, [1.0], "x")]
+    rows += [(900, None, "x"), (950, [1.0] * 7 + [None], "x"), (1000, [float("nan")] * 8, "x"), (1050, [float("inf")] * 8, "x")]
+    rows += [(50, vectors[3], "x"), (50, vectors[50], "x"), (1100, [2.0], "x"), (1150, [1e7] * 8, "x"), (1151, [-2e7, *[1e7] * 7], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vec string")
-    got = [tuple(r) for r in topk.search(topk.whole_vectors(df, "vec_id", "embedding"), topk.F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect()]
-    ok = [(i, np.floor(256 * np.array(v))) for i, v, _ in rows[:550]]
+    got = sorted(tuple(r) for r in topk.search(topk.whole_vectors(df, "vec_id", "embedding"), topk.F.col("vec_id") % 50 == 0, 5).collect())
+    ok = [(i, [int(np.floor(256 * c)) for c in [*v, *[0.0] * (8 - len(v))]]) for i, v, _ in [*rows[:550], *rows[554:]]]
     want = []
-    for q, x in ok:
+    for n, (q, x) in enumerate(ok):
         if q % 50 == 0:
-            best = sorted((-int(x @ y), c) for c, y in ok if c != q)[:5]
-            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    assert got == want
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c, m) for m, (c, y) in enumerate(ok) if m != n)[:5]
+            want += [(q, k + 1, c, max(-(1 << 63), min(-s, (1 << 63) - 1))) for k, (s, c, _) in enumerate(best)]
+    assert got == sorted(want)
     assert topk.search(topk.whole_vectors(df.filter("vec_id < 0"), "vec_id", "embedding"), topk.F.lit(True), 5).count() == 0
 
 
-
 def test_mixing(docs, nothing):
     plan = mixing.Plan(percent=60)
     assert mixing.selected(nothing, plan).count() == 0
@@ -348,6 +391,17 @@ def test_mixing(docs, nothing):
     assert n == sum(taken.values())
 
 
+def test_weights_of_zero_leave_out(spark):
+    rows = [(1, "x " * 100, "en", "a"), (2, "y " * 100, "en", "b"), (3, "z " * 100, "de", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("team", mixing.F.lit("t"))
+    plan = mixing.Plan(domains={}, languages={}, sources={"a": 0}, percent=60, max_epochs=5, domain="team")
+    got = Counter()
+    for r in mixing.selected(df, plan).collect():
+        got[r["source"], r["domain"]] += r["take"]
+    assert got == {("b", "t"): 90, ("c", "t"): 90}
+    assert mixing.selected(df, mixing.Plan(sources={"a": 0, "b": 0, "c": 0})).count() == 0
+
+
 def test_shortages_stay_among_siblings(spark):
     leaves = [("domain0", "en", "a", 1000), ("domain0", "en", "b", 10), ("domain0", "de", "c", 1000), ("domain1", "en", "d", 1000)]
     plan = mixing.Plan(percent=50, max_epochs=1, domains={}, languages={})
