@@ -127,7 +127,7 @@ def repeated_runs(texts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _places(text: str, words: int) -> np.ndarray:
+def _places(text: str) -> np.ndarray:
     """Where each word starts in a text, in code points, and the text's length."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
@@ -149,6 +149,14 @@ def spans(docs: DataFrame) -> DataFrame:
         def holds(at: np.ndarray) -> np.ndarray:
             return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
+        ids, bodies, froms, tos, found = [], [], [], [], []
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame({"doc_id": ids, "body": bodies, "start": np.concatenate([np.empty(0, np.int32), *froms]).astype("int32"), "end": np.concatenate([np.empty(0, np.int32), *tos]).astype("int32"), "run": found})
+            for x in (ids, bodies, froms, tos, found):
+                x.clear()
+            return out.astype({"doc_id": "object", "body": "int64", "run": "object"})
+
         for b in batches:
             for d, body, t in zip(b["doc_id"], b["body"], b["text"], strict=True):
                 got = runs(t)
@@ -158,14 +166,17 @@ def spans(docs: DataFrame) -> DataFrame:
                 edges = list(zip(starts[first].tolist(), ends[behind - 1].tolist(), strict=True))
                 small = np.fromiter((short(joined[x:y]) for x, y in edges), dtype=np.uint64, count=len(edges))
                 hits = np.flatnonzero(holds(small & mask) & holds(small >> np.uint64(32) & mask))
-                if not len(hits):
-                    continue
-                at = _places(t, len(starts))
+                at = _places(t) if len(hits) else None
                 for k in range(0, len(hits), 50_000):
                     h = hits[k : k + 50_000]
-                    run = [long(joined[edges[i][0] : edges[i][1]]) for i in h.tolist()]
-                    part = pd.DataFrame({"doc_id": [d] * len(h), "body": body, "start": at[first[h]], "end": at[behind[h]], "run": run})
-                    yield part.astype({"doc_id": "object", "start": "int32", "end": "int32"})
+                    found += [long(joined[edges[i][0] : edges[i][1]]) for i in h.tolist()]
+                    ids += [d] * len(h)
+                    bodies += [body] * len(h)
+                    froms.append(at[first[h]])
+                    tos.append(at[behind[h]])
+                    if len(found) > 50_000:
+                        yield frame()
+        yield frame()
 
     thin = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
     found = thin.mapInPandas(emit, SPANS)
