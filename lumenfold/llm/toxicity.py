@@ -1,12 +1,13 @@
 """Toxicity by noisy-channel deobfuscation: words written with look-alike signs, spacing or repetition are decoded by
 Viterbi search over a character lattice under a character language model; the restored words are then scored.
 
-1. Language model: counts of character trigrams in all words of all documents, over the CHARS most frequent characters.
+1. Language model: counts of character trigrams in all words of all documents. Those that make up less than MIN_GRAM of
+   all trigrams count as unseen, whatever script they are in; that also bounds the model, at 1 / MIN_GRAM entries.
 2. Channel: a token that mixes letters with signs or digits, repeats a letter three times, or is spelled out with
    separators becomes a lattice: each sign stands for itself or a letter it imitates, runs of a letter for one or two of
    it, separators for nothing. Each departure from the plain reading costs something; Viterbi finds the likeliest word.
    A spelled-out run is read as one word and, its gaps being word ends as well, as several; tokens and runs of any
-   length are read whole.
+   length are read whole. When scoring, only tokens that some sign can lie behind are decoded (`skeleton`).
 3. Scorer: naive Bayes over the words that labels show to be signs of toxicity. Labels are learned from at most
    MAX_LABELLED rows (the smallest hashes of their doc_ids) whose crc32 of the doc_id leaves a remainder other than 1;
    a word counts from MIN_DOCS toxic documents on and when it is at least exp(MIN_EVIDENCE) times likelier in them.
@@ -38,8 +39,9 @@ STEMS = (4, 5, 6)
 MIN_EVIDENCE = 3.0
 MAX_EVIDENCE = 6.0
 THRESHOLD = 0.7
-CHARS = 64
-CACHE = 300_000
+MIN_GRAM = 1e-6
+WORDS = 1_000_000  # distinct words of a task whose trigrams are counted at once
+CACHE = 500_000  # tokens that are remembered; it changes speed alone
 #: Letters that a sign or digit imitates (fixed values).
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou"}
 SEPARATORS = ".-_*~,·"
@@ -64,12 +66,13 @@ class Model:
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.three = counts
+        self.chars = len({c for t in counts for c in t}) + 1
         self.two: Counter[str] = Counter()
         for t, n in counts.items():
             self.two[t[:2]] += n
 
     def step(self, two: str, c: str) -> float:
-        return log((self.three.get(two + c, 0) + 1) / (self.two.get(two, 0) + CHARS))
+        return log((self.three.get(two + c, 0) + 1) / (self.two.get(two, 0) + self.chars))
 
     def decode(self, token: str, breaks: bool = False) -> str:
         """The likeliest word behind a token, or words with `breaks`; its letters stand for themselves."""
@@ -125,35 +128,63 @@ def features(word: str) -> list[str]:
     return [word, *(f"^{word[:n]}" for n in STEMS if len(word) > n)]
 
 
+#: What can stand for one another, under one of them; signs that can be any vowel, and separators, which may be nothing.
+CLASSES = str.maketrans({"0": "o", "1": "i", "l": "i", "!": "i", "|": "i", "£": "i", "2": "z", "3": "e", "€": "e", "4": "a", "@": "a", "5": "s", "$": "s", "6": "b", "g": "b", "8": "b", "9": "b", "7": "t", "+": "t", "(": "c"} | dict.fromkeys(SEPARATORS + " ", ""))
+RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
+def skeleton(token: str) -> str:
+    """What all readings of a token without `*` and `#` share: letters and the signs for them in classes, runs as one."""
+    return RUN.sub(r"\1", token.translate(CLASSES))
+
+
 class Restorer:
     """What `pick` makes of each word of a text and of the words behind its obfuscated tokens; results for tokens are
-    remembered, up to CACHE of them. `inside` are words that are also sought anywhere in a spelled-out run."""
+    remembered, up to CACHE of them. `inside` are words that are also sought anywhere in a spelled-out run. With `signs`,
+    only tokens whose skeleton begins like one of theirs are decoded; others can't be read as a word that matters."""
+
+    def __init__(self, model: Model, pick: Callable[[str], Iterable[str]] = features, inside: Iterable[str] = (), signs: Iterable[str] | None = None) -> None:
+        self.model, self.pick, self.inside, self.known, self.nothing = model, pick, tuple(inside), {}, set()
+        # A word of letters alone can be a sign only if it begins like one.
+        self.begins = None if signs is None else frozenset(w.lstrip("^")[: STEMS[0]] for w in signs)
+        # Readings of `*` and `#` are any vowel, and other marks may be left out: such tokens are always decoded.
+        self.open = re.compile("[" + re.escape("".join(c for c, x in LOOKS.items() if x == "aeiou")) + r"]|[^\w" + re.escape("".join(LOOKS) + SEPARATORS) + r"]|_(?!\Z)")
+        heads = None if signs is None else {skeleton(w.lstrip("^")) for w in signs}
+        self.heads = None if heads is None else tuple(sorted(heads))
 
-    def __init__(self, model: Model, pick: Callable[[str], Iterable[str]] = features, inside: Iterable[str] = ()) -> None:
-        self.model, self.pick, self.inside, self.known = model, pick, tuple(inside), {}
+    def may_matter(self, token: str) -> bool:
+        return self.heads is None or bool(self.open.search(token)) or skeleton(token).startswith(self.heads)
 
     def forms(self, token: str) -> set[str]:
+        if self.begins is not None and token[: STEMS[0]] not in self.begins and token.isalpha() and not REPEAT.search(token):
+            return set()
         inner = token.strip(EDGES)
         found = {inner}
-        if suspicious(inner):
+        if suspicious(inner) and self.may_matter(inner):
             found.add(self.model.decode(inner))
         if token[0] in LOOKS or token[-1] in LOOKS:  # signs at the edge may be letters, too
             edge = token.strip(".,;:?\"')[]{}<>%&…")
-            if suspicious(edge):
+            if suspicious(edge) and self.may_matter(edge):
                 found.add(self.model.decode(edge))
         return found - {""}
 
     def __call__(self, text: str | None) -> set[str]:
         low, known, found = (text or "").lower(), self.known, set()
-        for t in set(low.split()):
+        tokens = set(low.split())
+        for t in tokens.difference(self.nothing):  # most words are known to be nothing
             got = known.get(t)
             if got is None:
-                if len(known) > CACHE:
+                got = tuple({x for w in self.forms(t) for x in self.pick(w)})
+                if len(known) + len(self.nothing) > CACHE:
                     known.clear()
-                got = known[t] = tuple({x for w in self.forms(t) for x in self.pick(w)})
-            if got:
-                found.update(got)
-        for m in SPELLED.finditer(low):
+                    self.nothing.clear()
+                if got:
+                    known[t] = got
+                else:
+                    self.nothing.add(t)
+            found.update(got)
+        # A run holds three letters with nothing but separators beside them.
+        for m in SPELLED.finditer(low) if spaced(low) else ():
             whole = self.model.decode(m[0])
             for w in {whole, *self.model.decode(m[0], breaks=True).split()}:
                 found.update(self.pick(w))
@@ -161,27 +192,48 @@ class Restorer:
         return found
 
 
+def spaced(text: str) -> bool:
+    """Whether three letters or digits in a row may stand apart by one to three other characters: false only where
+    SPELLED finds nothing, and far cheaper."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(codes) < 5:
+        return False
+    letters = (codes >= 128) | ((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57))
+    alone = letters.copy()
+    alone[1:] &= ~letters[:-1] | (codes[:-1] >= 128)
+    alone[:-1] &= ~letters[1:] | (codes[1:] >= 128)
+    at = np.flatnonzero(alone)
+    near = np.diff(at) <= 4
+    return bool((near[1:] & near[:-1]).any())
+
+
 def trigram_counts(docs: DataFrame) -> dict[str, int]:
-    """Counts of trigrams over the most frequent characters, over all documents; at most CHARS cubed of them."""
+    """Counts of trigrams over all documents, those that make up MIN_GRAM of all or more."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen: Counter[str] = Counter()
-            for t in b["text"]:
-                seen.update((t or "").lower().split())
-            grams: Counter[str] = Counter()
+        seen: Counter[str] = Counter()
+
+        def grams() -> pd.DataFrame:
+            found: Counter[str] = Counter()
             for w, n in seen.items():
                 w = w.strip(EDGES)
                 if w.isalpha():
                     framed = f"  {w} "
-                    for i in range(len(framed) - 2):
-                        grams[framed[i : i + 3]] += n
-            yield pd.DataFrame({"gram": list(grams), "n": list(grams.values())}).astype({"gram": "object", "n": "int64"})
+                    for gram in map("".join, zip(framed, framed[1:], framed[2:], strict=False)):
+                        found[gram] += n
+            seen.clear()
+            return pd.DataFrame({"gram": list(found), "n": list(found.values())}).astype({"gram": "object", "n": "int64"})
+
+        for b in batches:
+            for t in b["text"]:
+                seen.update((t or "").lower().split())
+                if len(seen) > WORDS:
+                    yield grams()
+        yield grams()
 
     counts = docs.select("text").mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = written(counts, docs.sparkSession)  # asked twice: for the characters, then for the grams of those
-    chars = counts.select(F.substring("gram", 3, 1).alias("c"), "n").filter("c <> ' '").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(CHARS)
-    kept = "".join(r["c"] for r in chars.collect()) + " "
-    return {r["gram"]: r["n"] for r in counts.filter(F.translate("gram", kept, "") == "").collect()}
+    counts = written(counts, docs.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return {r["gram"]: r["n"] for r in counts.filter(F.col("n") >= MIN_GRAM * total).collect()}
 
 
 def signature(text: str | None) -> list[int]:
@@ -192,33 +244,35 @@ def signature(text: str | None) -> list[int]:
     return [int((hashes * np.uint64(m) ^ (hashes >> np.uint64(29))).min() >> np.uint64(1)) for m in MIXERS]
 
 
-def without_copies(sample: DataFrame, docs: DataFrame) -> list[tuple]:
-    """(doc_id, toxic) of sampled rows with a text, without near copies of others: a copied document would make signs of
-    all its words. The sample is bounded, so its signatures are compared on the driver."""
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sampled rows (id, toxic, text) without near copies of others: a copied document would make signs of all its
+    words. The sample is bounded, so its signatures are compared on the driver."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "toxic": b["toxic"], "signs": [signature(t) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "signs": [signature(t) for t in b["text"]]})
 
-    met = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
     seen: set[tuple[int, int]] = set()
     kept = []
-    for r in sorted(met.mapInPandas(sign, "id long, toxic int, signs array<long>").collect()):
+    for r in sorted(sample.mapInPandas(sign, "id long, toxic int, signs array<long>").collect()):
         own = set(enumerate(r["signs"]))
         if not own & seen:
             kept.append((r["id"], r["toxic"]))
         seen |= own
-    return kept
+    # At most MAX_LABELLED ids of 8 bytes: small enough for every executor.
+    kept = sample.sparkSession.createDataFrame(kept, "id long, toxic int")
+    return sample.join(F.broadcast(kept), ["id", "toxic"], "left_semi").dropDuplicates(["id", "toxic"])
 
 
 def evidence(docs: DataFrame, labels: DataFrame, model: Model) -> tuple[float, dict[str, float]]:
     """The log odds of toxicity without any sign, and each sign's weight."""
+    spark = docs.sparkSession
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    drawn = rows.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(MAX_LABELLED)
-    kept = without_copies(drawn, docs)
-    pos, neg = sum(t == 1 for _, t in kept), sum(t != 1 for _, t in kept)
+    drawn = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id", "toxic").limit(MAX_LABELLED)
+    met = docs.join(F.broadcast(drawn), docs["doc_id"].cast("long") == drawn["id"]).select("id", "toxic", "text")
+    sample = written(without_copies(written(met, spark)), spark)  # the texts are read once, from then on the sample
+    pos, neg = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
     if not pos:
         return -1e9, {}
-    sample = docs.sparkSession.createDataFrame(kept, "_id long, toxic int")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore = Restorer(model)
@@ -229,9 +283,7 @@ def evidence(docs: DataFrame, labels: DataFrame, model: Model) -> tuple[float, d
             every = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"word": every, "p": [seen[1][w] for w in every], "n": [seen[0][w] for w in every]}).astype({"word": "object", "p": "int64", "n": "int64"})
 
-    # At most MAX_LABELLED ids of 8 bytes: small enough for every executor.
-    train = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select("text", "toxic")
-    words = train.mapInPandas(count, "word string, p long, n long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    words = sample.select("text", "toxic").mapInPandas(count, "word string, p long, n long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     weight = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
     signs = words.filter((F.col("p") >= MIN_DOCS) & (F.col("p") >= MIN_SHARE * pos)).withColumn("w", weight).filter(F.col("w") >= MIN_EVIDENCE).select("word", "w").collect()
     # Toxic texts have signs more often than not, so a text without one is less likely toxic than the share of them.
@@ -242,21 +294,22 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
     counts = trigram_counts(docs)
     prior, signs = evidence(docs, labels, Model(counts))
-    carried = docs.sparkSession.sparkContext.broadcast(counts)  # at most CHARS cubed counts
+    carried = docs.sparkSession.sparkContext.broadcast(counts)  # at most 1 / MIN_GRAM counts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def best(word: str) -> list[str]:
             """The strongest sign that a word is, so that a word and its beginnings don't count twice."""
             return sorted((x for x in features(word) if x in signs), key=lambda x: (-signs[x], x))[:1]
 
-        restore = Restorer(Model(carried.value), best, [w for w in signs if w[0] != "^" and len(w) >= STEMS[0]])
+        restore = Restorer(Model(carried.value), best, [w for w in signs if w[0] != "^" and len(w) >= STEMS[0]], signs)
         for b in batches:
             odds = [prior + sum(sorted(signs[x] for x in restore(t))) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": [1 / (1 + exp(-max(min(o, 60.0), -700.0))) for o in odds]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    thin = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
+    out = thin.mapInPandas(run, "doc_id string, held_out boolean, score double")  # a null among longs would make doubles of them
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
