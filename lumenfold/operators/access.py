@@ -9,24 +9,6 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.scores import first_match
 
-#: Tokens of a guard's expression and its class, the first class that has one (fixed values).
-GUARDS = (
-    ("authentication", ("login_required", "is_authenticated", "current_user is none")), ("role", ("is_admin", "has_role", "permission", "staff_member")), ("owner", ("owner", "user_id ==", "created_by")),
-    ("tenant", ("tenant", "org_id", "account_id")), ("containment", ("startswith", "is_relative_to", "commonpath")), ("basename", ("secure_filename", "basename")), ("escape", ("escape", "bleach", "markupsafe")), ("parameterized", ("%s", "?", ":param")),
-)
-
-
-def guard_class(expression: Column) -> Column:
-    low = F.lower(expression)
-    rules = []
-    for name, words in GUARDS:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | low.contains(w)
-        rules.append((hit, name))
-    return first_match(rules)
-
-
 def matrix(seen: DataFrame, roles: Sequence[str]) -> DataFrame:
     """Routes by roles: the last status that each role got (route, method, role, status, seq); absent roles count as
     `user`, absent methods as GET. With the roles named, the pivot is one aggregate."""

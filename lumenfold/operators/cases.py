@@ -10,36 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scores as S
+from lumenfold.operators import audit as A
 from lumenfold.operators.relational import first_by
 
-# The first rule that holds names the category.
-CATEGORIES = (
-    ("injection", (78, 89, 94, 95), ("sql", "command injection", "eval", "exec")),
-    ("path_traversal", (22, 73), ("traversal", "path")),
-    ("access_control", (284, 285, 287, 306, 639, 862, 863), ("idor", "authorization", "access control")),
-    ("xss", (79,), ("xss", "cross-site scripting")),
-    ("ssrf", (918,), ("ssrf",)),
-    ("secret", (259, 321, 798), ("secret", "credential", "api key", "password")),
-    ("deserialization", (502,), ("deserial", "pickle")),
-    ("crypto", (295, 326, 327, 338), ("crypto", "tls", "cipher")),
-    ("dependency", (1104,), ("vulnerable dependency", "pysec", "cve-")),
-)
+# Fixed values.
 PRIORITY = {"critical": "critical", "high": "high", "error": "high", "medium": "medium", "warning": "medium", "low": "low", "note": "low"}
 SKIPPED_PARTS = ("tests", "test", "fixtures", "fixture", "vendor", "generated", "examples")
-VERDICTS = ((80, "reportable_candidate"), (50, "needs_manual_validation"), (20, "weak_signal"))
-UNPROVEN_CAP = 79
+HIGH_IMPACT = ("command_injection", "unsafe_deserialization", "path_traversal", "access_control", "ssrf")
 
 
 def category() -> Column:
-    number = F.regexp_extract("cwe", "([0-9]+)$", 1).try_cast("int")
-    text = F.lower(F.concat_ws(" ", "rule_id", "title", "evidence"))
-    rules = [(number.isin(*cwes), name) for name, cwes, _ in CATEGORIES]
-    for name, _, words in CATEGORIES:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | text.contains(w)
-        rules.append((hit, name))
-    return S.first_match(rules, "other")
+    return A.external_category(F.col("cwe"), F.concat_ws(" ", "rule_id", "title", "evidence"))
 
 
 def in_skipped_path(file: Column) -> Column:
@@ -77,14 +58,17 @@ def correlated(df: DataFrame) -> DataFrame:
 
 
 def scored(df: DataFrame, proven: Column | None = None) -> DataFrame:
-    """Reportability of correlated cases: additive factors between 0 and 100, at most UNPROVEN_CAP without a proof."""
-    rules = [
-        (F.size("tools") > 0, 10), (F.size("tools") > 1, 15), (F.col("line") > 0, 20), (F.col("category") == "access_control", 25), (F.col("category").isin("injection", "deserialization"), 15),
-        (F.col("confidence") >= 0.8, 20), (in_skipped_path(F.col("file")), -20), (F.col("priority").isin("low", "info"), -10), (F.size("rules") == 0, -15),
-    ]
-    raw = S.additive(rules, 0, 100)
-    score = F.when(proven if proven is not None else F.lit(False), raw).otherwise(F.least(raw, F.lit(UNPROVEN_CAP)))
-    return df.withColumn("score", score).withColumn("verdict", S.cut(F.col("score"), VERDICTS, "likely_false_positive"))
+    """Reportability of correlated cases by what reports alone can show; factors that need flows, routes or guards don't
+    hold. `proven` says which have a verified bypass."""
+    many, no = F.size("tools") > 1, F.lit(False)
+    held = {
+        "external": F.size("tools") > 0, "lineages": many, "codeflow": no, "ordered_flow": no, "route": no, "access": no, "attack_path": no, "owner_gap": F.col("category") == "access_control", "mutation": no, "sensitive": no,
+        "steps": F.lit(True), "high_impact": F.col("category").isin(*HIGH_IMPACT), "strong_guard": no, "admin_guard": no, "skipped_path": in_skipped_path(F.col("file")), "nothing_found": F.lit(True),
+        "static_only": ~many, "low_severity": F.col("priority").isin("low", "info"), "contradicted": no, "has_path": no, "n_tools": F.size("tools"),
+        "outcome": F.when(proven if proven is not None else no, "bypassed"),
+    }
+    judged = A.reportability(df.withColumns({k: v for k, v in held.items()}).withColumnRenamed("confidence", "_sure"))
+    return judged.withColumnRenamed("confidence", "sureness").withColumnRenamed("_sure", "confidence").drop(*held)
 
 
 def with_routes(df: DataFrame, routes: DataFrame) -> DataFrame:

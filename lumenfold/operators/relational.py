@@ -108,3 +108,9 @@ def upsert(state: DataFrame, new: DataFrame, key: str) -> DataFrame:
     validation stays."""
     add = new.select(key, F.lit(1).cast("long").alias("seen"), F.col("at").alias("first_at"), F.col("at").alias("last_at"), "validated")
     return state.unionByName(add).groupBy(key).agg(F.sum("seen").alias("seen"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("validated").alias("validated"))
+
+
+def where(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that meet a condition on columns with long definitions. The flag comes out of a generator, so the filter
+    stays above it and those definitions aren't put in again for each mention."""
+    return df.select("*", F.explode(F.array(condition)).alias("_met")).filter("_met").drop("_met")

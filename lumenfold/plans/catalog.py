@@ -167,7 +167,7 @@ def q_redact(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.redacted(F.col("text")).alias("clean"))
 
 
-TOK = r"list_filter(regexp_extract_all(lower(text), '([a-z][a-z0-9_]+)', 1), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'not'))"
+TOK = rf"list_filter(regexp_extract_all(lower(text), '([a-z][a-z0-9_]+)', 1), lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(w) for w in S.STOP_WORDS)}))"
 
 
 @query(f"""WITH w AS (SELECT item_id, unnest({TOK}) AS w FROM benchmark), c AS (SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 1024 AS dim, count(*) AS n FROM w GROUP BY ALL),
@@ -188,11 +188,11 @@ def q_jaccard_pairs(spark, d):
     return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("score")).filter("score >= 0.1")
 
 
-EDGES = "SELECT s_suppkey AS src, s_suppkey * 7 % 101 AS dst FROM supplier WHERE s_nationkey % 2 = 0"
+EDGES = "SELECT s_suppkey AS src, s_suppkey * 7 % (SELECT max(s_suppkey) + 1 FROM supplier) AS dst FROM supplier"
 
 
 def edges(spark, d):
-    return table(spark, d, "supplier").filter("s_nationkey % 2 = 0").selectExpr("s_suppkey AS src", "s_suppkey * 7 % 101 AS dst")
+    return all_edges(spark, d)
 
 
 def all_edges(spark, d):
@@ -206,7 +206,7 @@ def q_reach(spark, d):
     return G.impact(edges(spark, d), spark.createDataFrame([(1,)], "node long"))
 
 
-@query(f"""WITH RECURSIVE e AS ({EDGES}), r AS (SELECT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 5 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 110)
+@query(f"""WITH RECURSIVE e AS ({EDGES}), r AS (SELECT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 5 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 2000)
 SELECT s_suppkey AS node, coalesce(depth, -1)::INTEGER AS depth FROM supplier LEFT JOIN (SELECT node, min(depth) AS depth FROM r GROUP BY node) ON node = s_suppkey""")
 def q_depth(spark, d):
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
@@ -337,7 +337,7 @@ def q_severity_cut(spark, d):
 @query("""SELECT s_suppkey, (1 - r) * 0.4::DOUBLE + e * 0.3::DOUBLE + (1 - c) * 0.3::DOUBLE AS fragility FROM (SELECT s_suppkey, CASE s_nationkey % 6 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 WHEN 3 THEN 0.4 WHEN 4 THEN 0.2 ELSE 0.1 END AS r, CASE s_suppkey % 3 WHEN 0 THEN 0.3::DOUBLE WHEN 1 THEN 0.7 ELSE 0.9 END AS e, (s_suppkey % 10) / 10::DOUBLE AS c FROM supplier)""")
 def q_fragility(spark, d):
     r = S.lookup(F.concat(F.lit("C"), (F.col("s_nationkey") % 6 + 1).cast("string")), S.ROBUSTNESS, 0.1)
-    e = S.lookup(F.col("s_suppkey") % 3, dict(enumerate(S.EPISTEMIC)), S.EPISTEMIC[-1])
+    e = S.lookup(F.when(F.col("s_suppkey") % 3 == 0, "held").when(F.col("s_suppkey") % 3 == 1, "hoped").otherwise("unknown"), {"held": 0.3, "hoped": 0.7}, 0.9)
     return table(spark, d, "supplier").select("s_suppkey", S.fragility(r, e, F.col("s_suppkey") % 10 / 10.0).alias("fragility"))
 
 

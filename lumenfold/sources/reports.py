@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.scores import cwe_name, lookup, truthy
+from lumenfold.operators.audit import TOOL_CONFIDENCE
 
 # Fixed values.
-CONFIDENCE = {**dict.fromkeys(("critical", "high", "error"), 0.85), **dict.fromkeys(("medium", "warning"), 0.65), **dict.fromkeys(("low", "note", "info"), 0.35)}
 MUTATING = ("POST", "PUT", "PATCH", "DELETE")
 ZAP_RISK = {"3": "high", "2": "medium", "1": "low", "0": "info"}
 
-SEMGREP = "struct<results:array<struct<check_id:string,path:string,start:struct<line:int>,extra:struct<message:string,severity:string,metadata:struct<cwe:array<string>>>>>>"
-BANDIT = "struct<results:array<struct<filename:string,line_number:int,test_id:string,test_name:string,issue_text:string,issue_severity:string,issue_cwe:struct<id:int>>>>"
+SEMGREP = "struct<results:array<struct<check_id:string,path:string,start:struct<line:int>,extra:struct<message:string,severity:string,metadata:struct<cwe:array<string>,confidence:string>>>>>"
+BANDIT = "struct<results:array<struct<filename:string,line_number:int,test_id:string,test_name:string,issue_text:string,issue_severity:string,issue_confidence:string,issue_cwe:struct<id:int>>>>"
 GITLEAKS = "array<struct<RuleID:string,Description:string,File:string,StartLine:int>>"
 CHECK = "struct<check_id:string,check_name:string,file_path:string,file_line_range:array<int>,resource:string,severity:string>"
 CHECKOV = f"struct<results:struct<failed_checks:array<{CHECK}>>>"
@@ -50,25 +50,27 @@ def _each(raw: DataFrame, schema: str, field: str | None = None) -> DataFrame:
     return raw.select(F.explode(parsed[field] if field else parsed).alias("x"))
 
 
-def finding(source: str | Column, rule: Column, title: Column, file: Column, line: Column, cwe: Column, severity: Column, evidence: Column) -> list[Column]:
+def finding(source: str | Column, rule: Column, title: Column, file: Column, line: Column, cwe: Column, severity: Column, evidence: Column, sure: Column | None = None) -> list[Column]:
+    """The columns of a finding; a tool's own confidence, where it states one, comes before its severity."""
     level = F.lower(F.coalesce(severity, F.lit("")))
+    stated = level if sure is None else F.lower(truthy(sure, level))
     return [
         (F.lit(source) if isinstance(source, str) else source).alias("source"), F.coalesce(rule, F.lit("")).alias("rule_id"), F.coalesce(title, F.lit("")).alias("title"),
         F.replace(F.coalesce(file, F.lit("")), F.lit("\\"), F.lit("/")).alias("file"), line.cast("int").alias("line"), F.coalesce(cwe, F.lit("")).alias("cwe"),
-        level.alias("severity"), lookup(level, CONFIDENCE, 0.5).alias("confidence"), F.coalesce(evidence, F.lit("")).alias("evidence"),
+        level.alias("severity"), lookup(stated, TOOL_CONFIDENCE, 0.5).alias("confidence"), F.coalesce(evidence, F.lit("")).alias("evidence"),
     ]
 
 
 def semgrep(raw: DataFrame) -> DataFrame:
     x = F.col("x")
     cwe = cwe_name(F.get(x["extra"]["metadata"]["cwe"], 0))
-    return _each(raw, SEMGREP, "results").select(*finding("semgrep", x["check_id"], x["extra"]["message"], x["path"], x["start"]["line"], cwe, x["extra"]["severity"], x["extra"]["message"]))
+    return _each(raw, SEMGREP, "results").select(*finding("semgrep", x["check_id"], x["extra"]["message"], x["path"], x["start"]["line"], cwe, x["extra"]["severity"], x["extra"]["message"], x["extra"]["metadata"]["confidence"]))
 
 
 def bandit(raw: DataFrame) -> DataFrame:
     x = F.col("x")
     cwe = F.concat(F.lit("CWE-"), x["issue_cwe"]["id"].cast("string"))
-    return _each(raw, BANDIT, "results").select(*finding("bandit", x["test_id"], x["test_name"], x["filename"], x["line_number"], cwe, x["issue_severity"], x["issue_text"]))
+    return _each(raw, BANDIT, "results").select(*finding("bandit", x["test_id"], x["test_name"], x["filename"], x["line_number"], cwe, x["issue_severity"], x["issue_text"], x["issue_confidence"]))
 
 
 def gitleaks(raw: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lumenfold.operators import access as A
+from lumenfold.operators import audit
 from lumenfold.sources import bundles as B
 
 
@@ -25,8 +26,8 @@ def test_bundle(spark):
 def test_access(spark):
     seen = spark.createDataFrame([("/a", None, None, 200, 1), ("/a", "GET", "user", 403, 2), ("/a", "GET", "admin", 200, 3)], "route string, method string, role string, status int, seq int")
     assert tuple(A.matrix(seen, ["admin", "user"]).first()) == ("/a", "GET", 200, 403)
-    row = spark.range(1).select(A.guard_class(F.lit("if obj.Owner == me")).alias("a"), A.guard_class(F.lit("x")).alias("b")).first()
-    assert (row["a"], row["b"]) == ("owner", None)
+    row = spark.range(1).select(audit.guard_class(F.lit("obj.OWNER_ID == me")).alias("a"), audit.guard_class(F.lit("x")).alias("b")).first()
+    assert (row["a"], row["b"]) == ("ownership_guard", None)
     src = spark.createDataFrame([("a",), (None,), ("b",)], "text string")
     cache = src.filter("text = 'a'").select(F.sha2("text", 256).alias("digest"), F.lit("r").alias("result"))
     hits, misses = A.cached(src, cache, "text")

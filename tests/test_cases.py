@@ -16,20 +16,20 @@ def test_cases(spark):
         ("bandit", "B608", "hardcoded sql", "app/a.py", 17, "", "medium", 0.65, ""), ("zap", "z", "Cross-site scripting", "tests/t.py", None, "CWE-79", "low", 0.35, ""), ("x", "y", "", "", None, "", "", 0.5, ""),
     ]
     got = K.cases(spark.createDataFrame(rows, FINDING))
-    assert [r["category"] for r in got.collect()] == ["injection", "injection", "injection", "xss", "other"]
+    assert [r["category"] for r in got.collect()] == ["sql_injection", "sql_injection", "sql_injection", "xss", "unknown"]
     first = K.first_cases(got)
     assert first.count() == 4
     assert [r["rule_id"] for r in first.orderBy(*K.case_order()).collect()] == ["r1", "B608", "y", "z"]
     merged = K.scored(K.correlated(first))
     by = {(r["category"], r["file"]): r for r in merged.collect()}
-    a = by["injection", "app/a.py"]
-    assert (a["tools"], a["line"], a["status"], a["confidence"], a["score"], a["verdict"]) == (["bandit", "semgrep"], 12, "actionable", 0.85, 79, "needs_manual_validation")
+    a = by["sql_injection", "app/a.py"]
+    assert (a["tools"], a["line"], a["status"], a["confidence"], a["score"], a["verdict"]) == (["bandit", "semgrep"], 12, "actionable", 0.85, 15, "likely_false_positive")  # 10 + 15 + 10 - 20 for want of a route or flow
     assert by["xss", "tests/t.py"]["status"] == "false_positive_likely" and by["xss", "tests/t.py"]["score"] == 0
-    proven = {r["category"]: r["score"] for r in K.scored(K.correlated(first), F.col("category") == "injection").collect()}
-    assert proven["injection"] == 80
+    proven = {r["category"]: r["score"] for r in K.scored(K.correlated(first), F.col("category") == "sql_injection").collect()}
+    assert proven["sql_injection"] == 35
     report = json.loads(K.sarif(first))
     results = report["runs"][0]["results"]
-    assert [r["ruleId"] for r in results] == ["injection", "injection", "other", "xss"] and [r["ruleIndex"] for r in results] == [0, 0, 1, 2]
+    assert [r["ruleId"] for r in results] == ["sql_injection", "sql_injection", "unknown", "xss"] and [r["ruleIndex"] for r in results] == [0, 0, 1, 2]
     row = json.loads(K.training_rows(merged).first()["row"])
     assert [m["role"] for m in row["messages"]] == ["system", "user", "assistant"]
     routes = spark.createDataFrame([("app/a.py", "/u", 10, 14), ("app/a.py", "/v", 30, 40), ("tests/t.py", "/w", 1, 2)], "file string, route string, start_line int, end_line int")
