@@ -5,8 +5,8 @@ Base rules are the three of the contract; further rules add spans for well-known
 points, end exclusive.
 
 Nulls: a null text is an empty text and so one blob; a null doc_id is a path like any other. Empty tables give empty
-results. Copies and repeated rows share one scan and each get the findings. Extra columns are ignored by `scan` and
-kept by `redact_documents`. The text crosses one shuffle, to meet the blobs that want scanning.
+results. Copies share one scan and each get the findings. Extra columns are ignored by `scan` and kept by
+`redact_documents`.
 """
 
 from __future__ import annotations
@@ -55,35 +55,48 @@ def blobs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2(F.col("text"), 256))
 
 
-def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
-    """Findings of the blobs of `docs` that the ledger (blob, rules) hasn't seen under these rules: one row per blob,
-    with an empty list where nothing was found. Append it to the ledger."""
-    at = blobs(docs)
-    # One path per blob carries the text to the scan; which one doesn't matter, as all hold the same bytes.
-    unseen = at.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+def scanned(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
+    """The paths (doc_id, blob), and findings of the blobs that the ledger (blob, rules) hasn't seen under these rules: one
+    row per blob, with an empty list where nothing was found. Both are written to the shared folder.
+
+    Which path carries a blob to the scan is settled on thin rows: the one with the smallest doc_id. Texts are then scanned
+    where they stand, but for the paths that are left out, or only those that are wanted, whichever list is shorter; the
+    planner sends a short list to the texts and shuffles only for a long one. Where doc_ids are null or repeated, the list
+    holds blobs, too; rows that repeat a doc_id and its text can't be told apart and are each scanned."""
+    spark = docs.sparkSession
+    paths = written(blobs(docs).select("doc_id", "blob"), spark)
+    first = paths.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
     if ledger is not None:
-        unseen = unseen.join(ledger.filter(F.col("rules") == rules).select("blob").distinct(), "blob", "left_anti")
-    unseen = unseen.withColumnRenamed("doc_id", "first_id").withColumnRenamed("blob", "first_blob")
-    texts = at.join(unseen, at["doc_id"].eqNullSafe(unseen["first_id"]) & (at["blob"] == unseen["first_blob"]), "left_semi")
-    # Rows that repeat a doc_id and its text lie in one partition of that join already; one of them is scanned.
-    one = texts.groupBy("doc_id", "blob").agg(F.first("text").alias("text"))
-    return one.select("blob", F.lit(rules).alias("rules"), find(F.col("text")).alias("spans"))
+        first = first.join(ledger.filter(F.col("rules") == rules).select("blob").distinct(), "blob", "left_anti")
+    once = paths.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+    wanted = F.col("known") & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    marked = paths.distinct().join(first.withColumn("known", F.lit(True)), "blob", "left").select("doc_id", "blob", F.coalesce(wanted, F.lit(False)).alias("wanted"))
+    marked = written(marked if once else marked.select("doc_id", "blob", "wanted"), spark)
+    few, many = marked.agg(F.count_if("wanted"), F.count_if(~F.col("wanted"))).first()
+    # A table of its own, so that its size is known.
+    chosen = written(marked.filter("wanted" if few < many else "not wanted").select("doc_id", *([] if once else ["blob"])), spark)
+    at = blobs(docs)
+    meets = at["doc_id"].eqNullSafe(chosen["doc_id"]) if not once else at["doc_id"] == chosen["doc_id"]
+    texts = at.join(chosen, meets if once else meets & (at["blob"] == chosen["blob"]), "left_semi" if few < many else "left_anti")
+    new = texts.select("blob", F.lit(rules).alias("rules"), find(F.col("text")).alias("spans"))
+    return paths, written(new if once else new.dropDuplicates(["blob"]), spark)
+
+
+def with_ledger(new: DataFrame, ledger: DataFrame | None, rules: str) -> DataFrame:
+    return new if ledger is None else new.unionByName(ledger.filter(F.col("rules") == rules).select("blob", "rules", "spans").dropDuplicates(["blob"]))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, blob, spans) for every path, and the new ledger rows (blob, rules, spans), written to the shared folder."""
-    new = written(scan_blobs(docs, ledger, rules), docs.sparkSession)
-    known = new if ledger is None else new.unionByName(ledger.filter(F.col("rules") == rules).select("blob", "rules", "spans").dropDuplicates(["blob"]))
-    paths = blobs(docs).select("doc_id", "blob")
-    return paths.join(known.select("blob", "spans"), "blob", "left"), new
+    """(doc_id, blob, spans) for every path, and the new ledger rows (blob, rules, spans); append those to the ledger."""
+    paths, new = scanned(docs, ledger, rules)
+    return paths.join(with_ledger(new, ledger, rules).select("blob", "spans"), "blob", "left"), new
 
 
 def redact_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The documents with every found secret replaced by `[SECRET]`; columns as they come, `n_chars` counted anew
     where a text changes. Findings come from the blob ledger, by content."""
-    new = written(scan_blobs(docs, ledger), docs.sparkSession)
-    known = new if ledger is None else new.unionByName(ledger.filter(F.col("rules") == RULES_VERSION).select("blob", "rules", "spans").dropDuplicates(["blob"]))
-    hits = known.filter(F.size("spans") > 0).select("blob", F.array_sort("spans").alias("found"))
+    known = with_ledger(scanned(docs, ledger)[1], ledger, RULES_VERSION)
+    hits = written(known.filter(F.size("spans") > 0).select("blob", F.array_sort("spans").alias("found")), docs.sparkSession)
     # A row's own columns lie in a struct, so that they never meet the names used here.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     text = F.col("row.text")
@@ -113,5 +126,5 @@ def digest(found: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against an empty ledger, so every distinct text is scanned once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    new = written(digest(scan_blobs(docs)), spark)
-    return blobs(docs).select("doc_id", "blob").join(new, "blob", "left").drop("blob")
+    paths, new = scanned(docs)
+    return paths.join(digest(new), "blob", "left").drop("blob")
