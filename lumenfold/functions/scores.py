@@ -88,11 +88,15 @@ def decay(confidence: Column, per_session: float = 0.95) -> Column:
     return F.greatest(F.lit(0.01), confidence * per_session)
 
 
+#: Words for a confidence (fixed values).
+CONFIDENCE_WORDS = {"critical": 0.95, "high": 0.85, "medium": 0.65, "low": 0.35, "info": 0.2}
+
+
 def safe_float(value: Column, default: float = 0.5) -> Column:
-    """Words and numbers as a confidence between 0 and 1."""
-    words = {"very high": 0.95, "high": 0.9, "medium": 0.6, "moderate": 0.6, "low": 0.3}
-    number = value.try_cast("double") if hasattr(value, "try_cast") else F.expr("null")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(lookup(F.lower(F.trim(value)), words, None).cast("double"), F.when(~F.isnan(number), number), F.lit(default))))
+    """Words and numbers as a confidence between 0 and 1, anything else the default; numbers that aren't finite are an error."""
+    number = value.try_cast("double")
+    finite = F.when(F.isnan(number) | (F.abs(number) == float("inf")), F.raise_error(F.lit("confidences must be finite"))).otherwise(number)
+    return F.coalesce(lookup(F.lower(F.trim(value)), CONFIDENCE_WORDS, None).cast("double"), F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), finite))), F.lit(default))
 
 
 def wilson(successes: Column, total: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

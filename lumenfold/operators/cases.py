@@ -83,21 +83,24 @@ def with_routes(df: DataFrame, routes: DataFrame) -> DataFrame:
     return out.select(*df.columns, F.coalesce("_span", "_only").alias("route"), sure.alias("route_confidence"))
 
 
+ORDER = ("category", "file", "at", "case_id")
+
+
 def sarif_results(df: DataFrame) -> DataFrame:
-    """One JSON result a case, in report order, with the index of its rule."""
-    order = Window.orderBy("category", "file", F.coalesce("line", F.lit(0)), "case_id")
+    """One JSON result a case with the index of its rule, and the columns ORDER that reports are sorted by. Rules are
+    categories, of which there are as many as the rule table names, so they are numbered in one task and sent."""
     level = S.lookup(F.col("priority"), {"critical": "error", "high": "error", "medium": "warning"}, "note")
     region = F.struct(F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).alias("startLine"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     kinds = df.select("category").distinct().withColumn("rule_index", F.row_number().over(Window.orderBy("category")) - 1)
-    rows = df.join(F.broadcast(kinds), "category")
+    rows = df.join(kinds, "category").withColumn("at", F.coalesce("line", F.lit(0)))
     body = F.to_json(F.struct(F.col("category").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(F.concat_ws(": ", "category", "file").alias("text")).alias("message"), F.array(place).alias("locations")))
-    return rows.select(F.row_number().over(order).alias("position"), body.alias("result"))
+    return rows.select(*ORDER, body.alias("result"))
 
 
 def sarif(df: DataFrame, tool: str = "lumenfold") -> str:
     """A whole report; for results that fit one file."""
-    results = [json.loads(r["result"]) for r in sarif_results(df).orderBy("position").toLocalIterator()]
+    results = [json.loads(r["result"]) for r in sarif_results(df).orderBy(*ORDER).toLocalIterator()]
     rules = [{"id": k} for k in sorted({r["ruleId"] for r in results})]
     return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]}, indent=2, sort_keys=True)
 

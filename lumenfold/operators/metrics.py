@@ -29,11 +29,15 @@ def intervals(df: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:
     return n.withColumns({"low": low, "high": high})
 
 
-def least_successes(totals: DataFrame, total: str, target: float) -> DataFrame:
-    """The least number of successes whose lower bound exceeds the target, for each number of trials; null if none."""
-    tried = totals.select(total).distinct().withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col(total).cast("long"))))
-    low, _ = wilson(F.col("s"), F.col(total))
-    return tried.groupBy(total).agg(F.min(F.when(low > target, F.col("s"))).alias("needed"))
+def least_successes(totals: DataFrame, total: str, target: float, z: float = 1.959963984540054) -> DataFrame:
+    """The least number of successes whose lower bound exceeds the target, for each number of trials; null if none.
+
+    The lower bound is the target where the share is target + z * sqrt(target * (1 - target) / trials); the numbers around
+    that one are tried, so rounding decides nothing."""
+    n = F.col(total).cast("long")
+    near = F.floor(n * target + z * F.sqrt(n * target * (1 - target)))
+    tried = F.filter(F.sequence(near - 1, near + 2), lambda s: (s >= 0) & (s <= n) & (wilson(s, n, z)[0] > target))
+    return totals.select(total).distinct().select(total, F.array_min(tried).alias("needed"))
 
 
 def stability(df: DataFrame, item: str, run: str) -> DataFrame:

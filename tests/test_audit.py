@@ -4,9 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.functions import predicates
 from lumenfold.operators import audit as A
 from lumenfold.operators.relational import where
-from lumenfold.plans import audit, catalog, readers
+from lumenfold.plans import audit, catalog, exports, readers
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [k for k, f in catalog.queries().items() if f.__module__ in (audit.__name__, readers.__name__)])
+@pytest.mark.parametrize("name", [k for k, f in catalog.queries().items() if f.__module__ in (audit.__name__, readers.__name__, exports.__name__)])
 def test_query_equals_its_sql(spark, duck, name):
     got, want = catalog.queries()[name](spark, SF), duck.execute(catalog.oracle_sql()[name])
     assert sorted(got.columns) == sorted(c[0] for c in want.description)
@@ -65,3 +66,10 @@ def test_reportability_needs_a_proof(spark):
 def test_where_keeps_columns(spark):
     df = spark.range(5).withColumn("flag", F.col("id") % 2 == 0)
     assert [r["id"] for r in where(df, F.col("flag")).orderBy("id").collect()] == [0, 2, 4] and where(df, F.col("flag")).columns == df.columns
+
+
+def test_predicates_outside_the_subset():
+    for text in ("f(x)", "a + b", "a is None", "a ==", "", None, "1", "a if b else c", "x[1:2] == 3", "f(x).y"):
+        assert predicates.rendered(text, True) is None and predicates.rendered(text, False) is None, text
+    assert predicates.rendered("not (a and (b or not c))", False) == "not a or (not b and c)".replace("(", "").replace(")", "")
+    assert predicates.rendered("a or (b or c)", True) == "not a and not b and not c" and predicates.rendered("x in s[0].t", True) == "x not in s[0].t"

@@ -233,3 +233,22 @@ def test_entry_works_without_the_corpus_operators(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "lumenfold.llm", None)
     assert set(__spark_entry__.queries()) == set(catalog.queries())
+
+
+def test_without_the_corpus_parts(tmp_path):
+    """A copy without the corpus folders and the pipeline imports and lists the other queries; a broken part isn't absent."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "lumenfold", tmp_path / "lumenfold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    n, ops, sql = run().stdout.split()
+    assert int(n) > 100 and ops == "False" and int(sql) > 100
+    (tmp_path / "lumenfold/llm").mkdir()
+    (tmp_path / "lumenfold/llm/__init__.py").write_text("")
+    (tmp_path / "lumenfold/llm/registry.py").write_text("import a_module_that_is_not_there")
+    assert "a_module_that_is_not_there" in run().stderr
