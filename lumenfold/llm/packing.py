@@ -41,7 +41,7 @@ BUCKETS = 2048
 REACH = 4.0  # projections of unit vectors, in standard deviations, that the curve's cube covers
 SEED = 7
 CACHE = 1_000_000  # words that a worker's cache may hold; it changes speed alone
-STRETCH, LEAST_STRETCH = 6_000_000, 1_000_000  # ids of a stretch of the curve; the least ones, where cores are idle
+STRETCH, LEAST_STRETCH = 4_000_000, 1_000_000  # ids of a stretch of the curve; the least ones, where cores are idle
 MANY = 100_000_000_000  # ids beyond which stretches grow as the square root of the corpus, as the driver samples their bounds
 #: ASCII marks behind a letter are encoded apart; the tokenizer cuts there, too.
 MARKS = string.punctuation.encode()
