@@ -6,8 +6,9 @@ pivot and their distance to it and sorted by that key; a shard is a run of SHARD
 part of a shard under one pivot. By the triangle inequality no row of an annulus [near, far] around pivot p scores more
 than (|q|^2 + M^2 - gap^2) / 2, gap being how far |q - p| lies outside [near, far].
 
-The neighbours of a query in the sorted order give a first bound on its k-th score. Queries then go, in blocks and only
-to shards that their bounds leave open; there annuli are taken in the order of their bounds until none can add anything.
+The neighbours of a query in the sorted order give a first bound on its k-th score. Queries then go, in blocks, to the WAVE
+shards that may hold the highest scores; what they find there raises the bound, and a second wave goes only to those of the
+other shards that it leaves open. In a shard annuli are taken in the order of their bounds until none can add anything.
 Scores are whole numbers, taken in doubles where a block's largest possible one is below 2**53 and in unbounded integers
 elsewhere, and bounds are rounded up, so results are exact for any pivots.
 
@@ -36,6 +37,7 @@ SAMPLE = 4096
 SHARD = 4096
 MAX_SHARDS = 50_000
 QUERY_BLOCK = 256
+WAVE = 3
 
 
 def whole_vectors(df: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -154,25 +156,45 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
         gap = np.maximum(np.maximum(near[None, :] - to, to - far[None, :]) - 1e-6 * (1 + to + top**0.5), 0)
         return np.floor(((q**2).sum(axis=1)[:, None] + top - gap**2) / 2 + 1e-6 * (top + 1))
 
-    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Query blocks for each shard that their bounds leave open."""
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row a query, with the places in `listed` of the shards that it goes to first."""
         for b in batches:
             for r in b.itertuples():
                 ids, rows, bounds = (np.frombuffer(x, dtype="<i8") for x in (r.ask_ids, r.ask_rows, r.bounds))
-                q, names = np.frombuffer(r.asks, dtype=kind).reshape(len(ids), size), ["to", "q_ids", "q_rows", "qs", "q_bounds"]
+                q = np.frombuffer(r.asks, dtype=kind).reshape(len(ids), size)
                 for at in range(0, len(ids), QUERY_BLOCK):
                     one = slice(at, at + QUERY_BLOCK)
-                    wide, out = q[one].astype(np.float64), []
-                    for name, cells, near, far in listed:
-                        open_ = ceilings(wide, cells, near, far).max(axis=1) >= bounds[one]
-                        if open_.any():
-                            out.append((name, *(x[one][open_].tobytes() for x in (ids, rows, q, bounds))))
+                    wide = q[one].astype(np.float64)
+                    tops = np.stack([ceilings(wide, *x[1:]).max(axis=1) for x in listed], axis=1)
+                    first = np.argsort(-tops, axis=1, kind="stable")[:, :WAVE]
+                    yield pd.DataFrame({"own": rows[one], "query_id": ids[one], "q": [v.tobytes() for v in q[one]], "bound": bounds[one], "first": first.astype("int32").tolist()})
+
+    def routed(wave: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Query blocks for each shard of the wave that their bounds leave open."""
+            names = ["to", "q_ids", "q_rows", "qs", "q_bounds"]
+            for b in batches:
+                for at in range(0, len(b), QUERY_BLOCK):
+                    part, out = b.iloc[at : at + QUERY_BLOCK], []
+                    ids, rows, bounds = (part[c].to_numpy(dtype="<i8") for c in ("query_id", "own", "bound"))
+                    q = np.frombuffer(b"".join(part["q"]), dtype=kind).reshape(len(part), size)
+                    first = np.zeros((len(part), len(listed)), dtype=bool)
+                    np.put_along_axis(first, np.array(part["first"].tolist()).reshape(len(part), -1), True, axis=1)
+                    wide = q.astype(np.float64)
+                    for n, (name, cells, near, far) in enumerate(listed):
+                        mine = np.flatnonzero(first[:, n] if wave == 1 else ~first[:, n])
+                        if len(mine):
+                            mine = mine[ceilings(wide[mine], cells, near, far).max(axis=1) >= bounds[mine]]
+                        if len(mine):
+                            out.append((name, *(x[mine].tobytes() for x in (ids, rows, q, bounds))))
                         if len(out) == 16:
                             yield pd.DataFrame(out, columns=names)
                             out = []
                     if out:
                         yield pd.DataFrame(out, columns=names)
 
+        return run
+
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
@@ -193,12 +215,21 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
                 out = [(int(own), int(i), d, n, -v) for own, i, got in zip(q_rows, q_ids, found, strict=True) for v, d, n in got]
                 yield pd.DataFrame(out, columns=["own", "query_id", "vec_id", "row", "score"]).astype("int64")
 
-    # One short list of queries and bounds per shard that stays open; a shard's rows join it by the shard's number.
-    asked = shards.select("ask_ids", "ask_rows", "asks", "bounds").mapInPandas(routed, "to long, q_ids binary, q_rows binary, qs binary, q_bounds binary")
-    met = asked.join(shards.select("shard", "ids", "rows", "vecs", "cells", "starts", "near", "far"), F.col("to") == F.col("shard")).drop("to", "shard")
-    local = met.mapInPandas(scored, "own long, query_id long, vec_id long, row long, score long")
-    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row")).cast("int")
-    return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row")).cast("int")
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def visited(asks: DataFrame, wave: int) -> DataFrame:
+        # One short list of queries and bounds per shard that stays open; a shard's rows join it by the shard's number.
+        asked = asks.mapInPandas(routed(wave), "to long, q_ids binary, q_rows binary, qs binary, q_bounds binary")
+        met = asked.join(shards.select("shard", "ids", "rows", "vecs", "cells", "starts", "near", "far"), F.col("to") == F.col("shard")).drop("to", "shard")
+        return met.mapInPandas(scored, "own long, query_id long, vec_id long, row long, score long")
+
+    asks = written(shards.select("ask_ids", "ask_rows", "asks", "bounds").mapInPandas(asking, "own long, query_id long, q binary, bound long, first array<int>"), spark)
+    near = written(best(visited(asks, 1)), spark)
+    raised = near.filter(F.col("rank") == k).select("own", F.col("score").alias("kth"))
+    asks = asks.join(raised, "own", "left").withColumn("bound", F.greatest("bound", F.coalesce("kth", "bound"))).drop("kth")
+    return best(near.drop("rank").unionByName(visited(asks, 2))).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
