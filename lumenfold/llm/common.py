@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`, as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
+MATCHES = 128  # matches of a text that are located in one go
 SPAN_TYPE = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
 
@@ -52,14 +53,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def regex_spans(text: Column, pattern: str, kind: str, order: int) -> Column:
     """All leftmost non-overlapping matches of `pattern` (one that never matches emptily), as SPAN_TYPE.
 
     Starts are code points: the pieces between the matches and the matches alternate, so a running sum of their
     lengths gives them. JVM regular expressions only.
     """
-    def spans(hits: Column) -> Column:
-        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
+    def located(pairs: Column) -> Column:
+        """(at, out) of pieces and matches in a row, counted from the first piece."""
         start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_TYPE).alias("out"))
 
         def step(acc: Column, x: Column) -> Column:
@@ -68,7 +74,22 @@ def regex_spans(text: Column, pattern: str, kind: str, order: int) -> Column:
             found = F.struct(first.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), last.alias("end"), x["h"].alias("value"))
             return F.struct(last.alias("at"), F.array_append(acc["out"], found).cast(SPAN_TYPE).alias("out"))
 
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return F.aggregate(pairs, start, step)
+
+    def shifted(block: Column, by: Column) -> Column:
+        moved = lambda s: F.struct((s["start"] + by).cast("int").alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), (s["end"] + by).cast("int").alias("end"), s["value"].alias("value"))
+        return F.transform(block["out"], moved)
+
+    def blocks(pairs: Column) -> Column:
+        """Appending copies what is there, so many matches are located in blocks of MATCHES, and these put one after the
+        other by their lengths."""
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / MATCHES).cast("int")), lambda i: located(F.slice(pairs, i * MATCHES + 1, F.lit(MATCHES))))
+        lengths = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, (F.element_at(acc, -1) + x["at"]).cast("int")))
+        return bound(parts, lambda p: bound(lengths(p), lambda n: F.flatten(F.zip_with(p, F.slice(n, F.lit(1), F.size(p)), shifted))))
+
+    def spans(hits: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
+        return bound(pairs, lambda p: F.when(F.size(p) <= MATCHES, located(p)["out"]).otherwise(blocks(p)))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # Most texts have no match at all; they stop at the first of the two scans.

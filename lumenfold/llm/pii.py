@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SPAN_TYPE, of_kind, regex_spans, span_list, written
+from lumenfold.llm.common import MATCHES, SPAN_TYPE, bound, of_kind, regex_spans, span_list, written
 
 KINDS = ("email", "ip", "card", "phone")
 # A match can only begin where a run of its first class begins, or where the last match ended (\G); saying so spares
@@ -38,6 +38,7 @@ LOOSE_MARKS = {"email": r"(?i)[\[({]?(?:at|@)[\])}]|\x20at\x20[a-z0-9-]++\x20dot
 ROUNDS = 3
 MIN_SEEDS = 5  # distinct seeds that a pattern needs
 MIN_SCORE = 0.8
+CHUNK = 4096  # characters of a chunk of a text
 CONTEXT = 48  # characters beside an instance that its patterns are made of; equal neighbours give equal patterns
 
 
@@ -78,10 +79,11 @@ def loose_spans(text: Column) -> Column:
     return F.concat(*[F.when(text.rlike(LOOSE_MARKS[k]), regex_spans(text, LOOSE[k], k, i)).otherwise(F.array().cast(SPAN_TYPE)) for i, k in enumerate(KINDS)])
 
 
-def contexts(text: Column, span: Column) -> Column:
+def contexts(chunks: Column, span: Column) -> Column:
     """The lexical patterns beside one span: two words before, one before, and one on either side."""
-    left = F.substring(text, F.greatest(span["start"] - (CONTEXT - 1), F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
+    first = F.greatest(span["start"] - CONTEXT, F.lit(0))
+    cut = lambda at, n: F.substring(F.get(chunks, F.floor(at / CHUNK).cast("int")), at % CHUNK + 1, n)
+    left, right = cut(first, span["start"] - first), cut(span["end"], F.lit(CONTEXT))
     plain = lambda c: F.regexp_replace(F.lower(c), r"[0-9]+", "0")
     one = plain(F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
     two = plain(F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$", 1))
@@ -89,6 +91,24 @@ def contexts(text: Column, span: Column) -> Column:
     return F.array(F.concat(F.lit("b\x1f"), two, F.lit("\x1f"), one), F.concat(F.lit("l\x1f"), one), F.concat(F.lit("c\x1f"), one, F.lit("\x1f"), after))
 
 
+def beside(text: Column, spans: Column) -> Column:
+    """Each span with its patterns. A substring is counted from a text's start, so that of a long text with many spans is
+    cut into chunks first, each of which holds CONTEXT characters of the next one."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int")), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK + CONTEXT)))
+    found = bound(chunks, lambda c: F.transform(spans, lambda s: F.struct(s.alias("span"), contexts(c, s).alias("patterns"))))
+    return F.when(F.size(spans) > 0, found).otherwise(F.array().cast(f"array<struct<span:{SPAN_TYPE[6:-1]},patterns:array<string>>>"))
+
+
+def apart(loose: Column, base: Column) -> Column:
+    """The loose spans that meet no base span. Base spans are looked through in blocks of MATCHES by their ends."""
+    ordered = F.array_sort(base)
+    meets = lambda c, b: (c["start"] < b["end"]) & (b["start"] < c["end"])
+    parts = lambda o: F.transform(F.sequence(F.lit(0), F.floor((F.size(o) - 1) / MATCHES).cast("int")), lambda i: F.slice(o, i * MATCHES + 1, F.lit(MATCHES)))
+    block = lambda p: F.struct(F.get(p, 0)["start"].alias("start"), F.array_max(F.transform(p, lambda b: b["end"])).alias("end"), p.alias("all"))
+    free = lambda blocks: F.filter(loose, lambda c: ~F.exists(blocks, lambda b: F.when(meets(c, b), F.exists(b["all"], lambda x: meets(c, x))).otherwise(F.lit(False))))
+    return F.when((F.size(loose) == 0) | (F.size(base) == 0), loose).otherwise(bound(bound(ordered, lambda o: F.transform(parts(o), block)), free))
+
+
 def scored(edges: DataFrame) -> DataFrame:
     """(kind, value, score) of candidates, from edges (pattern, kind, value, seed)."""
     spark = edges.sparkSession
@@ -119,10 +139,8 @@ def extracted(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     df = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumns({"base": base_spans(F.col("text")), "loose": loose_spans(F.col("text"))})
-    free = F.filter("loose", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    df = df.withColumn("loose", free)
-    beside = lambda arr: F.transform(arr, lambda s: F.struct(s.alias("span"), contexts(F.col("text"), s).alias("patterns")))
-    thin = written(df.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", beside(F.col("base")).alias("seeds"), beside(F.col("loose")).alias("cands")), spark)
+    df = df.withColumn("loose", apart(F.col("loose"), F.col("base")))
+    thin = written(df.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", beside(F.col("text"), F.col("base")).alias("seeds"), beside(F.col("text"), F.col("loose")).alias("cands")), spark)
     seeds = thin.select(F.explode("seeds").alias("x"), F.lit(True).alias("seed"))
     cands = thin.select(F.explode("cands").alias("x"), F.lit(False).alias("seed"))
     edges = seeds.union(cands).select(F.explode("x.patterns").alias("pattern"), F.col("x.span.kind").alias("kind"), F.lower("x.span.value").alias("value"), "seed")

@@ -91,6 +91,17 @@ def test_pii_base(docs, nothing):
         assert set(r["b"].split(",")) <= {*r["s"].split(","), ""}
 
 
+def test_spans_of_texts_full_of_matches(spark):
+    """Texts with more matches than are located in one go, and long texts with few."""
+    texts = [("é 10.0.0.1 " * n) + "z" * m for n, m in ((1, 300_000), (127, 0), (128, 5), (129, 0), (700, 9000))] + ["x " * 200_000 + "a@b.cd " + "y " * 5000 + 'token="abcdefgh12" ' * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.extracted(df).collect()}
+    for i, t in enumerate(texts):
+        assert [(s["kind"], s["start"], s["end"]) for s in sorted(got[i]["base"])] == [("ip" if i < 5 else "email", m.start(), m.end()) for m in re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|a@b\.cd", t)]
+    hits = secrets.scan(df)[0].filter("doc_id = 5").first()["spans"]
+    assert [(s["start"], s["end"]) for s in sorted(hits) if s["kind"] == "assign"] == [(m.start(), m.end()) for m in re.finditer(r'token="abcdefgh12', texts[5])]
+
+
 def test_pii_learns_contexts(spark):
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3))
