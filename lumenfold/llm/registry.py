@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import licenses, mixing, packing, passages, pii, quality, secrets, simhash, topk, toxicity
+from lumenfold.llm import lexical, licenses, media, mixing, packing, passages, pii, quality, secrets, simhash, topk, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": topk.query,
         "op9_licenses": licenses.query,
         "op10_passages": passages.query,
+        "op11_media": media.query,
+        "op12_lexical": lexical.query,
+        "op13_whitening": whitening.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle_sql(), "op4_quality_rules": quality.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL}
+    return {"op1_mixing": mixing.oracle_sql(), "op4_quality_rules": quality.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op12_lexical": lexical.ORACLE_SQL}
