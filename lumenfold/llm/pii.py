@@ -27,9 +27,10 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser shapes of the same kinds: spelled-out or defanged addresses, numbers that fail the base tests.
+#: Looser shapes of the same kinds: spelled-out or defanged addresses, numbers that fail the base tests. Groups without a
+#: bound are possessive: the JVM matches others by recursion, and a text with thousands of parts would exhaust its stack.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20(?i:at)\x20[A-Za-z0-9-]++(?:\x20(?i:dot)\x20[A-Za-z0-9-]++)+|\x20?[\[({]?(?:(?i)at|@)[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({]?(?:\.|(?i)dot)[\])}]?\x20?[A-Za-z0-9-]++)+)",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20(?i:at)\x20[A-Za-z0-9-]++(?:\x20(?i:dot)\x20[A-Za-z0-9-]++)++|\x20?[\[({]?(?:(?i)at|@)[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({]?(?:\.|(?i)dot)[\])}]?\x20?[A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9.])",
     "card": r"(?<![0-9+])[0-9](?:[\x20./-]?[0-9]){11,19}(?![0-9])",
     "phone": r"(?<![0-9+.])\(?[0-9]{2,4}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){2,5}(?![0-9.])",
