@@ -38,6 +38,7 @@ SHARD = 4096
 MAX_SHARDS = 50_000
 QUERY_BLOCK = 256
 WAVE = 3
+NO_BOUND = -(1 << 63)  # a query that has met fewer than k rows so far; no annulus is closed to it
 
 
 def whole_vectors(df: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -91,6 +92,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: int, k: in
     return [(int(scores[i]), int(ids[i]), int(rows[i])) for i in order]
 
 
+def opened(ceiling: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which queries may find something where `ceiling` is the highest possible score."""
+    return (bounds == NO_BOUND) | (ceiling >= bounds)
+
+
 def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for every row of (vec_id, vec) for which `is_query` holds."""
     spark = vectors.sparkSession
@@ -122,7 +128,7 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
                 rows_at = asks[at : at + QUERY_BLOCK]
                 for i, s in zip(rows_at, products(x[rows_at], x), strict=True):
                     got = _best(s, ids, rows, rows[i], k)
-                    bounds.append(got[-1][0] if len(got) == k else -(1 << 62))
+                    bounds.append(got[-1][0] if len(got) == k else NO_BOUND)
             cells = part["cell"].to_numpy()
             cuts = np.flatnonzero(np.diff(cells, prepend=cells[0] - 1))
             stops = np.append(cuts[1:], len(part))
@@ -184,7 +190,7 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
                     for n, (name, cells, near, far) in enumerate(listed):
                         mine = np.flatnonzero(first[:, n] if wave == 1 else ~first[:, n])
                         if len(mine):
-                            mine = mine[ceilings(wide[mine], cells, near, far).max(axis=1) >= bounds[mine]]
+                            mine = mine[opened(ceilings(wide[mine], cells, near, far).max(axis=1), bounds[mine])]
                         if len(mine):
                             out.append((name, *(x[mine].tobytes() for x in (ids, rows, q, bounds))))
                         if len(out) == 16:
@@ -204,7 +210,7 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
                 limits = ceilings(q.astype(np.float64), np.array(r.cells), np.array(r.near), np.array(r.far))
                 found: list[list[tuple[int, int, int]]] = [[] for _ in q_ids]
                 for a in np.argsort(-limits.max(axis=0), kind="stable"):  # expanding outwards
-                    asks = np.flatnonzero(limits[:, a] >= bounds)
+                    asks = np.flatnonzero(opened(limits[:, a], bounds))
                     if len(asks):
                         part = slice(starts[a], starts[a + 1])
                         for i, s in zip(asks, products(q[asks], x[part]), strict=True):

@@ -447,3 +447,28 @@ def test_toxicity_reads_whole_runs():
         assert "scoundrel" in restore(spelled(text)), text
     assert {"you", "are"} <= restore("y o u   a r e   s u c h") and "scoundrel" in restore("scoundr" + "e" * 90 + "l")
     assert restore("q" * 50_000) >= {"q" * 50_000} and not restore(spelled("such person")) & {"scoundrel"}
+
+
+def test_hostile_repeats_of_loose_shapes(spark):
+    """Texts with very many parts in a row, up to a million characters, of every loose shape and of what nearly is one."""
+    heads = {"email": ("a[at]b", "a at b", "a (at) b", "a@b"), "ip": ("1", "1[.]2"), "card": ("4", "4051"), "phone": ("(12)", "12 34")}
+    parts = {"email": ("[dot]c", " dot c", ".c", "(.)c", " [dot] c"), "ip": ("[.]1", "(dot)23"), "card": (" 1", "1", ".2"), "phone": ("-12", " 345", "..67")}
+    texts = [h + p * (n // len(p)) for k in heads for h in heads[k] for p in parts[k] for n in (18_000, 150_000)] + ["a[at]b" + "[dot]c" * 170_000, "a at b" + " dot c" * 170_000]
+    got = {r["doc_id"]: r["spans"] for r in pii.extracted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert len(got) == len(texts)
+    from pyspark.sql import functions as F
+
+    loose = spark.createDataFrame([(texts[-1],), (texts[-2],)], "text string").select(F.size(pii.loose_spans(F.col("text"))).alias("n"), F.get(pii.loose_spans(F.col("text")), 0)["end"].alias("end"), F.length("text").alias("size")).collect()
+    assert all(r["n"] == 1 and r["end"] == r["size"] for r in loose)
+
+
+def test_topk_keeps_scores_near_the_lowest_long(spark):
+    rows = [(50, [1.0276e7]), (1, [-1.0276e7]), (2, [-5.138e6]), (3, [-1.17e7]), (100, [-1.18e7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(topk.whole_vectors(df, "vec_id", "embedding"), topk.F.col("vec_id") % 50 == 0, 5).collect()]
+    whole = {i: int(np.floor(v[0] * 256)) for i, v in rows}
+    want = []
+    for q in (50, 100):
+        scored = sorted((-whole[q] * whole[i], i) for i in whole if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert sorted(got) == want and min(w[3] for w in want) < -(1 << 62)
