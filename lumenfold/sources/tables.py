@@ -12,8 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; its folder is the session's, and a temporary one only where none is set."""
+    """A reliable checkpoint in the session's folder. Where none is set, a temporary one of this machine serves a local
+    master; on a cluster each executor would write to its own disk, so that is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenfold-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="lumenfold-"))
     return df.checkpoint()
