@@ -91,30 +91,55 @@ def short_cycles(edges: DataFrame) -> DataFrame:
 
 
 def _lowest(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, low): the smallest node from which edges taken from `a` to `b` lead to the node, itself included."""
+    """(node, low): the smallest node from which edges taken from `a` to `b` lead to the node, itself included. Labels take
+    their neighbours' and jump along themselves: what leads to a node's label leads to the node."""
     label = cut_lineage(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("low", F.col("node")))
     while True:
         ahead = edges.join(label, edges[a] == label["node"]).groupBy(F.col(b).alias("_to")).agg(F.min("low").alias("_low"))
-        new = cut_lineage(label.join(ahead, label["node"] == ahead["_to"], "left").select("node", F.least("low", "_low").alias("low"), F.col("low").alias("was")))
+        new = label.join(ahead, label["node"] == ahead["_to"], "left").select("node", F.least("low", "_low").alias("near"), F.col("low").alias("was"))
+        up = label.select(F.col("node").alias("_n"), F.col("low").alias("_up"))
+        new = cut_lineage(new.join(up, new["near"] == up["_n"], "left").select("node", F.least("near", "_up").alias("low"), "was"))
         label = new.select("node", "low")
         if new.filter("low < was").isEmpty():
             return label
 
 
-def within_components(edges: DataFrame) -> DataFrame:
-    """The distinct edges (src, dst) inside strongly connected components, loops aside."""
-    live = cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct())
+def _trimmed(live: DataFrame) -> DataFrame:
+    """The edges left after nodes that nothing leads to, or that lead nowhere, are taken off again and again: they lie on
+    no cycle."""
     n = live.count()
     while n:
-        for a, b in (("src", "dst"), ("dst", "src")):
-            low = _lowest(live, a, b)
-            live = cut_lineage(live.join(low.toDF("src", "_x"), "src").join(low.toDF("dst", "_y"), "dst").filter("_x = _y").select("src", "dst"))
+        live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        live = cut_lineage(live.select("src", "dst"))
         was, n = n, live.count()
         if n == was:
             break
     return live
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes in strongly connected components of two nodes or more, named after the smallest.
+
+    A node whose smallest ancestor is its smallest descendant, too, is in that node's component. Each round settles the
+    components of such smallest nodes and goes on with the edges that stay among nodes with equal labels."""
+    live = _trimmed(cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct()))
+    found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).filter("false")
+    while not live.isEmpty():
+        both = cut_lineage(_lowest(live, "src", "dst").join(_lowest(live, "dst", "src").withColumnRenamed("low", "high"), "node"))
+        found = found.unionByName(both.filter("low = high").select("node", F.col("low").alias("component")))
+        rest = both.filter("low <> high").withColumn("k", F.struct("low", "high"))
+        s, t = rest.select(F.col("node").alias("src"), F.col("k").alias("_x")), rest.select(F.col("node").alias("dst"), F.col("k").alias("_y"))
+        live = _trimmed(cut_lineage(live.join(s, "src").join(t, "dst").filter("_x = _y").select("src", "dst")))
+    return found
+
+
+def within_components(edges: DataFrame) -> DataFrame:
+    """The distinct edges (src, dst) inside strongly connected components, loops aside."""
+    place = cut_lineage(strong_components(edges))
+    s, t = place.toDF("src", "_x"), place.toDF("dst", "_y")
+    return cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct().join(s, "src").join(t, "dst").filter("_x = _y").select("src", "dst"))
+
+
 def simple_cycles(edges: DataFrame) -> DataFrame:
     """Simple cycles of any length, each once, from its smallest node. Paths inside strongly connected components grow
     from their smallest node by an edge a round; the rounds end with the longest path, as many as a graph's paths are."""
@@ -132,3 +157,57 @@ def simple_cycles(edges: DataFrame) -> DataFrame:
 def contradictions(atoms: DataFrame, group: str, atom: str, positive: str) -> DataFrame:
     """Groups that state an atom with both signs: they can't be satisfied."""
     return atoms.groupBy(group, atom).agg(F.min(positive).alias("_lo"), F.max(positive).alias("_hi")).filter("_lo <> _hi").select(group, atom)
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components of all nodes, each named after its smallest node."""
+    every = nodes.select("node").union(edges.select("src")).union(edges.select("dst")).distinct()
+    return every.join(strong_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def bottom_up(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component, level, recursive): the order in which components can be worked on so that what a component points
+    to comes before it. Level 0 points to no other component; each further level to one that is a level lower at least, so
+    a level is the longest way down. A component is recursive if an edge stays inside it.
+
+    Each round takes the components off whose last open edge went to the level before; rounds are the height of the
+    condensed graph, and a round's join reads only edges into that level."""
+    place = cut_lineage(components(nodes, edges))
+    to, of = place.toDF("dst", "_to"), place.toDF("src", "_of")
+    condensed = edges.select("src", "dst").distinct().join(of, "src").join(to, "dst").select("_of", "_to", "src", "dst")
+    condensed = cut_lineage(condensed)
+    recursive = condensed.filter("_of = _to").select(F.col("_of").alias("component")).distinct().withColumn("recursive", F.lit(True))
+    down = cut_lineage(condensed.filter("_of <> _to").select("_of", "_to").distinct())
+    opened = cut_lineage(down.groupBy("_of").agg(F.count(F.lit(1)).alias("open")))
+    every = place.select("component").distinct()
+    front = cut_lineage(every.join(opened, F.col("component") == F.col("_of"), "left_anti").withColumn("level", F.lit(0)))
+    done, level = front, 0
+    while True:
+        level += 1
+        closed = down.join(front, F.col("_to") == F.col("component")).groupBy("_of").agg(F.count(F.lit(1)).alias("closed"))
+        opened = cut_lineage(opened.join(closed, "_of", "left").select("_of", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
+        front = cut_lineage(opened.filter("open = 0").select(F.col("_of").alias("component"), F.lit(level).alias("level")))
+        if front.isEmpty():
+            break
+        opened = opened.filter("open > 0")
+        done = done.unionByName(front)
+    return place.join(done, "component").join(recursive, "component", "left").select("node", "component", "level", F.coalesce("recursive", F.lit(False)).alias("recursive"))
+
+
+def dominators_fail(edges: DataFrame, entries: DataFrame, gates: DataFrame, targets: DataFrame) -> DataFrame:
+    """The pairs (unit, gate, target) for which a way leads from the unit's entry to the target past the gate: the gate does
+    not dominate it.
+
+    edges (unit, src, dst), entries (unit, node), gates (unit, gate, src, dst): the edge that a gate lets through, and
+    targets (unit, gate, target). For each gate, what the entry reaches without that edge spreads by an edge a round."""
+    cut = gates.select("unit", "gate", F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    asked = cut_lineage(targets.select("unit", "gate").distinct())
+    seen = cut_lineage(asked.join(entries, "unit").select("unit", "gate", "node").distinct())
+    front = seen
+    while not front.isEmpty():
+        ahead = front.join(edges.withColumnRenamed("src", "node"), ["unit", "node"])
+        barred = (ahead["unit"] == cut["unit"]) & (ahead["gate"] == cut["gate"]) & (ahead["node"] == cut["_s"]) & (ahead["dst"] == cut["_d"])
+        ahead = ahead.join(cut, barred, "left_anti").select("unit", "gate", F.col("dst").alias("node")).distinct()
+        front = cut_lineage(ahead.join(seen, ["unit", "gate", "node"], "left_anti"))
+        seen = cut_lineage(seen.unionByName(front))
+    return targets.join(seen.withColumnRenamed("node", "target"), ["unit", "gate", "target"], "left_semi").select("unit", "gate", "target").distinct()
