@@ -8,7 +8,7 @@ import pytest
 from lumenfold.operators import dataflow as D
 from lumenfold.operators import graphs as G
 from lumenfold.operators import summaries as Y
-from lumenfold.plans import catalog, flows as _flows  # noqa: F401  (adds its queries to the catalog)
+from lumenfold.plans import catalog, flows as _flows, likeness as _likeness  # noqa: F401  (they add their queries to the catalog)
 from tests.test_library import assert_matches_sql, duck  # noqa: F401
 
 
