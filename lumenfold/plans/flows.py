@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.functions import source_flow as C
 from lumenfold.operators import dataflow as D
 from lumenfold.operators import graphs as G
 from lumenfold.operators import summaries as Y
 from lumenfold.plans.catalog import query
-from lumenfold.sources.tables import table
+from lumenfold.sources.tables import cut_lineage, table
 
 #: Mostly downwards, with some edges back up, so that there are components of several functions.
 CALLS = """SELECT DISTINCT l_partkey AS caller, l_suppkey AS callee, {args} AS args, l_returnflag <> 'R' AS used FROM lineitem WHERE l_linenumber = 1 AND l_suppkey * 3 < l_partkey
@@ -134,3 +135,32 @@ def q_attached_flows(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("unit"), F.col("c_custkey").alias("line"))
     flows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("unit"), F.col("s_suppkey").alias("source_line"), (F.col("s_suppkey") * 15).alias("sink_line"), F.when(F.col("s_acctbal") < 0, 0.4).otherwise(0.85).alias("confidence"))
     return D.attached(c, flows)
+
+
+CODE = """SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) * 2 + 1 AS line, l_returnflag = 'R' AS maybe, 'v' || l_suppkey % 3 AS d, 'v' || l_partkey % 3 AS u1, 'v' || l_partkey % 2 AS u2
+  FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)"""
+
+
+def sources(spark, d):
+    """A Python file with one function for each order: its lines assign one name from two others, some of them under a
+    condition."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("supplier"), F.max("l_partkey").alias("part"))
+    name = lambda c, n: F.concat(F.lit("v"), (F.col(c) % n).cast("string"))
+    made = F.concat(name("supplier", 3), F.lit(" = g("), name("part", 3), F.lit(", "), name("part", 2), F.lit(")"))
+    text = F.when(F.col("flag") == "R", F.concat(F.lit("    if True:\n        "), made)).otherwise(F.concat(F.lit("    pass\n    "), made))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("text")))), lambda x: x["text"])  # the lines of one order
+    key = F.col("l_orderkey").cast("string")
+    return lines.groupBy("l_orderkey").agg(rows.alias("rows")).select(F.concat(F.lit("f"), key, F.lit(".py")).alias("path"), F.concat(F.lit("def f"), key, F.lit("(v0, v1):\n"), F.array_join("rows", "\n"), F.lit("\n")).alias("source"))
+
+
+@query(f"""WITH c AS ({CODE}), d AS (SELECT o, line, maybe, d AS name FROM c UNION ALL SELECT DISTINCT o, 1, false, unnest(['v0', 'v1']) FROM c), u AS (SELECT o, line, u1 AS name FROM c UNION SELECT o, line, u2 FROM c)
+SELECT 'f' || u.o || '.py::f' || u.o AS unit, u.name, d.line AS def_line, u.line AS use_line FROM u JOIN d ON d.o = u.o AND d.name = u.name AND d.line < u.line
+WHERE NOT EXISTS (SELECT 1 FROM d k WHERE k.o = u.o AND k.name = u.name AND NOT k.maybe AND k.line > d.line AND k.line < u.line)""")
+def q_code_def_use(spark, d):
+    """Definitions and uses by the lines of source text, conditions included."""
+    flow = cut_lineage(C.code_flow(sources(spark, d)))  # parsed once
+    s = C.statements(flow)
+    found = D.def_use(s, C.edges(flow))
+    at = s.select("unit", "node", "line")
+    found = found.filter("name <> 'g'").join(at.toDF("unit", "definition", "def_line"), ["unit", "definition"]).join(at.toDF("unit", "use", "use_line"), ["unit", "use"])
+    return found.select("unit", "name", F.col("def_line").cast("long").alias("def_line"), F.col("use_line").cast("long").alias("use_line"))
