@@ -1,14 +1,17 @@
 """Substring dedup by sliding spans: runs of several consecutive sentences are hashed and joined over the whole corpus, and
 what is under any repeated run but its first is removed.
 
-A passage may begin and end inside sentences, so sentences are cut into clauses where their words say so: of each REACH
+Two kinds of runs are hashed. From each sentence on, the next whole ones until there are SENTENCES of them and
+SENTENCE_WORDS words; a sentence ends at a word that ends in one of `.!?`. Longer repeats are covered by these runs.
+
+A passage may also begin and end inside sentences, so sentences are cut into clauses where their words say so: of each REACH
 words in a row, the one with the smallest hash begins a clause, and so does a word after one of `.!?,;:`, which has the
 smallest hash of all. Where a clause begins depends on the words around it only, so texts that share a passage have the same clauses
-inside it, wherever it stands. A run starts at each clause and takes on consecutive clauses until it has MIN_WORDS words.
+inside it, wherever it stands. A second kind of run starts at each clause and takes on consecutive clauses until it has MIN_WORDS words.
 Every shared stretch of MIN_WORDS + 4 * REACH - 3 words (50) holds a common run, by the count: the first common clause
 begins within 2 * REACH - 2 words, its run ends within MIN_WORDS + REACH - 1 more, and the last REACH words may differ.
-So whatever 50 consecutive words say twice is found, and loses what whole clauses of it hold, 33 words or more; stretches
-of fewer than 33 words never lose anything.
+So whatever 50 consecutive words say twice is found, and loses what whole clauses of it hold, 33 words or more; shorter stretches
+lose whole sentences alone.
 
 Words are compared as they stand between ASCII white space, A-Z in lower case; hashes of runs have 128 bits. The first place
 of a run is the one with the smallest (doc_id, hash of the text, start). Most runs are unique; they are counted by 64-bit
@@ -37,6 +40,8 @@ MIN_WORDS = 33
 FILTER_BITS = 1 << 29
 BLOCK_BITS = 1 << 20  # the filter is built in blocks of so many bits at most
 MIX = np.uint64(0x9E3779B97F4A7C15)
+SENTENCES, SENTENCE_WORDS = 3, 20  # consecutive whole sentences of a run, and the words that it has at least
+STOPS = np.frombuffer(b".!?", dtype=np.uint8)
 ENDS = np.frombuffer(b".!?,;:", dtype=np.uint8)
 SPANS = "doc_id string, body long, start int, end int, run binary"
 
@@ -73,25 +78,31 @@ def _inverses(n: int) -> np.ndarray:
 
 def runs(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """The text's words with blanks between, where each word starts and ends in it, and the first word of each run and
-    the one behind its last; None for a text of fewer than MIN_WORDS words."""
+    the one behind its last, runs of sentences before runs of clauses; None for a text without runs."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII alone is lowered and split at
-    if len(found) < MIN_WORDS:
+    if not found:
         return None
     joined = b" ".join(found)
     letters = np.frombuffer(joined, dtype=np.uint8)
     blanks = np.flatnonzero(letters == 32)
     starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(joined)]])
-    order = _word_hashes(letters, starts, ends)
-    order[1:][np.isin(letters[ends[:-1] - 1], ENDS)] = 0
-    least = np.lib.stride_tricks.sliding_window_view(order, REACH).argmin(axis=1)
-    begins = np.zeros(len(order) + 1, dtype=bool)
-    begins[least + np.arange(len(least))] = True
-    begins[:-1][order == 0] = True
-    begins[[0, -1]] = True  # the last one is the end of the text
-    cuts = np.flatnonzero(begins)
-    to = np.searchsorted(cuts, cuts + MIN_WORDS)
-    whole = to < len(cuts)
-    return joined, starts, ends, cuts[whole], cuts[to[whole]]
+    last = letters[ends - 1]
+    stops = np.concatenate([[0], np.flatnonzero(np.isin(last, STOPS)) + 1])  # where sentences begin; the last one ends in a stop
+    to = np.maximum(np.arange(len(stops)) + SENTENCES, np.searchsorted(stops, stops + SENTENCE_WORDS))
+    first, behind = stops[to < len(stops)], stops[to[to < len(stops)]]
+    if len(found) >= MIN_WORDS:
+        order = _word_hashes(letters, starts, ends)
+        order[1:][np.isin(last[:-1], ENDS)] = 0
+        least = np.lib.stride_tricks.sliding_window_view(order, REACH).argmin(axis=1)
+        begins = np.zeros(len(order) + 1, dtype=bool)
+        begins[least + np.arange(len(least))] = True
+        begins[:-1][order == 0] = True
+        begins[[0, -1]] = True  # the last one is the end of the text
+        cuts = np.flatnonzero(begins)
+        to = np.searchsorted(cuts, cuts + MIN_WORDS)
+        whole = to < len(cuts)
+        first, behind = np.concatenate([first, cuts[whole]]), np.concatenate([behind, cuts[to[whole]]])
+    return (joined, starts, ends, first, behind) if len(first) else None
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -251,8 +251,9 @@ def test_passages(docs, nothing):
 
 
 def test_passages_against_all_windows(spark):
-    """Whatever 50 words in a row say twice loses 33 words or more, but for its first place; and each word that goes stands
-    in 33 words in a row that another place has, too."""
+    """Whatever 50 words in a row say twice loses 33 words or more, but for its first place, and so does each repeated run of
+    whole sentences in full; and each word that goes stands in 33 words in a row, or in a run of whole sentences, that
+    another place has, too."""
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) + rnd.choice(["", "", "", "", ",", ". "])
     text = lambda n: [word() for _ in range(n)]
@@ -261,6 +262,10 @@ def test_passages_against_all_windows(spark):
         source, n = texts[i - 20], rnd.randint(50, 60)
         a, b = rnd.randrange(len(source) - n + 1), rnd.randrange(len(texts[i]))
         texts[i][b:b] = source[a : a + n]
+    three = ["Now", "then", "it", "rained.", *["all", "day"] * 6, "long.", "Nobody", "went", "out", "today."]
+    for i in (3, 30, 31):
+        texts[i] = [w.strip(". ") for w in texts[i]]
+        texts[i][40:40] = ["end.", *three]
     for i in range(10):  # 32 words in a row are no passage
         texts[i + 20] += texts[i][:32]
     texts += [["a", "B"] * 100, text(49) * 2, [w.strip(". ") for w in text(60)]]
@@ -280,9 +285,25 @@ def test_passages_against_all_windows(spark):
             j, f = seen.setdefault(tuple(lower[i][k : k + 50]), (i, k))
             if j != i or k >= f + 50:
                 assert sum(gone[i][k : k + 50]) >= 33, (i, k)
+    # Every run of whole sentences, by trying all ends.
+    runs, under = {}, {i: [False] * len(t) for i, t in lower.items()}
+    for i in sorted(lower, key=lambda i: -1 if ids[i] is None else ids[i]):
+        stops = [0] + [k + 1 for k, w in enumerate(lower[i]) if w[-1] in ".!?"]
+        for a in range(len(stops)):
+            for b in range(a + passages.SENTENCES, len(stops)):
+                if stops[b] - stops[a] >= passages.SENTENCE_WORDS:
+                    runs.setdefault(tuple(lower[i][stops[a] : stops[b]]), []).append((i, stops[a], stops[b]))
+                    break
+    for at in runs.values():
+        for i, a, b in at if len(at) > 1 else []:
+            under[i][a:b] = [True] * (b - a)
+        for i, a, b in at[1:]:
+            if i != at[0][0]:
+                assert all(gone[i][a:b]), (i, a)
+    assert [sum(under[i]) >= 21 for i in (3, 30, 31)] == [True] * 3 and not any(gone[3][41:62]) and all(gone[30][41:62]) and all(gone[31][41:62])
     for i, flags in gone.items():
         for k in [k for k, x in enumerate(flags) if x]:
-            assert any(short[tuple(lower[i][j : j + 33])] > 1 for j in range(max(0, k - 32), k + 1)), (i, k)
+            assert under[i][k] or any(short[tuple(lower[i][j : j + 33])] > 1 for j in range(max(0, k - 32), k + 1)), (i, k)
     assert None not in got and sum(gone[40]) >= 150 and not any(gone[40][:33])
 
 
