@@ -5,8 +5,10 @@ name the license. Blocks of a template are all runs of 1.25 times its length in
 texts. Words are put in one global order, rarest in the corpus first, counted over all documents; a block that reaches the
 threshold must hold a word of the template's prefix in that order (prefix filter), so only stretches around such words
 are looked at; a stretch must hold enough of the template's words (length filter), and the words still to come after the
-first shared one must suffice (positional filter). What passes is verified by a sliding count, so the join is exact. Of
-each label the best block of a text is returned: where its first and last shared words stand, and its containment.
+first shared one must suffice (positional filter). What passes is verified by a sliding count, so the join is exact. Blocks
+that overlap are one find, the one with the most words; a text has as many finds of a label as it holds notices: where their first and
+last shared words stand, and their containment. A find yields to one of another label that shares more words and covers
+it, so that a license whose notice is part of another's isn't named for that one.
 
 The template side is a fixed list in this module, so its index is small at any corpus size; word frequencies are
 gathered for its words alone.
@@ -17,6 +19,7 @@ row. Extra columns are ignored. doc_ids cross Python as text, as a batch with a
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil
@@ -64,6 +67,12 @@ TEMPLATES = (
     ("cc-by", "creative attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "creative sharealike", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
     ("cc-by-nc", "creative noncommercial", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    ("cc-by-nd", "creative noderivatives", "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "creative noncommercial sharealike", "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "creative noncommercial noderivatives", "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License"),
+    ("cc-by-nd", "cc by nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "cc by nc sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "cc by nc nd", "Licensed under CC BY-NC-ND 4.0"),
     ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0"),
     ("cc0", "waived", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
@@ -114,11 +123,10 @@ class Index:
                 self.prefixes.setdefault(w, []).append(k)
         self.prefix_words = frozenset(self.prefixes)
 
-    def matches(self, words: list[bytes]) -> dict[str, tuple[float, int, int]]:
-        """Of each label the highest containment of its templates in a block of `words`, where it reaches the threshold,
-        and the block's first and last shared words; ties go to the first block."""
+    def matches(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
+        """(label, containment, first shared word, last shared word) of the finds in `words`, in order."""
         own = set(words)
-        found: dict[str, tuple[float, int, int]] = {}
+        found: list[tuple[int, int, int, str, float]] = []
         for k in sorted({k for w in own & self.prefix_words for k in self.prefixes[w]}):
             label, order, whole, names, least, length = self.sets[k]
             if not names <= own or len(own) < least:
@@ -130,10 +138,29 @@ class Index:
             inside = [(i, w) for i, w in enumerate(words) if w in whole]
             for part in _stretches(inside, start, length):
                 if len(part) >= least:
-                    got = _best_block(part, names, length)
-                    if got and got[0] >= least and (got[0] / len(order), -got[1]) > (found.get(label, (0.0, 0, 0))[0], -found.get(label, (0.0, 0, 0))[1]):
-                        found[label] = (got[0] / len(order), got[1], got[2])
-        return found
+                    found += [(n, a, b, label, n / len(order)) for n, a, b in _blocks(part, names, least, length)]
+        return strongest(found)
+
+
+def strongest(found: list[tuple[int, int, int, str, float]]) -> list[tuple[str, float, int, int]]:
+    """Of finds (shared words, first, last, label, containment) those that stay. They are taken in order; a find is compared
+    with those that are still open where it begins."""
+    kept: list[tuple[int, int, int, str, float]] = []
+    for label in sorted({f[3] for f in found}):
+        # Of finds that overlap the one with the most words stays, then the one with the higher containment, then the first.
+        mine: list[tuple[int, int, int, str, float]] = []
+        for f in sorted((f for f in found if f[3] == label), key=lambda f: (-f[0], -f[4], f[1], f[2])):
+            at = bisect_left(mine, f[1], key=lambda g: g[1])
+            if not (at and mine[at - 1][2] >= f[1]) and not (at < len(mine) and mine[at][1] <= f[2]):
+                mine.insert(at, f)
+        kept += mine
+    out, open_ = [], []
+    for f in sorted(kept, key=lambda f: (f[1], -f[2], -f[0], f[3])):
+        open_ = [g for g in open_ if g[2] >= f[1]]
+        if not any(g[3] != f[3] and g[0] > f[0] and g[1] <= f[1] and f[2] <= g[2] for g in open_):
+            open_.append(f)
+            out.append((f[3], f[4], f[1], f[2]))
+    return out
 
 
 def _stretches(inside: list[tuple[int, bytes]], start: frozenset[bytes], length: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -153,10 +180,12 @@ def _stretches(inside: list[tuple[int, bytes]], start: frozenset[bytes], length:
         yield held
 
 
-def _best_block(part: list[tuple[int, bytes]], names: frozenset[bytes], length: int) -> tuple[int, int, int] | None:
-    """The most distinct words in a block that holds all `names`, and the places of its first and last word."""
+def _blocks(part: list[tuple[int, bytes]], names: frozenset[bytes], least: int, length: int) -> list[tuple[int, int, int]]:
+    """(distinct words, first place, last place) of the blocks of a stretch that hold `least` words and all `names`, each cut
+    to the words that count."""
     held: Counter[bytes] = Counter()
-    best, low = None, 0
+    found: list[tuple[int, int, int]] = []
+    low = 0
     for k, (i, w) in enumerate(part):
         held[w] += 1
         while part[low][0] <= i - length:
@@ -165,9 +194,17 @@ def _best_block(part: list[tuple[int, bytes]], names: frozenset[bytes], length:
             if not held[old]:
                 del held[old]
             low += 1
-        if (best is None or len(held) > best[0]) and names <= held.keys():
-            best = (len(held), part[low][0], part[k][0])
-    return best
+        if len(held) >= least and names <= held.keys():
+            # Words before the first one that counts once more don't belong to the block.
+            while held[part[low][1]] > 1:
+                held[part[low][1]] -= 1
+                low += 1
+            one = (len(held), part[low][0], i)
+            if found and found[-1][1] == one[1] and found[-1][0] < one[0]:
+                found[-1] = one  # the same block, further on
+            elif not found or found[-1][0] != one[0] or found[-1][1] != one[1]:
+                found.append(one)
+    return found
 
 
 def _places(words: list[bytes]) -> tuple[list[int], list[str]]:
@@ -196,9 +233,9 @@ def scanned(docs: DataFrame) -> DataFrame:
                 words = tokens(t)
                 at, base = _places(words)
                 more = index.matches(words)
-                score = 1.0 if at else max((x[0] for x in more.values()), default=0.0)
-                blocks = ",".join(f"{k}:{x[1]}:{x[2]}:{x[0]:.3f}" for k, x in sorted(more.items()))
-                out.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted({*base, *more})), score, blocks))
+                score = 1.0 if at else max((x[1] for x in more), default=0.0)
+                blocks = ",".join(f"{x[0]}:{x[2]}:{x[3]}:{x[1]:.3f}" for x in sorted(more))
+                out.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted({*base, *(x[0] for x in more)})), score, blocks))
             frame = pd.DataFrame(out, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])
             frame = frame.astype({"n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64", "score": "float64"})
             frame.insert(0, "doc_id", b["doc_id"].to_numpy())

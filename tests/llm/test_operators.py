@@ -331,14 +331,29 @@ def test_licenses(docs, nothing):
 
 def test_license_names():
     index = licenses.Index({})
-    labels = lambda t: set(index.matches(licenses.tokens(t)))
+    labels = lambda t: {x[0] for x in index.matches(licenses.tokens(t))}
     assert labels("Licensed under CC BY 4.0") == set() and labels("Released under the Apache License") == set()
     assert labels("released under the license of its owner") == set() and labels("licensed under the terms of the GNU license") == set()
     assert labels("Released under the MIT License.") == {"mit"} and labels("Licensed under CC BY-NC 4.0") == {"cc-by-nc"}
     assert labels("a b c Licensed under the Apache License, Version 2.0 d e") == {"apache-2.0"}
     for label, _, text in licenses.TEMPLATES:
         got = index.matches(licenses.tokens("word " * 30 + text + " other" * 30))
-        assert got[label][0] == 1.0 and got[label][1] >= 30 and got[label][2] <= 29 + len(licenses.tokens(text)), label
+        assert [(x[1], x[2] >= 30, x[3] <= 29 + len(licenses.tokens(text))) for x in got if x[0] == label] == [(1.0, True, True)], label
+
+
+def test_every_license_block_and_the_strongest_label():
+    index = licenses.Index({})
+    mit = "Released under the MIT License. "
+    got = index.matches(licenses.tokens("a b c " + mit + "some words between the two of them here " * 3 + mit + mit))
+    assert [x[0] for x in got] == ["mit"] * 3 and [x[2] for x in got] == sorted(x[2] for x in got)
+    deeds = {"": "cc-by", "-NonCommercial": "cc-by-nc", "-ShareAlike": "cc-by-sa", "-NoDerivatives": "cc-by-nd", "-NonCommercial-ShareAlike": "cc-by-nc-sa", "-NonCommercial-NoDerivatives": "cc-by-nc-nd"}
+    for parts, label in deeds.items():
+        text = f"Text. This work is licensed under a Creative Commons Attribution{parts} 4.0 International License. More text."
+        assert [x[0] for x in index.matches(licenses.tokens(text))] == [label]
+    for short in ("NC", "SA", "ND", "NC-SA", "NC-ND"):
+        assert [x[0] for x in index.matches(licenses.tokens(f"Licensed under CC BY-{short} 4.0"))] == [f"cc-by-{short.lower()}"]
+    both = "This work is licensed under a Creative Commons Attribution 4.0 International License. " + "and so on " * 30 + mit
+    assert [x[0] for x in index.matches(licenses.tokens(both))] == ["cc-by", "mit"]
 
 
 def test_license_join_is_exact():
@@ -348,13 +363,23 @@ def test_license_join_is_exact():
         label, names, text = rnd.choice(licenses.TEMPLATES)
         block = [w for w in licenses.tokens(text) if rnd.random() < 0.85 or w in licenses.tokens(names)]
         doc = [rnd.choice(words) for _ in range(20)] + block + [rnd.choice(words) for _ in range(20)]
-        want = {}
+        found = index.matches(doc)
+        blocks = []
         for name, order, whole, called, least, length in index.sets:
-            blocks = [whole.intersection(doc[i : i + length]) for i in range(max(1, len(doc) - length + 1))]
-            best = max((len(x) for x in blocks if called <= x), default=0)
-            if best >= least:
-                want[name] = max(want.get(name, 0), best / len(order))
-        assert {k: x[0] for k, x in index.matches(doc).items()} == want
+            for i in range(max(1, len(doc) - length + 1)):
+                held = [k for k in range(i, min(i + length, len(doc))) if doc[k] in whole]
+                shared = {doc[k] for k in held}
+                if len(shared) >= least and called <= shared:
+                    blocks.append((name, len(shared) / len(order), held[0], held[-1], len(shared)))
+        for name, share, a, z in found:
+            assert any(b[0] == name and abs(b[1] - share) < 1e-12 and b[2] <= a and z <= b[3] for b in blocks)
+        for name, share, a, z, n in blocks:
+            # Each block is a find or meets one of its label, or stands under words that say more.
+            near = any(f[0] == name and f[2] <= z and a <= f[3] for f in found)
+            assert near or any(b[0] != name and b[4] > n and b[2] <= z and a <= b[3] for b in blocks), (name, a, z)
+        for name in {b[0] for b in blocks}:
+            n, share = max((b[4], b[1]) for b in blocks if b[0] == name)
+            assert any(f[0] == name and abs(f[1] - share) < 1e-12 for f in found) or any(b[0] != name and b[4] > n for b in blocks)
 
 
 def test_licenses_of_whole_texts(spark):
