@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.source_code import DANGEROUS_CALLS, dotted
 
-SCHEMA = "path string, function string, node int, kind string, line int, defs array<string>, uses array<string>, next array<int>, calls array<struct<name: string, args: array<int>, used: boolean>>, params array<string>"
+SCHEMA = "path string, function string, node int, kind string, line int, defs array<string>, uses array<string>, next array<int>, calls array<struct<name: string, args: array<int>, used: boolean, named: map<string, string>>>, params array<string>, marks array<string>"
 # Calls that bring in what others control, and parts of the names of functions that clean it.
 SOURCE_CALLS = ("input", "os.getenv", "request.args.get", "request.form.get", "request.get_json", "recv", "urlopen")
 CLEANING = ("sanitize", "escape", "redact", "mask_secret")
@@ -53,6 +53,7 @@ class Flow:
         self.loops: list[tuple[int, set[int]]] = []
         self.add("entry", function.lineno, set(), [])
         self.rows[0]["defs"] = sorted(self.params)
+        self.marks = [name for d in function.decorator_list if (name := dotted(d.func if isinstance(d, ast.Call) else d))]
         self.block(function.body, {0})
 
     def add(self, kind: str, line: int, before: set[int], parts: list[ast.AST], statement: ast.AST | None = None) -> int:
@@ -62,7 +63,7 @@ class Flow:
         place = {p: k for k, p in enumerate(self.params)}
         handed = lambda c: [place.get(x.id) if isinstance(x, ast.Name) else None for x in c.args]
         bare = statement.value if isinstance(statement, ast.Expr) else None
-        self.rows.append({"node": n, "kind": kind, "line": line, "defs": defs, "uses": uses, "calls": [{"name": dotted(c.func), "args": handed(c), "used": c is not bare} for c in calls]})
+        self.rows.append({"node": n, "kind": kind, "line": line, "defs": defs, "uses": uses, "calls": [{"name": dotted(c.func), "args": handed(c), "used": c is not bare, "named": {k.arg: dotted(k.value) for k in c.keywords if k.arg}} for c in calls]})
         self.edges |= {(b, n) for b in before}
         return n
 
@@ -148,13 +149,13 @@ def code_flow(files: DataFrame) -> DataFrame:
                 ahead: dict[int, list[int]] = {}
                 for a, b in sorted(flow.edges):
                     ahead.setdefault(a, []).append(b)
-                found += [{"path": path, "function": name, **r, "next": ahead.get(r["node"], []), "params": flow.params if r["node"] == 0 else None} for r in flow.rows]
+                found += [{"path": path, "function": name, **r, "next": ahead.get(r["node"], []), "params": flow.params if r["node"] == 0 else None, "marks": flow.marks if r["node"] == 0 else None} for r in flow.rows]
             return found
         except (SyntaxError, ValueError, RecursionError) as e:
-            return [{"path": path, "function": "", "node": 0, "kind": "error", "line": getattr(e, "lineno", None) or 0, "defs": [type(e).__name__], "uses": [], "calls": [], "next": [], "params": None}]
+            return [{"path": path, "function": "", "node": 0, "kind": "error", "line": getattr(e, "lineno", None) or 0, "defs": [type(e).__name__], "uses": [], "calls": [], "next": [], "params": None, "marks": None}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in ("path", "function", "node", "kind", "line", "defs", "uses", "next", "calls", "params")]
+        columns = [c.split(" ")[0] for c in ("path", "function", "node", "kind", "line", "defs", "uses", "next", "calls", "params", "marks")]
         for b in batches:
             for path, source in zip(b["path"], b["source"], strict=True):
                 if found := rows(path, source):

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.functions import guarantees as H
 from lumenfold.functions import source_flow as C
+from lumenfold.functions import texts as X
 from lumenfold.operators import dataflow as D
 from lumenfold.operators import graphs as G
 from lumenfold.operators import summaries as Y
@@ -164,3 +166,52 @@ def q_code_def_use(spark, d):
     at = s.select("unit", "node", "line")
     found = found.filter("name <> 'g'").join(at.toDF("unit", "definition", "def_line"), ["unit", "definition"]).join(at.toDF("unit", "use", "use_line"), ["unit", "use"])
     return found.select("unit", "name", F.col("def_line").cast("long").alias("def_line"), F.col("use_line").cast("long").alias("use_line"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber, max(l_returnflag) AS flag, max(l_linestatus) AS s FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY l_linenumber) + 2 AS line FROM l)
+SELECT 'o' || o || '.py' AS path, 'f' || o AS function, says, confidence::DOUBLE AS confidence, line, variables, used FROM (
+  SELECT o, 'filename.basename_only == true' AS says, 0.82 AS confidence, min(line) AS line, ['v1'] AS variables, true AS used FROM n WHERE flag = 'R' GROUP BY o
+  UNION ALL SELECT o, 'identifier.server_generated == true', 0.9, min(line), ['filename'], true FROM n WHERE flag = 'A' GROUP BY o
+  UNION ALL SELECT o, 'filename.server_generated == true', 0.84, min(line), ['filename'], true FROM n WHERE flag = 'A' GROUP BY o
+  UNION ALL SELECT o, 'filename.user_controlled == false', 0.8, min(line), ['filename'], true FROM n WHERE flag = 'A' GROUP BY o
+  UNION ALL SELECT o, 'route.requires_login == true', 0.95, 2, []::VARCHAR[], NULL FROM n GROUP BY o HAVING max(s) = 'O')""")
+def q_code_guarantees(spark, d):
+    """What the functions of source text guarantee, one file for each order."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
+    text = F.when(F.col("flag") == "R", "    v1 = os.path.basename(v0)").when(F.col("flag") == "A", "    filename = uuid4()").otherwise("    v2 = g(v0)")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("text")))), lambda x: x["text"])  # the lines of one order
+    files = lines.groupBy("l_orderkey").agg(rows.alias("rows"), F.max("status").alias("status"))
+    key = F.col("l_orderkey").cast("string")
+    source = F.concat(F.when(F.col("status") == "O", "@auth.login_required\ndef f").otherwise("\ndef f"), key, F.lit("(v0):\n"), F.array_join("rows", "\n"), F.lit("\n"))
+    flow = cut_lineage(C.code_flow(files.select(F.concat(F.lit("o"), key, F.lit(".py")).alias("path"), source.alias("source"))))
+    return H.guarantees(flow)
+
+
+ROUND = "SELECT DISTINCT s_suppkey AS src, (s_suppkey * s_suppkey + 1) % (SELECT max(s_suppkey) + 1 FROM supplier) AS dst FROM supplier"
+
+
+@query(f"""WITH RECURSIVE e AS ({ROUND}), p AS (SELECT src AS start, dst AS node, [src] AS path FROM e UNION ALL SELECT start, dst, list_append(path, node) FROM p JOIN e ON src = node WHERE node > start AND NOT list_contains(path, node))
+SELECT array_to_string(path, ',') AS cycle FROM p WHERE node = start""")
+def q_simple_cycles(spark, d):
+    """Cycles of any length over an edge of every supplier."""
+    keys = table(spark, d, "supplier").select("s_suppkey")
+    e = keys.crossJoin(keys.agg((F.max("s_suppkey") + 1).alias("n"))).selectExpr("s_suppkey AS src", "(s_suppkey * s_suppkey + 1) % n AS dst")  # a single row
+    return G.simple_cycles(e).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+
+
+@query(r"""WITH t AS (SELECT doc_id // 10 AS conversation, doc_id AS turn, CASE doc_id % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' WHEN 2 THEN source ELSE CASE WHEN lang = 'en' THEN 'system' ELSE 'user' END END AS role, text FROM documents),
+b AS (SELECT *, lag(role) OVER (PARTITION BY conversation ORDER BY turn) AS before, count(*) OVER (PARTITION BY conversation ORDER BY turn) AS n FROM t)
+SELECT conversation, turn, issue FROM (SELECT conversation, turn, unnest([CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_content' END, CASE WHEN length(text) > 10000 THEN 'long_content' END, CASE WHEN role NOT IN ('system', 'user', 'assistant') THEN 'unknown_role' END,
+  CASE WHEN role = 'system' AND before IS NOT NULL THEN 'late_system' END, CASE WHEN before IS NOT DISTINCT FROM role THEN 'repeated_role' END, CASE WHEN regexp_matches(text, '(?i)(password|secret|token|api_?key)[\t\n\x0b\f\r ]*[:=]') THEN 'secret' END]) AS issue FROM b) WHERE issue IS NOT NULL""")
+def q_document_turns(spark, d):
+    """Documents as the turns of conversations of ten, and the rules that they break."""
+    docs = table(spark, d, "documents")
+    role = F.when(F.expr("doc_id % 4 = 0"), "user").when(F.expr("doc_id % 4 = 1"), "assistant").when(F.expr("doc_id % 4 = 2"), F.col("source")).when(F.col("lang") == "en", "system").otherwise("user")
+    return X.turn_issues(docs.select(F.expr("doc_id div 10").alias("conversation"), F.col("doc_id").alias("turn"), role.alias("role"), "text"), "conversation", "turn", "role", "text")
+
+
+@query("""SELECT DISTINCT l_partkey, l_suppkey FROM lineitem a WHERE l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_returnflag <> 'N' AND b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey)""")
+def q_new_cases(spark, d):
+    """Parts and suppliers of open lines that no closed line has."""
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
+    return lines.filter("l_returnflag = 'N'").join(lines.filter("l_returnflag <> 'N'"), ["l_partkey", "l_suppkey"], "left_anti").select("l_partkey", "l_suppkey").distinct()

@@ -140,3 +140,37 @@ def test_flow_of_source(spark):
     targets = spark.createDataFrame([("a.py::view", node[6], node[19]), ("a.py::view", node[6], node[9])], "unit string, gate int, target int")
     entries = spark.createDataFrame([("a.py::view", 0)], "unit string, node int")
     assert [r["target"] for r in G.dominators_fail(edges, entries, gates, targets).collect()] == [node[9]]
+
+
+FILES = {
+    "app/__init__.py": "from .names import safe_name as tidy\n",
+    "app/names.py": "import os\nfrom uuid import uuid4\ndef safe_name(n):\n    return os.path.basename(n)\ndef fresh():\n    filename = uuid4()\n    return filename\nclass Store:\n    def path(self, p):\n        self.verify(p)\n        return p\n    def verify(self, p):\n        return commonpath([p])\n",
+    "app/views.py": "from app.names import safe_name\nfrom . import names\nimport app.names as n\nimport app.names\n@auth.login_required\ndef show(f):\n    a = safe_name(f)\n    b = names.fresh()\n    n.safe_name(f)\n    c = app.names.fresh()\n    rows = db.filter_by(owner_id=current_user.id, user_id=f)\n    return helper(a)\ndef helper(x):\n    return secure_filename(x)\n",
+    "app/sub/deep.py": "from ..names import Store\nfrom .. import names as nm\ndef go(p):\n    s = Store.path(p)\n    nm.fresh()\n    return show(p)\n",
+    "bad.py": "def (",
+}
+
+
+def test_guarantees_and_their_index(spark):
+    from lumenfold.functions import guarantees as H
+
+    files = spark.createDataFrame(list(FILES.items()), "path string, source string")
+    flow = C.code_flow(files).cache()
+    found = H.guarantees(flow).cache()
+    got = {(r["path"], r["function"], r["says"].split(" ")[0], r["line"], tuple(r["variables"]), r["used"]) for r in found.collect()}
+    assert got == {
+        ("app/names.py", "safe_name", "filename.basename_only", 4, (), True), ("app/names.py", "fresh", "identifier.server_generated", 6, ("filename",), True), ("app/names.py", "fresh", "filename.server_generated", 6, ("filename",), True),
+        ("app/names.py", "fresh", "filename.user_controlled", 6, ("filename",), True), ("app/names.py", "Store.path", "storage.path.enforces_store_boundary", 10, (), False), ("app/names.py", "Store.verify", "storage.verify.enforces_store_boundary", 13, (), True),
+        ("app/views.py", "show", "route.requires_login", 6, (), None), ("app/views.py", "show", "query.scoped_to_current_user", 11, ("rows",), True), ("app/views.py", "helper", "filename.matches_allowed_pattern", 14, (), True), ("app/views.py", "helper", "filename.user_controlled", 14, (), True),
+    }
+    imports = H.resolved_imports(H.code_imports(files), files)
+    assert {tuple(r) for r in imports.collect()} == {
+        ("app/__init__.py", "tidy", "app/names.py", "safe_name"), ("app/views.py", "safe_name", "app/names.py", "safe_name"), ("app/views.py", "names", "app/names.py", None), ("app/views.py", "n", "app/names.py", None),
+        ("app/views.py", "app.names", "app/names.py", None), ("app/sub/deep.py", "Store", "app/names.py", "Store"), ("app/sub/deep.py", "nm", "app/names.py", None),
+    }
+    at = {(r["path"], r["line"], r["call"], r["target"].split("::")[1], r["says"].split(" ")[0]) for r in H.propagated(flow, found, imports).collect()}
+    assert {(p, n, c, t) for p, n, c, t, _ in at} == {
+        ("app/views.py", 7, "safe_name", "safe_name"), ("app/views.py", 8, "names.fresh", "fresh"), ("app/views.py", 9, "n.safe_name", "safe_name"), ("app/views.py", 10, "app.names.fresh", "fresh"), ("app/views.py", 12, "helper", "helper"),
+        ("app/sub/deep.py", 4, "Store.path", "Store.path"), ("app/sub/deep.py", 5, "nm.fresh", "fresh"), ("app/sub/deep.py", 6, "show", "show"), ("app/names.py", 10, "self.verify", "Store.verify"),
+    }
+    assert H.propagated(flow.limit(0), found, imports).count() == 0 and H.guarantees(flow.limit(0)).count() == 0
