@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import scores as S
 from lumenfold.operators import audit as A
+from lumenfold.operators import guards
 from lumenfold.operators.relational import first_by
 
 # Fixed values.
@@ -58,8 +59,9 @@ def correlated(df: DataFrame) -> DataFrame:
 
 
 def scored(df: DataFrame, proven: Column | None = None) -> DataFrame:
-    """Reportability of correlated cases by what reports alone can show; factors that need flows, routes or guards don't
-    hold. `proven` says which have a verified bypass."""
+    """Reportability of correlated cases. A factor that `df` has as a column is taken from there (`evidenced` derives those that
+    need flows, routes, guards or proofs by joins), a null one doesn't hold; the others are what reports alone can show, and
+    factors that reports can't show don't hold. `proven` says which have a verified bypass."""
     many, no = F.size("tools") > 1, F.lit(False)
     held = {
         "external": F.size("tools") > 0, "lineages": many, "codeflow": no, "ordered_flow": no, "route": no, "access": no, "attack_path": no, "owner_gap": F.col("category") == "access_control", "mutation": no, "sensitive": no,
@@ -67,10 +69,27 @@ def scored(df: DataFrame, proven: Column | None = None) -> DataFrame:
         "static_only": ~many, "low_severity": F.col("priority").isin("low", "info"), "contradicted": no, "has_path": no, "n_tools": F.size("tools"),
         "outcome": F.when(proven if proven is not None else no, "bypassed"),
     }
+    held = {k: F.coalesce(F.col(k), F.lit(False)) if k in df.columns and k not in ("n_tools", "outcome") else F.col(k) if k in df.columns else v for k, v in held.items()}
     judged = A.reportability(df.withColumns({k: v for k, v in held.items()}).withColumnRenamed("confidence", "_sure"))
     return judged.withColumnRenamed("confidence", "sureness").withColumnRenamed("_sure", "confidence").drop(*held)
 
 
+def evidenced(df: DataFrame, case: str, flows: DataFrame, assessments: DataFrame, proofs: DataFrame) -> DataFrame:
+    """Cases with the factors that other tables show. flows (case, ordered): a flow of data for the case, and whether its end
+    comes after its beginning; assessments (case, ...): judged guards, as `guards.assessed` gives them; proofs (case, proof,
+    outcome): runs that tried the case. A proof that is repeated counts once, one with several outcomes not at all; proofs
+    that disagree are set apart (`quarantined`) and prove nothing. Cases without rows in a table have none of its factors."""
+    flow = flows.groupBy(case).agg(F.lit(True).alias("codeflow"), F.max("ordered").alias("ordered_flow"))
+    guard = guards.protected(assessments, case)
+    one = proofs.filter("outcome is not null").groupBy(case, "proof").agg(F.min("outcome").alias("a"), F.max("outcome").alias("b"))
+    proof = one.groupBy(case).agg(F.min(F.when(F.col("a") == F.col("b"), F.col("a"))).alias("_lo"), F.max(F.when(F.col("a") == F.col("b"), F.col("a"))).alias("_hi"), F.max(F.col("a") != F.col("b")).alias("_odd"))
+    out = df.join(flow, case, "left").join(guard, case, "left").join(proof, case, "left")
+    false = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("codeflow", "ordered_flow", "strong_guard", "admin_guard")}
+    outcome = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+    quarantined = F.coalesce((F.col("_lo") != F.col("_hi")) | F.col("_odd"), F.lit(False))
+    return out.withColumns(false | {"blockers": F.coalesce("blockers", F.array().cast("array<string>")), "outcome": outcome, "quarantined": quarantined}).drop("_lo", "_hi", "_odd")
+
+
 def with_routes(df: DataFrame, routes: DataFrame) -> DataFrame:
     """Cases with the route whose handler spans their line (0.9), else with the only route of their file (0.55)."""
     r = routes.select(F.col("file").alias("_file"), "route", "start_line", "end_line")

@@ -74,3 +74,19 @@ def test_source_code(spark):
     assert edges == {("Shop.total", "Shop.price"), ("Shop.price", "helper"), ("user", "helper")}
     issues = {(r["name"], r["target"]) for r in C.code_issues(files).filter("kind = 'issue'").collect()}
     assert issues == {("hardcoded_secret", ""), ("unchecked_division", "Shop.total"), ("float_equality", "Shop.price"), ("missing_timeout", "helper"), ("unverified_tls", "helper"), ("built_query", "helper"), ("bare_except", "helper"), ("dangerous_call", "helper")}
+
+
+def test_factors_come_from_other_tables(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "case int")
+    flows = spark.createDataFrame([(1, False), (1, True), (2, False)], "case int, ordered boolean")
+    judged = spark.createDataFrame([(1, "ownership_guard", True, None), (1, "tenant_guard", False, "guard_after_sink"), (3, "role_authorization_guard", True, None)], "case int, guard_class string, applicable boolean, blocker string")
+    proofs = spark.createDataFrame([(1, "a", "bypassed"), (1, "a", "bypassed"), (2, "a", "enforced"), (2, "b", "bypassed"), (3, "a", "enforced"), (3, "a", "bypassed"), (3, "b", "enforced"), (4, "a", None)], "case int, proof string, outcome string")
+    got = {r["case"]: r for r in K.evidenced(df, "case", flows, judged, proofs).collect()}
+    assert [(got[i]["codeflow"], got[i]["ordered_flow"], got[i]["strong_guard"], got[i]["admin_guard"]) for i in (1, 2, 3, 4)] == [(True, True, True, False), (True, False, False, False), (False, False, False, True), (False,) * 4]
+    assert [(got[i]["outcome"], got[i]["quarantined"]) for i in (1, 2, 3, 4)] == [("bypassed", False), (None, True), ("enforced", True), (None, False)]
+    assert got[1]["blockers"] == ["guard_after_sink"] and got[4]["blockers"] == []
+    # Factors that are columns are taken from there.
+    one = spark.createDataFrame([("ssrf", "a.py", 0, "actionable", "high", 0.9, 3, ["t", "u"], ["r"], ["c"])], "category string, file string, band long, status string, priority string, confidence double, line int, tools array<string>, rules array<string>, case_ids array<string>")
+    score = lambda d: K.scored(d).first()["score"]
+    assert score(one.withColumn("codeflow", F.lit(True)).withColumn("route", F.lit(None).cast("boolean"))) == score(one) + 20
+    assert score(one.withColumn("nothing_found", F.lit(False)).withColumn("route", F.lit(True))) == score(one) + 35
