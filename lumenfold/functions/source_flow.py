@@ -20,6 +20,7 @@ SCHEMA = "path string, function string, node int, kind string, line int, defs ar
 SOURCE_CALLS = ("input", "os.getenv", "request.args.get", "request.form.get", "request.get_json", "recv", "urlopen")
 CLEANING = ("sanitize", "escape", "redact", "mask_secret")
 CHECKING = ("validate", "validator", "is_safe", "is_valid")
+BATCH = 10_000  # statements that are handed on at once
 NESTED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
@@ -157,9 +158,14 @@ def code_flow(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split(" ")[0] for c in ("path", "function", "node", "kind", "line", "defs", "uses", "next", "calls", "params", "marks")]
         for b in batches:
-            for path, source in zip(b["path"], b["source"], strict=True):
-                if found := rows(path, source):
-                    yield pd.DataFrame(found, columns=columns).astype({"node": "int32", "line": "int32"})
+            held: list[dict] = []
+            for k, (path, source) in enumerate(zip(b["path"], b["source"], strict=True)):
+                held += rows(path, source)
+                if held and (len(held) >= BATCH or k == len(b) - 1):
+                    yield pd.DataFrame(held, columns=columns).astype({"node": "int32", "line": "int32"})
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=columns).astype({"node": "int32", "line": "int32"})
 
     return files.select("path", "source").mapInPandas(run, SCHEMA)
 
