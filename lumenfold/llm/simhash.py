@@ -10,7 +10,8 @@ The radius is 3 bits, so half of it is one bit, rounded down. Two steps make tha
    different components of step 1 are looked at, and buckets with one component never leave their grouping.
 
 Emitting all variants within two bits of 64 (2,081 rows a fingerprint) gives the same links at 16 times the rows.
-Copies collapse to one fingerprint before anything is emitted, so a large group of copies costs one row.
+Copies collapse to one fingerprint before anything is emitted, so a large group of copies costs one row. All joins sort:
+packed tables of some hundred thousand fingerprints look small enough to broadcast, and each would stay on the driver.
 
 Nulls: a null text is an empty text, with fingerprint zero, linked like any other. A null doc_id belongs to its
 component but never names it, unless it has no other; then component_id is null. Empty tables give empty results;
@@ -79,7 +80,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) within two bits that join all fingerprints which such links join."""
     balls = prints.select("fp", _flips(F.col("fp"), 64).alias("variant"))
     low = balls.groupBy("variant").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("variant", "low")
-    return balls.join(low, "variant").filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+    return balls.join(low.hint("merge"), "variant").filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def far_links(prints: DataFrame) -> DataFrame:
@@ -91,10 +92,10 @@ def far_links(prints: DataFrame) -> DataFrame:
     sent = halves.select("fp", "comp", "side", "half", _flips(F.col("half"), 32).alias("variant"))
     sent = sent.select("fp", "comp", F.shiftleft(F.col("side").cast("long"), 32).bitwiseOR(F.col("variant")).alias("key"), (F.col("variant") == F.col("half")).alias("own"))
     mixed = sent.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("any_own")).filter("lo < hi and any_own").select("key")
-    met = written(sent.join(mixed, "key", "left_semi"), prints.sparkSession)
+    met = written(sent.join(mixed.hint("merge"), "key", "left_semi"), prints.sparkSession)
     x, y = met.filter("own").select("key", F.col("fp").alias("f1"), F.col("comp").alias("a")), met.select("key", F.col("fp").alias("f2"), F.col("comp").alias("b"))
     near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) <= RADIUS)
-    return x.join(y, (x["key"] == y["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return x.join(y.hint("merge"), (x["key"] == y["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def rooted(docs: DataFrame) -> DataFrame:
@@ -103,14 +104,14 @@ def rooted(docs: DataFrame) -> DataFrame:
     rows = written(fingerprints(docs), spark)
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), spark)
     first = components(near_links(prints))
-    comp = prints.join(first, prints["fp"] == first["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("comp"))
+    comp = prints.join(first.hint("merge"), prints["fp"] == first["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("comp"))
     comp = written(comp, spark)
     second = components(far_links(comp))
-    joined = comp.join(second, comp["comp"] == second["node"], "left").select("fp", "first_id", F.coalesce("root", "comp").alias("whole"))
+    joined = comp.join(second.hint("merge"), comp["comp"] == second["node"], "left").select("fp", "first_id", F.coalesce("root", "comp").alias("whole"))
     joined = written(joined, spark)
     names = joined.groupBy("whole").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(names, "whole").select(F.col("fp").alias("fp2"), "component_id", "whole")
-    return rows.join(named, rows["fp"] == named["fp2"]).select("doc_id", "fp", "component_id", "whole")
+    named = joined.join(names.hint("merge"), "whole").select(F.col("fp").alias("fp2"), "component_id", "whole")
+    return rows.join(named.hint("merge"), rows["fp"] == named["fp2"]).select("doc_id", "fp", "component_id", "whole")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -127,16 +128,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = written(best.select(F.col("best.doc_id").alias("named"), F.col("best.fp").alias("print")), spark)
     ids = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     repeated = written(ids.filter("n > 1").select("id"), spark)
-    once = best.filter("named is not null").join(repeated, F.col("named") == F.col("id"), "left_anti")
+    once = best.filter("named is not null").join(repeated.hint("merge"), F.col("named") == F.col("id"), "left_anti")
     # A row's own columns lie in a struct, so that they never meet the names used here.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("row_id"))
     unpacked = lambda df: df.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    single = unpacked(rows.join(once, F.col("row_id") == F.col("named")))
+    single = unpacked(rows.join(once.hint("merge"), F.col("row_id") == F.col("named")))
     if repeated.isEmpty() and found.filter("doc_id is null").isEmpty():
         return single
-    unclear = rows.filter("row_id is null").unionByName(rows.join(repeated, F.col("row_id") == F.col("id"), "left_semi"))
+    unclear = rows.filter("row_id is null").unionByName(rows.join(repeated.hint("merge"), F.col("row_id") == F.col("id"), "left_semi"))
     unclear = unclear.withColumn("own", F.pandas_udf(_prints, "long")(F.col("row.text")))
-    met = unclear.join(best, F.col("row_id").eqNullSafe(F.col("named")) & (F.col("own") == F.col("print")))
+    met = unclear.join(best.hint("merge"), F.col("row_id").eqNullSafe(F.col("named")) & (F.col("own") == F.col("print")))
     # Rows with one doc_id and one fingerprint are of one component.
     return single.unionByName(unpacked(met.dropDuplicates(["named", "print"])))
 
