@@ -221,6 +221,20 @@ def relation(a: Column, b: Column, lines_a: Column, lines_b: Column) -> Column:
     return S.first_match([(negates(F.trim(a), F.trim(b)), "contradicts"), (has_any(a, MITIGATES) & has_any(b, RISKS), "mitigates"), (F.arrays_overlap(lines_a, lines_b), "supports")])
 
 
+def related_pairs(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(a, b, relation), a < b, of rows (scope, id, says, lines) of one scope. Predicates are compared once for each two that a
+    scope has, not for each two rows; a row brings along what its own predicate is to the others of its scope."""
+    kinds = rows.filter("says is not null").select(*scope, "says").distinct()
+    two = kinds.toDF(*scope, "sa").join(kinds.toDF(*scope, "sb"), [*scope])
+    apart = F.array().cast("array<int>")
+    known = two.select("sa", "sb").distinct().select("sa", "sb", relation(F.col("sa"), F.col("sb"), apart, apart).alias("bears")).filter("bears is not null")
+    of = two.join(known, ["sa", "sb"]).groupBy(*scope, "sa").agg(F.map_from_entries(F.collect_list(F.struct("sb", "bears"))).alias("bears"))  # a scope's own predicates
+    x = rows.toDF(*scope, "a", "sa", "la").join(of, [*scope, "sa"], "left").select(*scope, "a", "la", "bears")
+    y = rows.toDF(*scope, "b", "sb", "lb")
+    found = F.coalesce(F.try_element_at("bears", F.col("sb")), F.when(F.arrays_overlap("la", "lb"), "supports"))
+    return x.join(y, [*scope]).filter((F.col("a") < F.col("b")) & found.isNotNull()).select("a", "b", found.alias("relation"))
+
+
 def is_static(path: Column) -> Column:
     out = F.lit(False)
     for end in STATIC_ENDS:

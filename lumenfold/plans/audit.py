@@ -313,9 +313,7 @@ SELECT a, b, relation FROM (SELECT x.p_partkey AS a, y.p_partkey AS b, CASE WHEN
 def q_relations(spark, d):
     """Pairs within one scope (a brand and size) and how one bears on the other."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", pick(PREDICATES, "p_partkey % 12").alias("p"), F.expr("array(p_partkey % 7, p_partkey % 5 + 10)").alias("l"))
-    x, y = p.toDF("a", "p_brand", "p_size", "pa", "la"), p.toDF("b", "p_brand", "p_size", "pb", "lb")
-    pairs_ = x.join(y, ["p_brand", "p_size"]).filter("a < b")
-    return pairs_.select("a", "b", A.relation(F.col("pa"), F.col("pb"), F.col("la"), F.col("lb")).alias("relation")).filter("relation is not null")
+    return A.related_pairs(p.select("p_brand", "p_size", F.col("p_partkey").alias("id"), F.col("p").alias("says"), F.col("l").alias("lines")), ["p_brand", "p_size"])
 
 
 SURFACES = ("source", "runtime_web", "test", "source", "runtime_web", "migration", "deployment_or_packaging", "source", "source")

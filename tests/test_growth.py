@@ -22,3 +22,16 @@ def test_simhash_broadcasts_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
     found = S.rooted(docs)
     assert "Broadcast" not in joins(found) and sorted(r["component_id"] for r in found.collect()) == [1, 1, 3]
+
+
+def test_related_pairs_like_all_pairs(spark):
+    from lumenfold.operators import audit as A
+
+    rnd = random.Random(2)
+    says = ["x > 1", "not x > 1", "token is validated", "token is tainted", "input sanitized before query", "n <= 5", "n > 5", "", None]
+    rows = [(rnd.randrange(3), i, rnd.choice(says), [rnd.randrange(4), rnd.randrange(4, 9)]) for i in range(60)] + [(None, 90, "n > 5", [1]), (None, 91, "n <= 5", [1])]
+    df = spark.createDataFrame(rows, "s int, id int, says string, lines array<int>")
+    x, y = df.toDF("s", "a", "pa", "la"), df.toDF("s", "b", "pb", "lb")
+    want = x.join(y, "s").filter("a < b").select("a", "b", A.relation(F.col("pa"), F.col("pb"), F.col("la"), F.col("lb")).alias("r")).filter("r is not null")
+    want = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, A.related_pairs(df, ["s"]).collect())) == want and len({r for _, _, r in want}) == 3
