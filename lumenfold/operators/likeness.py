@@ -20,6 +20,7 @@ NOISE = ("is", "not", "in", "true", "false", "none", "null", "and", "or", "the",
 WORD = r"\w\w+"
 NAME = r"\b[a-z_][a-z0-9_]*\b"
 STEPS = (0.8, 0.4, 0.2, 0.1)  # thresholds at which a top-k search looks, before it goes down to the least score asked for
+SHORT = 32  # items of a set that goes along to where it meets others
 BAND = 8  # lines of a band in which overlapping scopes meet
 
 
@@ -107,14 +108,19 @@ def alike_sets(df: DataFrame, key: str, items: str, least: float, scope: Sequenc
     rare = each.groupBy(*scope, "item").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy(*scope, "key").orderBy("df", "item")
     begin = each.join(rare, [*scope, "item"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    begin = cut_lineage(begin.select(*scope, "key", "n", "item", "rank"))
-    x, y = begin.toDF(*scope, "a", "na", "item", "pa"), begin.toDF(*scope, "b", "nb", "item", "pb")
+    begin = cut_lineage(begin.join(rows.filter(F.size("items") <= SHORT), [*scope, "key"], "left").select(*scope, "key", "n", "item", "rank", "items"))
+    x, y = begin.toDF(*scope, "a", "na", "item", "pa", "ia"), begin.toDF(*scope, "b", "nb", "item", "pb", "ib")
     both = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1  # the most that they share from here on
     fit = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (both >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - F.least("pa", "pb") + 1 - 1e-9)
-    met = x.join(y, [*scope, "item"]).filter((F.col("a") < F.col("b")) & fit).select(*scope, "a", "b").distinct()
-    p, q = rows.toDF(*scope, "a", "ia"), rows.toDF(*scope, "b", "ib")
     shared = F.size(F.array_intersect("ia", "ib"))
-    return met.join(p, [*scope, "a"]).join(q, [*scope, "b"]).withColumn("score", shared / (F.size("ia") + F.size("ib") - shared)).filter(F.col("score") >= least).select(*scope, "a", "b", "score")
+    score = shared / (F.size("ia") + F.size("ib") - shared)
+    # Two short sets are compared where they meet, so no candidates are stored; those of a long one are, each once.
+    short = x.filter(F.col("na") <= SHORT).join(y.filter(F.col("nb") <= SHORT), [*scope, "item"]).filter((F.col("a") < F.col("b")) & fit & (score >= least)).select(*scope, "a", "b", score.alias("score")).distinct()
+    some = lambda side, n: side.filter(F.col(n) > SHORT * least - 1).drop("ia", "ib")  # noqa: E731  (of a size to meet a long one)
+    met = some(x, "na").join(some(y, "nb"), [*scope, "item"]).filter((F.col("a") < F.col("b")) & fit & (F.greatest("na", "nb") > SHORT)).select(*scope, "a", "b").distinct()
+    p, q = rows.toDF(*scope, "a", "ia"), rows.toDF(*scope, "b", "ib")
+    long = met.join(p, [*scope, "a"]).join(q, [*scope, "b"]).withColumn("score", score).filter(F.col("score") >= least).select(*scope, "a", "b", "score")
+    return short.unionByName(long)
 
 
 def roots(names: Column, expression: Column) -> Column:

@@ -35,3 +35,15 @@ def test_related_pairs_like_all_pairs(spark):
     want = x.join(y, "s").filter("a < b").select("a", "b", A.relation(F.col("pa"), F.col("pb"), F.col("la"), F.col("lb")).alias("r")).filter("r is not null")
     want = sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, A.related_pairs(df, ["s"]).collect())) == want and len({r for _, _, r in want}) == 3
+
+
+def test_alike_sets_of_short_and_long_ones(spark, monkeypatch):
+    from lumenfold.operators import likeness as L
+
+    monkeypatch.setattr(L, "SHORT", 4)
+    rnd = random.Random(3)
+    rows = [(i, rnd.sample(range(9), rnd.randrange(1, 9))) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, items array<int>")
+    want = {(a, b): round(j, 9) for (a, x), (b, y) in combinations(rows, 2) if (j := len({*x} & {*y}) / len({*x} | {*y})) >= 0.6 - 1e-12}
+    got = [((r["a"], r["b"]), round(r["score"], 9)) for r in L.alike_sets(df, "id", "items", 0.6).collect()]
+    assert dict(got) == want and len(got) == len(want)
