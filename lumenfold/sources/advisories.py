@@ -93,7 +93,8 @@ def version_within(version: pd.Series, spec: pd.Series) -> pd.Series:
 
 def vulnerable(pins: DataFrame, ranges: DataFrame) -> DataFrame:
     """Pins (name, version) with the advisories (package, advisory, place, spec) that hold them, and the first spec of an
-    advisory that does. Names meet by an equal join; only then versions are compared."""
+    advisory that does. Names meet by an equal join, each pin once; only then versions are compared."""
+    pins = pins.select("name", "version").distinct()
     met = pins.join(ranges, F.lower(pins["name"]) == ranges["package"]).filter(version_within("version", "spec"))
     return met.groupBy("name", "version", "advisory").agg(F.min_by("spec", "place").alias("spec"))
 

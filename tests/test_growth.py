@@ -47,3 +47,13 @@ def test_alike_sets_of_short_and_long_ones(spark, monkeypatch):
     want = {(a, b): round(j, 9) for (a, x), (b, y) in combinations(rows, 2) if (j := len({*x} & {*y}) / len({*x} | {*y})) >= 0.6 - 1e-12}
     got = [((r["a"], r["b"]), round(r["score"], 9)) for r in L.alike_sets(df, "id", "items", 0.6).collect()]
     assert dict(got) == want and len(got) == len(want)
+
+
+def test_pins_are_met_once(spark):
+    from lumenfold.sources.advisories import vulnerable
+
+    pins = spark.createDataFrame([("a", "1.0")] * 5 + [("a", "3.0")], "name string, version string")
+    ranges = spark.createDataFrame([("a", "A1", 0, "<2.0")], "package string, advisory string, place int, spec string")
+    got = vulnerable(pins, ranges)
+    assert [tuple(r) for r in got.collect()] == [("a", "1.0", "A1", "<2.0")]
+    assert plan(got).count("Aggregate") == 2
