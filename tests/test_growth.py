@@ -57,3 +57,13 @@ def test_pins_are_met_once(spark):
     got = vulnerable(pins, ranges)
     assert [tuple(r) for r in got.collect()] == [("a", "1.0", "A1", "<2.0")]
     assert plan(got).count("Aggregate") == 2
+
+
+def test_no_frame_ends_with_the_unit(spark):
+    from lumenfold.operators.dataflow import attached
+
+    findings = spark.createDataFrame([(1, n) for n in range(6)], "unit int, line int")
+    flows = spark.createDataFrame([(1, 10, 1, 0.5), (1, 11, 4, 0.9), (1, 9, 4, 0.9)], "unit int, source_line int, sink_line int, confidence double")
+    got = attached(findings, flows)
+    assert "unboundedfollowing" not in plan(got)
+    assert [(r["line"], r["source_line"], r["sink_line"]) for r in got.sort("line").collect()] == [(0, 10, 1), (1, 10, 1), (2, 10, 1), (3, 9, 4), (4, 9, 4), (5, 9, 4)]
