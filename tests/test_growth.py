@@ -14,14 +14,14 @@ def joins(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_simhash_broadcasts_nothing(spark):
-    from lumenfold.llm import simhash as S
+def test_pins_are_met_once(spark):
+    from lumenfold.sources.advisories import vulnerable
 
-    prints = spark.createDataFrame([(1, 1), (3, 2), (1 << 40, 3)], "fp long, first_id long")
-    assert "Broadcast" not in joins(S.near_links(prints))
-    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
-    found = S.rooted(docs)
-    assert "Broadcast" not in joins(found) and sorted(r["component_id"] for r in found.collect()) == [1, 1, 3]
+    pins = spark.createDataFrame([("a", "1.0")] * 5 + [("a", "3.0")], "name string, version string")
+    ranges = spark.createDataFrame([("a", "A1", 0, "<2.0")], "package string, advisory string, place int, spec string")
+    got = vulnerable(pins, ranges)
+    assert [tuple(r) for r in got.collect()] == [("a", "1.0", "A1", "<2.0")]
+    assert plan(got).count("Aggregate") == 2
 
 
 def test_related_pairs_like_all_pairs(spark):
@@ -49,16 +49,6 @@ def test_alike_sets_of_short_and_long_ones(spark, monkeypatch):
     assert dict(got) == want and len(got) == len(want)
 
 
-def test_pins_are_met_once(spark):
-    from lumenfold.sources.advisories import vulnerable
-
-    pins = spark.createDataFrame([("a", "1.0")] * 5 + [("a", "3.0")], "name string, version string")
-    ranges = spark.createDataFrame([("a", "A1", 0, "<2.0")], "package string, advisory string, place int, spec string")
-    got = vulnerable(pins, ranges)
-    assert [tuple(r) for r in got.collect()] == [("a", "1.0", "A1", "<2.0")]
-    assert plan(got).count("Aggregate") == 2
-
-
 def test_no_frame_ends_with_the_unit(spark):
     from lumenfold.operators.dataflow import attached
 
@@ -67,3 +57,24 @@ def test_no_frame_ends_with_the_unit(spark):
     got = attached(findings, flows)
     assert "unboundedfollowing" not in plan(got)
     assert [(r["line"], r["source_line"], r["sink_line"]) for r in got.sort("line").collect()] == [(0, 10, 1), (1, 10, 1), (2, 10, 1), (3, 9, 4), (4, 9, 4), (5, 9, 4)]
+
+
+def test_stored_tables_are_never_broadcast(spark):
+    from lumenfold.sources.tables import Growing, cut_lineage
+
+    small = cut_lineage(spark.range(5))
+    assert "Broadcast" not in joins(spark.range(9).join(small.groupBy("id").count(), "id"))
+    grown = Growing(spark.range(3))
+    before = grown.rows()
+    added = grown.add(spark.range(3, 5))
+    assert [sorted(r["id"] for r in df.collect()) for df in (before, added, grown.rows())] == [[0, 1, 2], [3, 4], [0, 1, 2, 3, 4]]
+
+
+def test_simhash_broadcasts_nothing(spark):
+    from lumenfold.llm import simhash as S
+
+    prints = spark.createDataFrame([(1, 1), (3, 2), (1 << 40, 3)], "fp long, first_id long")
+    assert "Broadcast" not in joins(S.near_links(prints))
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    found = S.rooted(docs)
+    assert "Broadcast" not in joins(found) and sorted(r["component_id"] for r in found.collect()) == [1, 1, 3]
