@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,35 +32,27 @@ BOUNDARY_FUNCTIONS, BOUNDARY_CALLS, BOUNDARY_SURE = ("verify", "store_contains",
 IMPORTS = "path string, local string, module string, name string, level int"
 
 
-def _ends(name: Column, part: str) -> Column:
-    return F.lower(name).endswith(part)
-
-
 def guarantees(flow: DataFrame) -> DataFrame:
     """(path, function, says, confidence, line, variables, used): the guarantees of functions, each once at its first line. `variables`
     are what the statement defines; `used` says if the call's result goes anywhere, and is null where no call is behind it."""
-    where = ["path", "function", "line"]
-    none, no_names = F.lit(None).cast("boolean"), F.array().cast("array<string>")
-    entry = flow.filter("kind = 'entry'").select(*where, F.explode("marks").alias("mark"))
-    pick = lambda table, name: F.array(*[F.when(_ends(name, part), F.struct(F.lit(says).alias("says"), F.lit(sure).alias("confidence"))) for part, says, sure in table])
-    marked = entry.select(*where, F.explode(F.array_compact(pick(MARKS, F.col("mark")))).alias("g"), no_names.alias("variables"), none.alias("used"))
-    each = flow.filter("kind <> 'error'").select(*where, "defs", F.explode("calls").alias("c")).select(*where, "defs", "c.name", "c.used", "c.named")
-    called = each.select(*where, F.explode(F.array_compact(pick(CALLS, F.col("name")))).alias("g"), F.col("defs").alias("variables"), "used")
+    none = F.lit(None)
+    marks = F.transform(F.when(F.col("kind") == "entry", F.col("marks")), lambda m: F.struct(m.alias("mark"), none.cast("string").alias("name"), none.cast("boolean").alias("used"), none.cast("map<string,string>").alias("named")))
+    calls = F.transform(F.when(F.col("kind") != "error", F.col("calls")), lambda c: F.struct(none.cast("string").alias("mark"), c["name"].alias("name"), c["used"].alias("used"), c["named"].alias("named")))
+    no_items = F.array().cast("array<struct<mark:string,name:string,used:boolean,named:map<string,string>>>")
+    each = flow.select("path", "function", "line", "defs", F.explode(F.concat(F.coalesce(marks, no_items), F.coalesce(calls, no_items))).alias("c")).select("path", "function", "line", "defs", "c.*")
+    mark, name, of_mark = F.lower("mark"), F.lower("name"), F.array().cast("array<string>")
+    says = lambda met, text, sure, variables=F.col("defs"), used=F.col("used"): F.when(met, F.struct(F.lit(text).alias("says"), F.lit(sure).alias("confidence"), variables.alias("variables"), used.alias("used")))
+    any_of = lambda parts: reduce(or_, [name.endswith(part) for part in parts])
     files = F.exists("defs", lambda v: F.lower(v).contains("filename") | F.lower(v).endswith("path"))
-    made = F.lit(False)
-    for part in GENERATING:
-        made = made | _ends(F.col("name"), part)
-    generated = each.filter(made & files).select(*where, F.explode(F.array(*[F.struct(F.lit(x).alias("says"), F.lit(c).alias("confidence")) for x, c in GENERATED])).alias("g"), F.col("defs").alias("variables"), F.lit(True).alias("used"))
-    scoped = F.array(*[F.when(F.try_element_at("named", F.lit(k)).rlike(PRINCIPALS), F.struct(F.lit(says).alias("says"), F.lit(sure).alias("confidence"))) for k, says, sure in SCOPES])
-    queried = each.filter(_ends(F.col("name"), "filter_by")).select(*where, F.explode(F.array_compact(scoped)).alias("g"), F.col("defs").alias("variables"), "used")
     last = F.substring_index(F.lower("function"), ".", -1)
-    bounded = F.lit(False)
-    for part in BOUNDARY_CALLS:
-        bounded = bounded | _ends(F.col("name"), part)
-    stored = each.filter(last.isin(*BOUNDARY_FUNCTIONS) & bounded).select(*where, F.struct(F.concat(F.lit("storage."), last, F.lit(".enforces_store_boundary == true")).alias("says"), F.lit(BOUNDARY_SURE).alias("confidence")).alias("g"), F.col("defs").alias("variables"), "used")
-    found = marked.unionByName(called).unionByName(generated).unionByName(queried).unionByName(stored)
-    first = F.min(F.struct("line", "variables", "used")).alias("f")
-    return found.groupBy("path", "function", F.col("g.says").alias("says"), F.col("g.confidence").alias("confidence")).agg(first).select("path", "function", "says", "confidence", "f.line", "f.variables", "f.used")
+    found = [says(mark.endswith(part), text, sure, of_mark) for part, text, sure in MARKS]
+    found += [says(name.endswith(part), text, sure) for part, text, sure in CALLS]
+    found += [says(any_of(GENERATING) & files, text, sure, used=F.lit(True)) for text, sure in GENERATED]
+    found += [says(name.endswith("filter_by") & F.try_element_at("named", F.lit(k)).rlike(PRINCIPALS), text, sure) for k, text, sure in SCOPES]
+    found += [says((last == part) & any_of(BOUNDARY_CALLS), f"storage.{part}.enforces_store_boundary == true", BOUNDARY_SURE) for part in BOUNDARY_FUNCTIONS]
+    each = each.select("path", "function", "line", F.explode(F.array_compact(F.array(*found))).alias("g"))
+    first = F.min(F.struct("line", "g.variables", "g.used")).alias("f")
+    return each.groupBy("path", "function", F.col("g.says").alias("says"), F.col("g.confidence").alias("confidence")).agg(first).select("path", "function", "says", "confidence", "f.line", "f.variables", "f.used")
 
 
 def code_imports(files: DataFrame) -> DataFrame:

@@ -9,38 +9,58 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.source_code import DANGEROUS_CALLS, dotted
 
 SCHEMA = "path string, function string, node int, kind string, line int, defs array<string>, uses array<string>, next array<int>, calls array<struct<name: string, args: array<int>, used: boolean, named: map<string, string>>>, params array<string>, marks array<string>"
+_CALL = pa.struct([("name", pa.string()), ("args", pa.list_(pa.int32())), ("used", pa.bool_()), ("named", pa.map_(pa.string(), pa.string()))])
+_NAMES = pa.list_(pa.string())
+ARROW = pa.schema([("path", pa.string()), ("function", pa.string()), ("node", pa.int32()), ("kind", pa.string()), ("line", pa.int32()), ("defs", _NAMES), ("uses", _NAMES), ("next", pa.list_(pa.int32())), ("calls", pa.list_(_CALL)), ("params", _NAMES), ("marks", _NAMES)])
 # Calls that bring in what others control, and parts of the names of functions that clean it.
 SOURCE_CALLS = ("input", "os.getenv", "request.args.get", "request.form.get", "request.get_json", "recv", "urlopen")
 CLEANING = ("sanitize", "escape", "redact", "mask_secret")
 CHECKING = ("validate", "validator", "is_safe", "is_valid")
 BATCH = 10_000  # statements that are handed on at once
 NESTED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+LEAVES = {*NESTED, ast.Lambda, ast.Name, ast.Constant}
+KINDS = [k for k in vars(ast).values() if isinstance(k, type) and issubclass(k, ast.AST) and (k is ast.Constant or not issubclass(k, ast.Constant))]
+FIELDS = {k: tuple(f for f in reversed(k._fields) if f != "ctx") for k in KINDS}
+BLOCKS = {k: tuple(f for f in k._fields if f in ("body", "handlers", "orelse", "finalbody", "cases")) if issubclass(k, (ast.mod, ast.stmt, ast.excepthandler, ast.match_case)) else () for k in KINDS}
 
 
-def walk(node: ast.AST) -> Iterator[ast.AST]:
-    """An expression's nodes, without the bodies of what it defines."""
-    stack = [node]
+def walk(parts: list[ast.AST]) -> list[ast.AST]:
+    """The nodes of expressions in the order of their text, without the bodies of what they define and without the marks of
+    loads and stores."""
+    found, stack = [], parts[::-1]
     while stack:
         n = stack.pop()
-        yield n
-        if not isinstance(n, (*NESTED, ast.Lambda)):
-            stack += reversed(list(ast.iter_child_nodes(n)))
-
-
-def names(parts: list[ast.AST]) -> tuple[list[str], list[str]]:
-    """(defined, used) names of expressions; the names that comprehensions bind for themselves are neither."""
-    found = [n for p in parts if p is not None for n in walk(p)]
-    own = {t.id for n in found if isinstance(n, ast.comprehension) for t in ast.walk(n.target) if isinstance(t, ast.Name)}
-    loads = [n.id for n in found if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)]
-    stores = [n.id for n in found if isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Load)]
-    return sorted({*stores} - own), sorted({*loads} - own)
+        found.append(n)
+        kind = type(n)
+        if kind in LEAVES:
+            continue
+        for field in FIELDS[kind]:
+            child = getattr(n, field, None)
+            if not child:
+                continue
+            if isinstance(child, list):
+                stack += [c for c in reversed(child) if isinstance(c, ast.AST)]
+            elif isinstance(child, ast.AST):
+                stack.append(child)
+    return found
+
+
+def names(found: list[ast.AST]) -> tuple[list[str], list[str]]:
+    """(defined, used) names among nodes; the names that comprehensions bind for themselves are neither."""
+    loads, stores, own = set(), set(), set()
+    for n in found:
+        if isinstance(n, ast.Name):
+            (loads if isinstance(n.ctx, ast.Load) else stores).add(n.id)
+        elif isinstance(n, ast.comprehension):
+            own |= {t.id for t in ast.walk(n.target) if isinstance(t, ast.Name)}
+    return sorted(stores - own), sorted(loads - own)
 
 
 class Flow:
@@ -49,6 +69,7 @@ class Flow:
     def __init__(self, function: ast.FunctionDef | ast.AsyncFunctionDef):
         a = function.args
         self.params = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
+        self.place = {p: k for k, p in enumerate(self.params)}
         self.rows: list[dict] = []
         self.edges: set[tuple[int, int]] = set()
         self.loops: list[tuple[int, set[int]]] = []
@@ -58,13 +79,13 @@ class Flow:
         self.block(function.body, {0})
 
     def add(self, kind: str, line: int, before: set[int], parts: list[ast.AST], statement: ast.AST | None = None) -> int:
-        defs, uses = names(parts)
+        found = walk([p for p in parts if p is not None])
+        defs, uses = names(found)
         n = len(self.rows)
-        calls = [c for p in parts if p is not None for c in walk(p) if isinstance(c, ast.Call) and dotted(c.func)]
-        place = {p: k for k, p in enumerate(self.params)}
-        handed = lambda c: [place.get(x.id) if isinstance(x, ast.Name) else None for x in c.args]
+        calls = [(c, name) for c in found if isinstance(c, ast.Call) and (name := dotted(c.func))]
+        handed = lambda c: [self.place.get(x.id) if isinstance(x, ast.Name) else None for x in c.args]
         bare = statement.value if isinstance(statement, ast.Expr) else None
-        self.rows.append({"node": n, "kind": kind, "line": line, "defs": defs, "uses": uses, "calls": [{"name": dotted(c.func), "args": handed(c), "used": c is not bare, "named": {k.arg: dotted(k.value) for k in c.keywords if k.arg}} for c in calls]})
+        self.rows.append({"node": n, "kind": kind, "line": line, "defs": defs, "uses": uses, "calls": [{"name": name, "args": handed(c), "used": c is not bare, "named": {k.arg: dotted(k.value) for k in c.keywords if k.arg}} for c, name in calls]})
         self.edges |= {(b, n) for b in before}
         return n
 
@@ -129,15 +150,16 @@ class Flow:
 
 
 def functions(tree: ast.AST, owner: str = "") -> Iterator[tuple[str, ast.FunctionDef | ast.AsyncFunctionDef]]:
-    """Every function with its qualified name."""
-    for n in ast.iter_child_nodes(tree):
-        if isinstance(n, NESTED):
-            name = f"{owner}.{n.name}" if owner else n.name
-            if not isinstance(n, ast.ClassDef):
-                yield name, n
-            yield from functions(n, name)
-        else:
-            yield from functions(n, owner)
+    """Every function with its qualified name. Only statements hold functions, so expressions aren't looked at."""
+    for field in BLOCKS[type(tree)]:
+        for n in getattr(tree, field):
+            if isinstance(n, NESTED):
+                name = f"{owner}.{n.name}" if owner else n.name
+                if not isinstance(n, ast.ClassDef):
+                    yield name, n
+                yield from functions(n, name)
+            elif BLOCKS[type(n)]:
+                yield from functions(n, owner)
 
 
 def code_flow(files: DataFrame) -> DataFrame:
@@ -155,19 +177,24 @@ def code_flow(files: DataFrame) -> DataFrame:
         except (SyntaxError, ValueError, RecursionError) as e:
             return [{"path": path, "function": "", "node": 0, "kind": "error", "line": getattr(e, "lineno", None) or 0, "defs": [type(e).__name__], "uses": [], "calls": [], "next": [], "params": None, "marks": None}]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in ("path", "function", "node", "kind", "line", "defs", "uses", "next", "calls", "params", "marks")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[dict]) -> pa.RecordBatch:
+            for r in held:
+                for c in r["calls"]:
+                    c["named"] = list(c["named"].items())
+            return pa.RecordBatch.from_pylist(held, ARROW)
+
         for b in batches:
             held: list[dict] = []
-            for k, (path, source) in enumerate(zip(b["path"], b["source"], strict=True)):
+            for path, source in zip(b.column("path").to_pylist(), b.column("source").to_pylist(), strict=True):
                 held += rows(path, source)
-                if held and (len(held) >= BATCH or k == len(b) - 1):
-                    yield pd.DataFrame(held, columns=columns).astype({"node": "int32", "line": "int32"})
+                if len(held) >= BATCH:
+                    yield packed(held)
                     held = []
             if held:
-                yield pd.DataFrame(held, columns=columns).astype({"node": "int32", "line": "int32"})
+                yield packed(held)
 
-    return files.select("path", "source").mapInPandas(run, SCHEMA)
+    return files.select("path", "source").mapInArrow(run, SCHEMA)
 
 
 def unit() -> Column:

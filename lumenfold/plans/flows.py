@@ -183,8 +183,7 @@ def q_code_guarantees(spark, d):
     files = lines.groupBy("l_orderkey").agg(rows.alias("rows"), F.max("status").alias("status"))
     key = F.col("l_orderkey").cast("string")
     source = F.concat(F.when(F.col("status") == "O", "@auth.login_required\ndef f").otherwise("\ndef f"), key, F.lit("(v0):\n"), F.array_join("rows", "\n"), F.lit("\n"))
-    flow = cut_lineage(C.code_flow(files.select(F.concat(F.lit("o"), key, F.lit(".py")).alias("path"), source.alias("source"))))
-    return H.guarantees(flow)
+    return H.guarantees(C.code_flow(files.select(F.concat(F.lit("o"), key, F.lit(".py")).alias("path"), source.alias("source"))))
 
 
 ROUND = "SELECT DISTINCT s_suppkey AS src, (s_suppkey * s_suppkey + 1) % (SELECT max(s_suppkey) + 1 FROM supplier) AS dst FROM supplier"

@@ -78,3 +78,15 @@ def test_simhash_broadcasts_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
     found = S.rooted(docs)
     assert "Broadcast" not in joins(found) and sorted(r["component_id"] for r in found.collect()) == [1, 1, 3]
+
+
+def test_guarantees_read_source_text_once(spark):
+    from lumenfold.functions import guarantees as H
+    from lumenfold.functions import source_flow as C
+
+    text = "def f(v):\n    x = " + " + ".join(["v"] * 1500) + "\n    filename = uuid4()\n"  # an expression deeper than Python's stack
+    found = H.guarantees(C.code_flow(spark.createDataFrame([("a.py", text)], "path string, source string")))
+    assert sorted((r["says"], r["line"], r["variables"]) for r in found.collect()) == [
+        ("filename.server_generated == true", 3, ["filename"]), ("filename.user_controlled == false", 3, ["filename"]), ("identifier.server_generated == true", 3, ["filename"]),
+    ]
+    assert plan(found).count("MapIn") == 1
