@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+NEIGHBOURS = 1 << 16  # rows of a partition among which those of equal keys are kept side by side
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key."""
@@ -55,13 +57,24 @@ def nearest(points: DataFrame, targets: DataFrame, by: str, at: str, target_id:
     return df.select("_p.*", pick.alias("_near")).select("*", F.col("_near.at").alias("nearest_at"), F.col("_near.id").alias("nearest_id")).drop("_near")
 
 
+def _side_by_side(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows of equal keys as arrays `name` of what else they hold; an array spans NEIGHBOURS rows of a partition at most, so that
+    hot keys give many arrays and no long one."""
+    rest = [c for c in df.columns if c not in keys]
+    near = F.floor(F.monotonically_increasing_id() / NEIGHBOURS)
+    return df.withColumn("_near", near).groupBy(*keys, "_near").agg(F.collect_list(F.struct(*rest, *([] if rest else [F.lit(0).alias("_none")]))).alias(name)).drop("_near")
+
+
 def in_spans(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, end: str, width: float) -> DataFrame:
     """Pairs of points and spans of their group with start <= at <= end, by an equal join on (group, bucket): a span is
-    listed in each bucket of `width` that it touches."""
+    listed in each bucket of `width` that it touches. Points of one place and spans of the same ends are compared together,
+    and pairs are written out only where they meet."""
     cell = lambda c: F.floor(F.col(c) / width)
-    s = spans.withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
-    p = points.withColumn("_cell", cell(at))
-    return p.join(s, [by, "_cell"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("_cell")
+    p = _side_by_side(points.filter(F.col(by).isNotNull() & F.col(at).isNotNull()), [by, at], "_p").withColumn("_cell", cell(at))
+    s = _side_by_side(spans.filter(F.col(start) <= F.col(end)), [by, start, end], "_s").withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
+    met = p.join(s, [by, "_cell"]).filter(F.col(at).between(F.col(start), F.col(end)))
+    each = met.select(by, at, start, end, "_s", F.inline("_p")).select("*", F.inline("_s"))
+    return each.select(by, *[c for c in [*points.columns, *spans.columns] if c != by])
 
 
 def near_names(names: DataFrame, column: str) -> DataFrame:

@@ -90,3 +90,17 @@ def test_guarantees_read_source_text_once(spark):
         ("filename.server_generated == true", 3, ["filename"]), ("filename.user_controlled == false", 3, ["filename"]), ("identifier.server_generated == true", 3, ["filename"]),
     ]
     assert plan(found).count("MapIn") == 1
+
+
+def test_spans_meet_places_and_not_rows(spark, monkeypatch):
+    from lumenfold.operators import relational as R
+
+    monkeypatch.setattr(R, "NEIGHBOURS", 7)
+    points = [(i % 2 if i % 9 else None, i // 2 % 5 * 0.5 if i % 7 else None, i if i % 5 else None) for i in range(60)] + [(1, 0.5, 3)] * 20
+    spans = [(i % 3, i % 4 - 1, i % 4 + (i % 3), f"s{i}" if i % 5 else None) for i in range(30)] + [(1, 3, 0, "back"), (0, None, 4, "open"), (None, 0, 9, "none")]
+    p, s = spark.createDataFrame(points, "g int, at double, id int"), spark.createDataFrame(spans, "g int, lo int, hi int, name string")
+    got = R.in_spans(p, s, "g", "at", "lo", "hi", 2)
+    want = [(g, at, i, lo, hi, n) for g, at, i in points for h, lo, hi, n in spans if None not in (g, at, lo) and g == h and lo <= at <= hi]
+    assert got.columns == ["g", "at", "id", "lo", "hi", "name"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert plan(got).index("inline") < plan(got).index("Join")  # pairs come out above the join
+    assert R.in_spans(p.select("g", "at"), s.drop("name"), "g", "at", "lo", "hi", 2).count() == len(want)
