@@ -22,6 +22,7 @@ NAME = r"\b[a-z_][a-z0-9_]*\b"
 STEPS = (0.8, 0.4, 0.2, 0.1)  # thresholds at which a top-k search looks, before it goes down to the least score asked for
 SHORT = 32  # items of a set that goes along to where it meets others
 BAND = 8  # lines of a band in which overlapping scopes meet
+NEIGHBOURS = 1 << 16  # rows of a partition among which like scopes are kept side by side
 
 
 def grams(text: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -139,15 +140,23 @@ def _ordered(rows: DataFrame, unit: str) -> DataFrame:
 
 
 def overlapping(rows: DataFrame, unit: str = "file") -> DataFrame:
-    """(unit, a, b, shared), a < b: rows (unit, id, lo, hi, roots) whose lines overlap and that share a root. They meet by unit,
-    root and band of lines, and a pair counts once: at the rarest root that both have, in the band where they first meet.
-    Without lines (null) a row overlaps nothing."""
-    r = cut_lineage(_ordered(rows.select(unit, "id", "lo", "hi", "roots").filter("lo <= hi"), unit))
-    e = r.select(unit, "id", "lo", "hi", "roots", F.explode("roots").alias("root")).withColumn("band", F.explode(F.sequence(F.floor(F.col("lo") / BAND), F.floor(F.col("hi") / BAND))))
-    x, y = e.toDF(unit, "a", "la", "ha", "ra", "root", "band"), e.toDF(unit, "b", "lb", "hb", "rb", "root", "band")
-    met = x.join(y, [unit, "root", "band"]).filter((F.col("a") < F.col("b")) & (F.col("la") <= F.col("hb")) & (F.col("lb") <= F.col("ha")))
-    met = met.filter((F.col("band") == F.floor(F.greatest("la", "lb") / BAND)) & (F.get(F.array_intersect("ra", "rb"), 0) == F.col("root")))
-    return met.select(unit, "a", "b", F.array_sort(F.array_intersect("ra", "rb")).alias("shared"))
+    """(unit, a, b, shared), a < b: rows (unit, id, lo, hi, roots) whose lines overlap and that share a root. Of two that overlap,
+    the later one begins on a line of the other. Rows of the same roots and lines meet together, by unit, root and band of
+    lines, and count once: at the rarest root that both have, in the band where the later ones begin. Pairs are written out
+    only where they meet. Without lines (null) a row overlaps nothing."""
+    known = _ordered(rows.select(unit, "id", "lo", "hi", "roots").filter("lo <= hi"), unit)
+    r = cut_lineage(known.repartition(unit, "roots", "lo").sortWithinPartitions(unit, "roots", "lo", "hi"))
+    r = r.withColumn("near", F.floor(F.monotonically_increasing_id() / NEIGHBOURS))  # like rows are neighbours; hot ones give many arrays
+    band = lambda c: F.floor(F.col(c) / BAND)
+    x = r.groupBy(unit, "roots", "lo", "hi", "near").agg(F.collect_list("id").alias("x")).withColumn("root", F.explode("roots")).withColumn("band", F.explode(F.sequence(band("lo"), band("hi"))))
+    y = r.groupBy(unit, "roots", "lo", "near").agg(F.collect_list("id").alias("y")).withColumn("root", F.explode("roots")).withColumn("band", band("lo"))
+    x, y = x.select(unit, "root", "band", F.col("roots").alias("rx"), "lo", "hi", "x"), y.select(unit, "root", "band", F.col("roots").alias("ry"), F.col("lo").alias("at"), "y")
+    met = x.join(y, [unit, "root", "band"]).filter(F.col("at").between(F.col("lo"), F.col("hi")))
+    both = F.when(F.least(F.size("rx"), F.size("ry")) == 1, F.array("root")).otherwise(F.array_intersect("rx", "ry"))
+    met = met.select("*", F.explode(F.array(both)).alias("both")).filter(F.get("both", 0) == F.col("root"))
+    each = met.select(unit, F.array_sort("both").alias("shared"), (F.col("lo") < F.col("at")).alias("later"), "y", F.explode("x").alias("i")).select("*", F.explode("y").alias("j"))
+    each = each.filter((F.col("i") < F.col("j")) | (F.col("later") & (F.col("i") > F.col("j"))))
+    return each.select(unit, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared")
 
 
 def frontier_conflicts(frontiers: DataFrame, facts: DataFrame) -> DataFrame:

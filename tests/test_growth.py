@@ -104,3 +104,14 @@ def test_spans_meet_places_and_not_rows(spark, monkeypatch):
     assert got.columns == ["g", "at", "id", "lo", "hi", "name"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert plan(got).index("inline") < plan(got).index("Join")  # pairs come out above the join
     assert R.in_spans(p.select("g", "at"), s.drop("name"), "g", "at", "lo", "hi", 2).count() == len(want)
+
+
+def test_like_scopes_meet_together(spark, monkeypatch):
+    from lumenfold.operators import likeness as L
+
+    monkeypatch.setattr(L, "NEIGHBOURS", 5)
+    rnd = random.Random(7)
+    rows = [(rnd.randrange(2), i, lo := rnd.randrange(0, 30, 6), lo + rnd.choice((0, 3, 20)), rnd.choice((["a"], ["a", "b"], ["b", "c", "d"], []))) for i in rnd.sample(range(400), 120)]
+    got = L.overlapping(spark.createDataFrame(rows, "file int, id long, lo int, hi int, roots array<string>"))
+    want = sorted((f, a, b, sorted({*x} & {*y})) for f, a, la, ha, x in rows for g, b, lb, hb, y in rows if f == g and a < b and la <= hb and lb <= ha and {*x} & {*y})
+    assert sorted(map(tuple, got.collect())) == want and "collect_list(id" in plan(got)
