@@ -15,12 +15,14 @@ lose whole sentences alone.
 
 Words are compared as they stand between ASCII white space, A-Z in lower case; hashes of runs have 128 bits. The first place
 of a run is the one with the smallest (doc_id, hash of the text, start). Most runs are unique; they are counted by 64-bit
-hashes first, and repeated ones are looked up in a filter of at most FILTER_BITS bits; a false hit there costs a row and
-changes no result. Where a text repeats itself without a break, a run takes nothing from its own first place.
+hashes first, and repeated ones are looked up in a filter of at most FILTER_BITS bits; a false hit there costs a place and
+changes no result. What passes the filter is kept as one row a text, with its places in lists; a run's places meet once, for the
+first of them, and only these go back to their texts, which lose the others. Where a text repeats itself without a break,
+a run takes nothing from its own first place.
 
 Nulls: a null text is an empty text, without runs; a null doc_id is smaller than any other. Empty tables give empty
 results. Rows that repeat a doc_id with the same text are one place and lose nothing to each other; with another text
-they are another place. Extra columns are ignored by `removals` and kept by `dedup_documents`. doc_ids cross Python as text.
+they are another place. Extra columns are ignored by `removals` and kept by `dedup_documents`.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import written
+from lumenfold.llm.common import chunks, written
 
 REACH = 5
 MIN_WORDS = 33
@@ -41,19 +44,26 @@ FILTER_BITS = 1 << 29
 BLOCK_BITS = 1 << 20  # the filter is built in blocks of so many bits at most
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SENTENCES, SENTENCE_WORDS = 3, 20  # consecutive whole sentences of a run, and the words that it has at least
-STOPS = np.frombuffer(b".!?", dtype=np.uint8)
-ENDS = np.frombuffer(b".!?,;:", dtype=np.uint8)
-SPANS = "doc_id string, body long, start int, end int, run binary"
+STOPS, ENDS = (np.isin(np.arange(256), np.frombuffer(x, dtype=np.uint8)) for x in (b".!?", b".!?,;:"))
+CHUNK = 1 << 18  # letters of texts that are worked on together; a longer text comes alone
+HELD = 1 << 22  # hashes of runs that are counted before they are handed on
+SPANS = "doc_id long, body long, start array<int>, length array<int>, back array<int>, run array<struct<a: long, b: long>>"
+REMOVED = "doc_id long, body long, removed array<struct<start: int, end: int>>"
 
 
-def _word_hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed hash of each word; the words lie in `letters` with one byte between them."""
+def _hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mixed hash of each stretch of letters, by their running sums (`_sums`); it doesn't depend on where the stretch stands."""
     with np.errstate(over="ignore"):
-        sums = np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * _powers(len(letters)))
-        before = np.concatenate([np.zeros(1, np.uint64), sums])[starts]
-        h = (sums[ends - 1] - before) * _inverses(len(letters))[starts]
+        h = (sums[ends] - sums[starts]) * _inverses(len(sums))[starts]
         h = (h ^ (h >> np.uint64(32))) * MIX
-        return (h ^ (h >> np.uint64(29))) * MIX >> np.uint64(1)
+        return (h ^ (h >> np.uint64(29))) * MIX
+
+
+def _sums(letters: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(letters) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * _powers(len(letters)), out=out[1:])
+    return out
 
 
 _held: dict[str, np.ndarray] = {}
@@ -76,47 +86,112 @@ def _inverses(n: int) -> np.ndarray:
     return _series("inverses", pow(0x5851F42D4C957F2D, -1, 1 << 64), n)
 
 
-def runs(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """The text's words with blanks between, where each word starts and ends in it, and the first word of each run and
-    the one behind its last, runs of sentences before runs of clauses; None for a text without runs."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII alone is lowered and split at
-    if not found:
-        return None
-    joined = b" ".join(found)
-    letters = np.frombuffer(joined, dtype=np.uint8)
-    blanks = np.flatnonzero(letters == 32)
-    starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(joined)]])
-    last = letters[ends - 1]
-    stops = np.concatenate([[0], np.flatnonzero(np.isin(last, STOPS)) + 1])  # where sentences begin; the last one ends in a stop
-    to = np.maximum(np.arange(len(stops)) + SENTENCES, np.searchsorted(stops, stops + SENTENCE_WORDS))
-    first, behind = stops[to < len(stops)], stops[to[to < len(stops)]]
-    if len(found) >= MIN_WORDS:
-        order = _word_hashes(letters, starts, ends)
-        order[1:][np.isin(last[:-1], ENDS)] = 0
-        least = np.lib.stride_tricks.sliding_window_view(order, REACH).argmin(axis=1)
-        begins = np.zeros(len(order) + 1, dtype=bool)
-        begins[least + np.arange(len(least))] = True
-        begins[:-1][order == 0] = True
-        begins[[0, -1]] = True  # the last one is the end of the text
+class Runs:
+    """The runs of some texts, which are worked on as one array of words. Each text has a slot for each of its words and one
+    more for its end.
+
+    `doc`: a run's text; `first`, `behind`: the slots of its first word and of what comes after its last, by which runs are
+    sorted; `start`, `end`: its letters in `letters`, where words are in lower case and have one blank between them.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        self.raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.edges = np.cumsum([0, *(len(x) + 1 for x in self.raw)])  # where texts begin in `data`, each with a blank behind it
+        data = b" ".join([*self.raw, b""])
+        low = np.frombuffer(data.lower(), dtype=np.uint8)  # bytes: ASCII alone is lowered and split at
+        blank = (low == 32) | (low - np.uint8(9) < 5)
+        fresh = np.concatenate([[True], blank[:-1]])
+        self.data, self.words = data, np.flatnonzero(fresh & ~blank)
+        keep = ~(fresh & blank)
+        gaps = blank[keep]
+        letters = np.where(gaps, np.uint8(32), low[keep])
+        self.letters, ends = letters, np.flatnonzero(gaps)
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        sizes = np.diff(np.searchsorted(self.words, self.edges))
+        self.owner = np.repeat(np.arange(len(texts)), sizes + 1)
+        tails = np.cumsum(sizes + 1) - 1
+        heads = tails - sizes
+        word = np.ones(len(self.owner), dtype=bool)
+        word[tails] = False
+        self.tails, self.slots = tails, np.flatnonzero(word)
+        last = letters[ends - 1]
+
+        stops = np.zeros(len(word), dtype=bool)  # where sentences begin; the last one ends in a stop
+        stops[heads] = True
+        stops[self.slots[STOPS[last]] + 1] = True
+        stops = np.flatnonzero(stops)
+        to = np.maximum(np.arange(len(stops)) + SENTENCES, np.searchsorted(stops, stops + SENTENCE_WORDS))
+        pairs = self._within(stops, to)
+
+        self.sums = _sums(letters)
+        order = np.zeros(len(word), dtype=np.uint64)  # a text's end is 0, which is below all words but those that begin a clause anyway
+        order[self.slots] = _hashes(self.sums, starts, ends) >> np.uint64(1)
+        after = self.slots[ENDS[last]] + 1
+        order[after[word[after]]] = 0
+        begins = _least(order) | (order == 0)
+        begins[heads] = True
         cuts = np.flatnonzero(begins)
-        to = np.searchsorted(cuts, cuts + MIN_WORDS)
-        whole = to < len(cuts)
-        first, behind = np.concatenate([first, cuts[whole]]), np.concatenate([behind, cuts[to[whole]]])
-    return (joined, starts, ends, first, behind) if len(first) else None
-
+        pairs = np.sort(np.concatenate([pairs, self._within(cuts, np.searchsorted(cuts, cuts + MIN_WORDS))]))
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+
+        self.first, self.behind = pairs >> 32, pairs & 0xFFFFFFFF
+        self.doc = self.owner[self.first]
+        self.start, self.end = starts[self.first - self.doc], ends[self.behind - self.doc - 1]  # each text before has one slot more than words
+
+    def _within(self, slots: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """The pairs of a slot and the one at its place in `to`, where both are of one text."""
+        first, behind = slots[to < len(slots)], slots[to[to < len(slots)]]
+        same = self.owner[first] == self.owner[behind]
+        return first[same] << 32 | behind[same]
+
+    def hashes(self) -> np.ndarray:
+        return _hashes(self.sums, self.start, self.end)
+
+    def places(self) -> np.ndarray:
+        """Where each slot's word starts in its text, in code points; for a text's end, its length."""
+        points = np.cumsum((np.frombuffer(self.data, dtype=np.uint8) & 0xC0) != 0x80)
+        out = np.empty(len(self.owner), dtype=np.int64)
+        out[self.slots] = points[self.words]
+        out[self.tails] = points[self.edges[1:] - 1]
+        return out - points[self.edges[:-1]][self.owner] if len(out) else out
+
+
+def _least(order: np.ndarray) -> np.ndarray:
+    """Whether a value above 0 is the first least one of any REACH in a row without a 0: as many as REACH - 1 around it are
+    larger, or equal and behind it."""
+    near = np.zeros(len(order), dtype=np.int8)
+    before, behind = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
+    for d in range(1, REACH):
+        before[:d] = False
+        before[d:] &= order[:-d] > order[d:]
+        behind[-d:] = False
+        behind[:-d] &= order[d:] >= order[:-d]
+        near += before
+        near += behind
+    return near >= REACH - 1
+
+
+def _chunked(texts: list[str | None]) -> Iterator[tuple[int, Runs]]:
+    """Runs of consecutive texts, some CHUNK letters at a time, and the number of the first of them."""
+    for part in chunks([len(t or "") for t in texts], len(texts), CHUNK):
+        yield part.start, Runs(texts[part])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of runs and how often each stands in some HELD of them."""
+    found: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        own, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["run", "n"])
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes of runs and how often each stands in a batch."""
-    digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        found: list[int] = []
-        for t in b["text"]:
-            got = runs(t)
-            if got:
-                joined, starts, ends, first, behind = got
-                found += [digest(joined[x:y]) for x, y in zip(starts[first].tolist(), ends[behind - 1].tolist(), strict=True)]
-        own, n = np.unique(np.array(found, dtype=np.uint64), return_counts=True)
-        yield pd.DataFrame({"run": own.view(np.int64), "n": n.astype(np.int64)})
+        for _, got in _chunked(b.column("text").to_pylist()):
+            found.append(got.hashes())
+            if sum(map(len, found)) > HELD:
+                yield counted()
+    yield counted()
 
 
 def _bits(block: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +203,7 @@ def _bits(block: pd.DataFrame) -> pd.DataFrame:
 def repeated_runs(texts: DataFrame) -> np.ndarray:
     """A filter, as bytes, that holds two bits of each run that stands in more than one place."""
     spark = texts.sparkSession
-    again = written(texts.mapInPandas(_digests, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").select("run"), spark)
+    again = written(texts.mapInArrow(_digests, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").select("run"), spark)
     bits = min(max(1 << (16 * again.count()).bit_length(), BLOCK_BITS), FILTER_BITS)
     probes = F.explode(F.array(F.col("run").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("run", 32).bitwiseAND(F.lit(bits - 1))))
     at = again.select(probes.alias("at")).distinct().select((F.col("at") / BLOCK_BITS).cast("int").alias("block"), (F.col("at") % BLOCK_BITS).cast("int").alias("at"))
@@ -138,93 +213,98 @@ def repeated_runs(texts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _places(text: str) -> np.ndarray:
-    """Where each word starts in a text, in code points, and the text's length."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    first = ~blank & np.concatenate([[True], blank[:-1]])
-    points = np.cumsum((data & 0xC0) != 0x80) - 1
-    return np.concatenate([points[first], [len(text)]])
+def _own(*keys: np.ndarray) -> np.ndarray:
+    """For each place the first one with the same keys."""
+    order = np.lexsort(keys)  # stable
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return out
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, start, end, run) of the runs that may repeat; an end is where the next word starts, and body is a hash
-    of the text, which tells rows with one doc_id apart."""
+    """For each row with runs that may repeat, these runs in lists by their start: where one starts, how long it is up to
+    where the next word starts, how many places before it in the lists the text has it first, and its hash. `body` is a hash of
+    the text, which tells rows with one doc_id apart."""
     carried = docs.sparkSession.sparkContext.broadcast(repeated_runs(docs.select("text")))  # at most FILTER_BITS bits
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = carried.value
         mask = np.uint64(8 * len(bits) - 1)
-        short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
 
         def holds(at: np.ndarray) -> np.ndarray:
             return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
-        ids, bodies, froms, tos, found = [], [], [], [], []
-
-        def frame() -> pd.DataFrame:
-            out = pd.DataFrame({"doc_id": ids, "body": bodies, "start": np.concatenate([np.empty(0, np.int32), *froms]).astype("int32"), "end": np.concatenate([np.empty(0, np.int32), *tos]).astype("int32"), "run": found})
-            for x in (ids, bodies, froms, tos, found):
-                x.clear()
-            return out.astype({"doc_id": "object", "body": "int64", "run": "object"})
-
         for b in batches:
-            for d, body, t in zip(b["doc_id"], b["body"], b["text"], strict=True):
-                got = runs(t)
-                if not got:
+            for base, got in _chunked(b.column("text").to_pylist()):
+                small = got.hashes()
+                hits = np.flatnonzero(holds(small & mask))
+                hits = hits[holds(small[hits] >> np.uint64(32) & mask)]
+                if not len(hits):
                     continue
-                joined, starts, ends, first, behind = got
-                edges = list(zip(starts[first].tolist(), ends[behind - 1].tolist(), strict=True))
-                small = np.fromiter((short(joined[x:y]) for x, y in edges), dtype=np.uint64, count=len(edges))
-                hits = np.flatnonzero(holds(small & mask) & holds(small >> np.uint64(32) & mask))
-                at = _places(t) if len(hits) else None
-                for k in range(0, len(hits), 50_000):
-                    h = hits[k : k + 50_000]
-                    found += [long(joined[edges[i][0] : edges[i][1]]) for i in h.tolist()]
-                    ids += [d] * len(h)
-                    bodies += [body] * len(h)
-                    froms.append(at[first[h]])
-                    tos.append(at[behind[h]])
-                    if len(found) > 50_000:
-                        yield frame()
-        yield frame()
-
-    thin = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
-    found = thin.mapInPandas(emit, SPANS)
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def merged(ranges: Column) -> Column:
-    """Sorted, disjoint ranges from a document's own ones."""
-    start = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end")))
-        return F.when((F.size(acc) > 0) & (r["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.array_append(acc, F.struct(r["start"].alias("start"), r["end"].alias("end")))).cast("array<struct<start:int,end:int>>")
-
-    return F.aggregate(F.array_sort(ranges), start, step)
-
-
-def later(found: DataFrame, spark: SparkSession) -> DataFrame:
-    """The spans that repeat an earlier one, with that one's first place."""
-    first = found.groupBy("run").agg(F.min(F.struct("doc_id", "body", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
-    # A table of its own, so that the join's two sides are plain shuffles and a common passage's rows can be split.
-    first = written(first, spark)
-    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.body") == F.col("body"))
-    return found.join(first, "run").withColumn("within", same).filter(~(same & (F.col("first.start") == F.col("start"))))
+                joined, digest = got.letters.tobytes(), xxhash.xxh3_128_digest
+                run = np.frombuffer(b"".join([digest(joined[x:y]) for x, y in zip(got.start[hits].tolist(), got.end[hits].tolist(), strict=True)]), dtype=np.int64).reshape(-1, 2)
+                at, doc = got.places(), got.doc[hits]
+                start = at[got.first[hits]]
+                length = at[got.behind[hits]] - start
+                back = np.arange(len(hits)) - _own(run[:, 0], run[:, 1], doc)
+                rows, offsets = np.unique(doc, return_index=True)
+                offsets = pa.array(np.append(offsets, len(hits)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (start, length, back)]
+                hashes = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(run[:, k])) for k in (0, 1)], ["a", "b"])
+                ids = [b.column(c).take(pa.array(base + rows)) for c in ("doc_id", "body")]
+                yield pa.RecordBatch.from_arrays([*ids, *lists, pa.ListArray.from_arrays(offsets, hashes)], ["doc_id", "body", "start", "length", "back", "run"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text").mapInArrow(emit, SPANS)
+
+
+def first_places(found: DataFrame) -> DataFrame:
+    """(doc_id, body, firsts): where in a row's lists of `spans` the runs are that stand nowhere before."""
+    places = found.select("doc_id", "body", F.posexplode("run").alias("at", "run"))
+    first = places.groupBy("run.a", "run.b").agg(F.min(F.struct("doc_id", "body", "at")).alias("first"))
+    return first.groupBy("first.doc_id", "first.body").agg(F.collect_list("first.at").alias("firsts"))
+
+
+def _flat(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted, disjoint ranges of the runs that aren't first."""
+    for b in batches:
+        start, length, back = (_flat(b.column(c)) for c in ("start", "length", "back"))
+        sizes = b.column("start").value_lengths().to_numpy(zero_copy_only=False)
+        firsts = b.column("firsts").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        end, own = start + length, np.arange(len(start)) - back
+        first = np.zeros(len(start), dtype=bool)
+        first[np.repeat(np.cumsum(sizes) - sizes, firsts) + _flat(b.column("firsts"))] = True
+        # Runs that overlap their first place give what is beyond it.
+        here = first[own]
+        begin = np.where(here, np.maximum(start, end[own]), start)
+        late = (begin < end) & ~(here & (start == start[own]))
+        shift = np.repeat(np.arange(len(sizes)), sizes)[late] << 32  # rows one behind the other
+        begin, end = begin[late] + shift, end[late] + shift
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        new = np.ones(len(begin), dtype=bool)
+        new[1:] = begin[1:] > end[:-1]
+        heads = np.flatnonzero(new)
+        begin, end = begin[heads], end[np.append(heads, len(end))[1:] - 1]
+        rows, offsets = np.unique(begin >> 32, return_index=True)
+        ranges = pa.StructArray.from_arrays([pa.array((x & 0xFFFFFFFF).astype(np.int32)) for x in (begin, end)], ["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(offsets, len(begin)).astype(np.int32)), ranges)
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("doc_id", "body")), lists], ["doc_id", "body", "removed"])
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, body, removed): the text ranges, as code points with the end exclusive, that repeat an earlier passage, for
     each distinct text (by its hash `body`) under a doc_id; only texts that lose something have a row."""
-    spark = docs.sparkSession
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    late = later(written(spans(thin), spark), spark)
-    # Runs that overlap their first place give what is beyond it.
-    start = F.when(F.col("within") & (F.col("start") < F.col("first.end")), F.col("first.end")).otherwise(F.col("start"))
-    late = late.select("doc_id", "body", start.alias("start"), "end").filter("start < end")
-    return late.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "end")).alias("all")).select("doc_id", "body", merged(F.col("all")).alias("removed"))
+    found = written(spans(docs.select("doc_id", "text")), docs.sparkSession)
+    first = first_places(found)
+    both = found.join(first, found["doc_id"].eqNullSafe(first["doc_id"]) & (found["body"] == first["body"]), "left")
+    late = both.select(found["doc_id"], found["body"], "start", "length", "back", "firsts").mapInArrow(_removed, REMOVED)
+    return late.groupBy("doc_id", "body").agg(F.first("removed").alias("removed"))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:

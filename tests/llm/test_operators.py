@@ -320,6 +320,43 @@ def test_passages_of_rows_with_one_id(spark):
     assert sorted(len(t.split()) < 60 for i, t in clean if i == long) == [True] * 3
 
 
+def test_runs_of_texts_that_are_worked_on_together():
+    """Each text has the runs that it has alone, cut as the module says: tried out with plain loops."""
+    rnd = random.Random(4)
+    blanks = [" ", " ", " ", "  ", "\n", "\t\r", "\x0b\x0c "]
+    text = lambda n, words: rnd.choice(["", " ", "\n"]) + "".join(rnd.choice(words) + rnd.choice(["", "", "", ".", ",", "! "]) + rnd.choice(blanks) for _ in range(n))
+    many = ["".join(rnd.choice("aBcÉdéf中\u00a0\x1c") for _ in range(rnd.randint(1, 6))) for _ in range(80)]
+    texts = ["", None, " ", "a", "a " * 32, "a " * 33, "a " * 90, "B. " * 70, *[text(rnd.randint(1, 140), rnd.choice([many, many[:2]])) for _ in range(60)], "", "end. " * 20]
+
+    def order(word: bytes) -> int:
+        return int(passages._hashes(passages._sums(np.frombuffer(word, np.uint8)), np.array([0]), np.array([len(word)]))[0]) >> 1
+
+    def plain(t: str) -> set:
+        found = [(m[0].encode().lower(), m.start()) for m in re.finditer("[^\\x20\\x09-\\x0D]+", t)]
+        words, at = [w for w, _ in found], [x for _, x in found] + [len(t)]
+        ranks = [0 if k and words[k - 1][-1:] in b".!?,;:" else order(w) for k, w in enumerate(words)]
+        cuts = {0, len(words)} | {k for k, x in enumerate(ranks) if not x}
+        for k in range(len(words) - passages.REACH + 1):
+            cuts.add(min(range(k, k + passages.REACH), key=ranks.__getitem__))
+        stops = [0] + [k + 1 for k, w in enumerate(words) if w[-1:] in b".!?"]
+        ends = [(a, next((b for b in stops[i + passages.SENTENCES :] if b - a >= passages.SENTENCE_WORDS), None)) for i, a in enumerate(stops)]
+        ends += [(a, next((b for b in sorted(cuts) if b - a >= passages.MIN_WORDS), None)) for a in cuts]
+        return {(b" ".join(words[a:b]), at[a], at[b]) for a, b in ends if b is not None}
+
+    got = passages.Runs(texts)
+    at, joined = got.places(), got.letters.tobytes()
+    found = [set() for _ in texts]
+    for d, f, b, x, y in zip(got.doc, got.first, got.behind, got.start, got.end, strict=True):
+        found[d].add((joined[x:y], int(at[f]), int(at[b])))
+    assert found == [plain(t or "") for t in texts] and sum(map(len, found)) == len(got.doc) > 1000
+    alone = [passages.Runs([t]) for t in texts]
+    assert got.hashes().tolist() == [h for one in alone for h in one.hashes().tolist()]
+    same = {}
+    for h, x, y in zip(got.hashes().tolist(), got.start, got.end, strict=True):
+        assert same.setdefault(joined[x:y], h) == h
+    assert len(set(same.values())) == len(same)
+
+
 def test_licenses(docs, nothing):
     assert licenses.scanned(nothing).count() == 0
     got = {r["doc_id"]: r for r in licenses.scanned(docs).collect()}

@@ -115,3 +115,22 @@ def test_like_scopes_meet_together(spark, monkeypatch):
     got = L.overlapping(spark.createDataFrame(rows, "file int, id long, lo int, hi int, roots array<string>"))
     want = sorted((f, a, b, sorted({*x} & {*y})) for f, a, la, ha, x in rows for g, b, lb, hb, y in rows if f == g and a < b and la <= hb and lb <= ha and {*x} & {*y})
     assert sorted(map(tuple, got.collect())) == want and "collect_list(id" in plan(got)
+
+
+def test_repeated_runs_are_a_row_a_text_and_meet_once(spark):
+    """A text's repeated runs are one row, not a row each, and a run's places aren't joined with its first one."""
+    import re
+
+    from lumenfold.llm import passages
+
+    rnd = random.Random(3)
+    text = lambda: " ".join("".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(300))
+    long = text()
+    rows = [(1, long), (2, long), (3, "Then " + long), (4, text()), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in passages.spans(df).collect()) == [1, 2, 3]
+    got = passages.removals(df)
+    plan = joins(got)
+    assert len(re.findall("Join ", plan)) == 1 and not re.search(r"Join \[run#", plan)
+    gone = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in got.collect()}
+    assert set(gone) == {2, 3} and [a for a, _ in gone[2]] == [0] and gone[2][0][1] > 0.9 * len(long)
