@@ -16,7 +16,8 @@ lose whole sentences alone.
 Words are compared as they stand between ASCII white space, A-Z in lower case; hashes of runs have 128 bits. The first place
 of a run is the one with the smallest (doc_id, hash of the text, start). Most runs are unique; they are counted by 64-bit
 hashes first, and repeated ones are looked up in a filter of at most FILTER_BITS bits; a false hit there costs a place and
-changes no result. What passes the filter is kept as one row a text, with its places in lists; a run's places meet once, for the
+changes no result. Where PART_RUNS are not enough, runs are taken in parts by their hashes, with a filter and a pass over the
+texts for each. What passes is kept as one row a text and part, with its places in lists; a run's places meet once, for the
 first of them, and only these go back to their texts, which lose the others. Where a text repeats itself without a break,
 a run takes nothing from its own first place.
 
@@ -27,12 +28,14 @@ they are another place. Extra columns are ignored by `removals` and kept by `ded
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +44,14 @@ from lumenfold.llm.common import chunks, written
 REACH = 5
 MIN_WORDS = 33
 FILTER_BITS = 1 << 29
+PART_RUNS = FILTER_BITS // 5  # repeated runs that a filter holds; some 11 of 100 other runs pass a full one
 BLOCK_BITS = 1 << 20  # the filter is built in blocks of so many bits at most
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SENTENCES, SENTENCE_WORDS = 3, 20  # consecutive whole sentences of a run, and the words that it has at least
 STOPS, ENDS = (np.isin(np.arange(256), np.frombuffer(x, dtype=np.uint8)) for x in (b".!?", b".!?,;:"))
 CHUNK = 1 << 18  # letters of texts that are worked on together; a longer text comes alone
 HELD = 1 << 22  # hashes of runs that are counted before they are handed on
-SPANS = "doc_id long, body long, start array<int>, length array<int>, back array<int>, run array<struct<a: long, b: long>>"
+SPANS = "doc_id long, body long, part int, start array<int>, length array<int>, back array<int>, run array<struct<a: long, b: long>>"
 REMOVED = "doc_id long, body long, removed array<struct<start: int, end: int>>"
 
 
@@ -200,17 +204,21 @@ def _bits(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": block["block"].iloc[:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
 
-def repeated_runs(texts: DataFrame) -> np.ndarray:
-    """A filter, as bytes, that holds two bits of each run that stands in more than one place."""
+def repeated_runs(texts: DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Filters, as bytes, that hold two bits of each run that stands in more than one place: one for each part of the runs (by
+    their hashes, modulo the number of parts), one after the other, with that part and the number of parts."""
     spark = texts.sparkSession
     again = written(texts.mapInArrow(_digests, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").select("run"), spark)
-    bits = min(max(1 << (16 * again.count()).bit_length(), BLOCK_BITS), FILTER_BITS)
+    n = again.count()
+    parts = -(-n // PART_RUNS) | 1  # odd, so that parts don't share the low bits that are looked up
+    bits = min(max(1 << (16 * n // parts).bit_length(), BLOCK_BITS), FILTER_BITS)
     probes = F.explode(F.array(F.col("run").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("run", 32).bitwiseAND(F.lit(bits - 1))))
-    at = again.select(probes.alias("at")).distinct().select((F.col("at") / BLOCK_BITS).cast("int").alias("block"), (F.col("at") % BLOCK_BITS).cast("int").alias("at"))
-    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
-    for r in at.groupBy("block").applyInPandas(_bits, "block int, bits binary").toLocalIterator():
-        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.reshape(-1)
+    for part in range(parts):
+        at = again.filter(F.pmod("run", F.lit(parts)) == part).select(probes.alias("at")).distinct().select((F.col("at") / BLOCK_BITS).cast("int").alias("block"), (F.col("at") % BLOCK_BITS).cast("int").alias("at"))
+        out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
+        for r in at.groupBy("block").applyInPandas(_bits, "block int, bits binary").toLocalIterator():
+            out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+        yield part, parts, out.reshape(-1)
 
 
 def _own(*keys: np.ndarray) -> np.ndarray:
@@ -223,12 +231,7 @@ def _own(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """For each row with runs that may repeat, these runs in lists by their start: where one starts, how long it is up to
-    where the next word starts, how many places before it in the lists the text has it first, and its hash. `body` is a hash of
-    the text, which tells rows with one doc_id apart."""
-    carried = docs.sparkSession.sparkContext.broadcast(repeated_runs(docs.select("text")))  # at most FILTER_BITS bits
-
+def _emit(carried: Broadcast, part: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = carried.value
         mask = np.uint64(8 * len(bits) - 1)
@@ -239,7 +242,8 @@ def spans(docs: DataFrame) -> DataFrame:
         for b in batches:
             for base, got in _chunked(b.column("text").to_pylist()):
                 small = got.hashes()
-                hits = np.flatnonzero(holds(small & mask))
+                hits = np.flatnonzero(small.view(np.int64) % parts == part)
+                hits = hits[holds(small[hits] & mask)]
                 hits = hits[holds(small[hits] >> np.uint64(32) & mask)]
                 if not len(hits):
                     continue
@@ -254,24 +258,54 @@ def spans(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (start, length, back)]
                 hashes = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(run[:, k])) for k in (0, 1)], ["a", "b"])
                 ids = [b.column(c).take(pa.array(base + rows)) for c in ("doc_id", "body")]
-                yield pa.RecordBatch.from_arrays([*ids, *lists, pa.ListArray.from_arrays(offsets, hashes)], ["doc_id", "body", "start", "length", "back", "run"])
+                parted = pa.array(np.full(len(rows), part, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*ids, parted, *lists, pa.ListArray.from_arrays(offsets, hashes)], ["doc_id", "body", "part", "start", "length", "back", "run"])
+
+    return emit
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text").mapInArrow(emit, SPANS)
+
+def spans(docs: DataFrame) -> DataFrame:
+    """For each row and part with runs that may repeat, these runs in lists by their start: where one starts, how long it is up
+    to where the next word starts, how many places before it in the lists the text has it first, and its hash. `body` is a hash of
+    the text, which tells rows with one doc_id apart. Each part is a pass over the texts."""
+    spark = docs.sparkSession
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    found = []
+    for part, parts, bits in repeated_runs(docs.select("text")):
+        carried = spark.sparkContext.broadcast(bits)  # at most FILTER_BITS bits
+        found.append(written(thin.mapInArrow(_emit(carried, part, parts), SPANS), spark))
+        carried.unpersist()
+    return reduce(DataFrame.union, found)
 
 
 def first_places(found: DataFrame) -> DataFrame:
-    """(doc_id, body, firsts): where in a row's lists of `spans` the runs are that stand nowhere before."""
-    places = found.select("doc_id", "body", F.posexplode("run").alias("at", "run"))
-    first = places.groupBy("run.a", "run.b").agg(F.min(F.struct("doc_id", "body", "at")).alias("first"))
-    return first.groupBy("first.doc_id", "first.body").agg(F.collect_list("first.at").alias("firsts"))
+    """(doc_id, body, part, firsts): where in a row's lists of `spans` the runs are that stand nowhere before."""
+    places = found.select("doc_id", "body", "part", F.posexplode("run").alias("at", "run"))
+    first = places.groupBy("run.a", "run.b").agg(F.min(F.struct("doc_id", "body", "at", "part")).alias("first"))  # a run is of one part
+    return first.groupBy("first.doc_id", "first.body", "first.part").agg(F.collect_list("first.at").alias("firsts"))
 
 
 def _flat(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _merged(b: pa.RecordBatch, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Sorted, disjoint ranges of each row of the batch that has some."""
+    begin, end = begin + (row << 32), end + (row << 32)  # rows one behind the other
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = begin[1:] > end[:-1]
+    heads = np.flatnonzero(new)
+    begin, end = begin[heads], end[np.append(heads, len(end))[1:] - 1]
+    rows, offsets = np.unique(begin >> 32, return_index=True)
+    ranges = pa.StructArray.from_arrays([pa.array((x & 0xFFFFFFFF).astype(np.int32)) for x in (begin, end)], ["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(offsets, len(begin)).astype(np.int32)), ranges)
+    return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("doc_id", "body")), lists], ["doc_id", "body", "removed"])
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted, disjoint ranges of the runs that aren't first."""
+    """Ranges of the runs that aren't first."""
     for b in batches:
         start, length, back = (_flat(b.column(c)) for c in ("start", "length", "back"))
         sizes = b.column("start").value_lengths().to_numpy(zero_copy_only=False)
@@ -283,28 +317,25 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = first[own]
         begin = np.where(here, np.maximum(start, end[own]), start)
         late = (begin < end) & ~(here & (start == start[own]))
-        shift = np.repeat(np.arange(len(sizes)), sizes)[late] << 32  # rows one behind the other
-        begin, end = begin[late] + shift, end[late] + shift
-        order = np.argsort(begin, kind="stable")
-        begin, end = begin[order], np.maximum.accumulate(end[order])
-        new = np.ones(len(begin), dtype=bool)
-        new[1:] = begin[1:] > end[:-1]
-        heads = np.flatnonzero(new)
-        begin, end = begin[heads], end[np.append(heads, len(end))[1:] - 1]
-        rows, offsets = np.unique(begin >> 32, return_index=True)
-        ranges = pa.StructArray.from_arrays([pa.array((x & 0xFFFFFFFF).astype(np.int32)) for x in (begin, end)], ["start", "end"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(offsets, len(begin)).astype(np.int32)), ranges)
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("doc_id", "body")), lists], ["doc_id", "body", "removed"])
+        yield _merged(b, np.repeat(np.arange(len(sizes)), sizes)[late], begin[late], end[late])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One list from the lists of a text's parts."""
+    for b in batches:
+        sizes = b.column("removed").value_lengths().to_numpy(zero_copy_only=False)
+        begin, end = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in b.column("removed").flatten().flatten())
+        yield _merged(b, np.repeat(np.arange(len(sizes)), sizes), begin, end)
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, body, removed): the text ranges, as code points with the end exclusive, that repeat an earlier passage, for
     each distinct text (by its hash `body`) under a doc_id; only texts that lose something have a row."""
-    found = written(spans(docs.select("doc_id", "text")), docs.sparkSession)
+    found = spans(docs.select("doc_id", "text"))
     first = first_places(found)
-    both = found.join(first, found["doc_id"].eqNullSafe(first["doc_id"]) & (found["body"] == first["body"]), "left")
+    both = found.join(first, found["doc_id"].eqNullSafe(first["doc_id"]) & (found["body"] == first["body"]) & (found["part"] == first["part"]), "left")
     late = both.select(found["doc_id"], found["body"], "start", "length", "back", "firsts").mapInArrow(_removed, REMOVED)
-    return late.groupBy("doc_id", "body").agg(F.first("removed").alias("removed"))
+    return late.groupBy("doc_id", "body").agg(F.flatten(F.collect_set("removed")).alias("removed")).mapInArrow(_joined, REMOVED)
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:

@@ -134,3 +134,20 @@ def test_repeated_runs_are_a_row_a_text_and_meet_once(spark):
     assert len(re.findall("Join ", plan)) == 1 and not re.search(r"Join \[run#", plan)
     gone = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in got.collect()}
     assert set(gone) == {2, 3} and [a for a, _ in gone[2]] == [0] and gone[2][0][1] > 0.9 * len(long)
+
+
+def test_many_repeated_runs_are_taken_in_parts(spark, monkeypatch):
+    """No filter holds more than PART_RUNS, on average, and the parts give what one filter gives."""
+    from lumenfold.llm import passages
+
+    rnd = random.Random(8)
+    text = lambda n: " ".join("".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(n))
+    a, b, c = text(200), text(150), text(90)
+    rows = [(1, a), (2, a + " " + text(50)), (2, b), (None, b), (7, text(60) + " " + c + " " + c), (8, c + " " + b), (8, c + " " + b), (9, text(80)), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: sorted(((r["doc_id"] or 0, r["body"], [tuple(x) for x in r["removed"]]) for r in passages.removals(df).collect()))
+    want = got()
+    monkeypatch.setattr(passages, "PART_RUNS", 30)
+    parts = [(part, n) for part, n, _ in passages.repeated_runs(df.select("text"))]
+    assert parts == [(i, len(parts)) for i in range(len(parts))] and len(parts) > 3 and len(parts) % 2
+    assert got() == want and len(want) >= 4
