@@ -151,3 +151,33 @@ def test_many_repeated_runs_are_taken_in_parts(spark, monkeypatch):
     parts = [(part, n) for part, n, _ in passages.repeated_runs(df.select("text"))]
     assert parts == [(i, len(parts)) for i in range(len(parts))] and len(parts) > 3 and len(parts) % 2
     assert got() == want and len(want) >= 4
+
+
+def test_taint_rounds_carry_no_paths(spark, monkeypatch):
+    """A round's states are as wide in a long graph as in a short one, and each state is dealt out once a round."""
+    from lumenfold.operators import summaries as Y
+
+    widths, plans = [], []
+
+    class Watched(Y.Growing):
+        def add(self, df):
+            widths.append({f.dataType.typeName() for f in df.schema if f.name != "clean"})
+            return super().add(df)
+
+    def watched(df, cut=Y.cut_lineage):
+        plans.append(joins(df))
+        return cut(df)
+
+    monkeypatch.setattr(Y, "Growing", Watched)
+    monkeypatch.setattr(Y, "cut_lineage", watched)
+    edges = [(i, i + 1) for i in range(6)] + [(0, 10), (10, 2), (2, 2)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    args = (frame(edges, "src long, dst long"), frame([(0, None), (0, "x")], "node long, label string"), frame([(6, "sql"), (2, None)], "node long, kind string"), frame([(10, "sql")], "node long, kind string"))
+    got = Y.tainted(*args)
+    assert sorted((r["label"] or "", r["sink"], r["sanitized"], r["depth"], r["path"]) for r in got.collect()) == sorted(
+        (label, *end) for label in ("", "x") for end in ((2, False, 2, [0, 1, 2]), (6, False, 6, [0, 1, 2, 3, 4, 5, 6]), (6, True, 6, [0, 10, 2, 3, 4, 5, 6]))
+    )
+    assert all("array" not in kinds for kinds in widths) and len(widths) == 8
+    assert not any("LeftAnti" in p for p in plans)
+    monkeypatch.setattr(Y, "KINDS_AT_ONCE", 1)
+    assert sorted(map(str, Y.tainted(*args).collect())) == sorted(map(str, got.collect()))
