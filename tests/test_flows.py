@@ -228,3 +228,15 @@ def test_flows_are_attached(spark):
 @pytest.mark.parametrize("name", sorted(n for n, f in catalog.QUERIES.items() if f.__module__ in ("lumenfold.plans.flows", "lumenfold.plans.likeness") and n in catalog.SQL))
 def test_query_matches_sql(spark, duck, name):
     assert_matches_sql(spark, duck, name)
+
+
+def test_summaries_take_every_line_and_part(spark, tmp_path):
+    """A chain of twelve calls, by later lines of an order, hands the effect of a part of any size up to its end; so does a
+    small line that calls upwards."""
+    lines = [(4 ** (k + 1), 4**k, 2, 4.0, "N") for k in range(12)] + [(150, 100, 3, 1.0, "R")]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 48, "Brand#1", 900.0), (150, 50, "Brand#2", 1500.0)], "p_partkey long, p_size int, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in catalog.queries()["q_function_summaries"](spark, str(tmp_path)).collect()]
+    want = [(4**k, "sink", "Brand#1", 1, False, k, 4 ** (k - 1) if k else None) for k in range(13)] + [(150, "sanitizer", "Brand#2", 2, True, 0, None), (100, "sanitizer", "Brand#2", 2, True, 1, 150)]
+    want += [(4 ** (k + 1), "wrapper", str(4**k), None, True, 1, 4**k) for k in range(12)] + [(100, "wrapper", "150", None, True, 1, 150)]
+    assert sorted(got, key=str) == sorted(want, key=str)
