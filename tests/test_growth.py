@@ -181,3 +181,31 @@ def test_taint_rounds_carry_no_paths(spark, monkeypatch):
     assert not any("LeftAnti" in p for p in plans)
     monkeypatch.setattr(Y, "KINDS_AT_ONCE", 1)
     assert sorted(map(str, Y.tainted(*args).collect())) == sorted(map(str, got.collect()))
+
+
+def test_small_units_take_no_rounds(spark, monkeypatch):
+    """Ways in units of a few edges are followed without a table a round, with the results of rounds, whatever their size."""
+    from lumenfold.operators import dataflow as D
+    from lumenfold.operators import graphs as G
+
+    rnd = random.Random(4)
+    edges = [(u, a, b) for u in range(9) for a in range(-3, 5 * (1 + u % 3)) for b in {a + 1, rnd.randrange(12)} if rnd.random() < 0.8] + [(20, 1, 2), (None, 1, 2), (20, None, 2)]
+    says = [(u, n, rnd.choice((None, ["x"], ["y"], ["x", "z"])), rnd.choice((None, ["x"], ["y", "z"]))) for u in (*range(9), 20, 21) for n in range(10)] + [(22, 1, ["x"], ["x"])]
+    e = spark.createDataFrame(edges, "unit long, src int, dst int")
+    s = spark.createDataFrame(says, "unit long, node int, defs array<string>, uses array<string>")
+    gates = spark.createDataFrame([(u, g, g, g + 1) for u in range(9) for g in (2, 4)] + [(20, 1, 1, 2)], "unit long, gate int, src int, dst int")
+    targets = spark.createDataFrame([(u, g, t) for u in range(9) for g in (2, 3, 4) for t in (0, 3, 7, 9)] + [(20, 1, 2), (20, None, 2), (22, 1, 0)], "unit long, gate int, target int")
+    entries = spark.createDataFrame([(u, n) for u in (*range(9), 20, 22) for n in {0, u % 2}], "unit long, node int")
+    both = lambda: (sorted(map(tuple, G.dominators_fail(e, entries, gates, targets).collect())), sorted(map(tuple, D.def_use(s, e).collect())))
+    mixed = both()
+    monkeypatch.setattr(G, "SMALL_EDGES", -1)
+    assert both() == mixed and all(len(x) > 20 for x in mixed)
+
+    def none(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(G, "SMALL_EDGES", 24)
+    for module in (G, D):
+        monkeypatch.setattr(module, "Growing", none)
+    few = e.filter("unit % 3 = 0")
+    assert 0 < G.dominators_fail(few, entries, gates, targets).count() < len(mixed[0]) and 0 < D.def_use(s, few).count() < len(mixed[1])
