@@ -209,3 +209,17 @@ def test_small_units_take_no_rounds(spark, monkeypatch):
         monkeypatch.setattr(module, "Growing", none)
     few = e.filter("unit % 3 = 0")
     assert 0 < G.dominators_fail(few, entries, gates, targets).count() < len(mixed[0]) and 0 < D.def_use(s, few).count() < len(mixed[1])
+
+
+def test_summaries_are_taken_in_parts(spark, monkeypatch):
+    from lumenfold.operators import summaries as Y
+
+    calls = spark.createDataFrame([(i, (i * 7 + k) % 30, [0, None, 1], k == 0) for i in range(30) for k in (0, 3)], "caller long, callee long, args array<int>, used boolean")
+    effects = spark.createDataFrame([(i, "sink", f"v{i % 3}", i % 3, True) for i in range(0, 30, 7)], "function long, kind string, value string, param int, used boolean")
+    got = lambda: sorted((str(tuple(r)) for r in Y.summarised(effects, calls, 4).collect()))
+    want, added = got(), []
+    monkeypatch.setattr(Y, "PART_STATES", 4)
+    monkeypatch.setattr(Y, "MAX_PARTS", 3)
+    add = Y.Growing.add
+    monkeypatch.setattr(Y.Growing, "add", lambda self, df: added.append(1) or add(self, df))
+    assert got() == want and len(added) > 8
